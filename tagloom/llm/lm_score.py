@@ -12,7 +12,7 @@ driver holds more than a piece of some copies. The driver receives the averaged
 size is fixed.
 
 Defined cases: null texts and texts without words have no tokens and the score 0. Equal texts get
-equal scores. Empty tables give no rows. Scores depend on how the input is split into tasks, as far
+scores equal to rounding. Empty tables give no rows. Scores depend on how the input is split into tasks, as far
 as averaging goes; a repeated task repeats its result.
 """
 
@@ -244,8 +244,10 @@ def score_texts(net: Network, texts: pa.Array, rules: LmRules) -> tuple[np.ndarr
     for lo in range(0, len(at), rules.batch):
         each[lo : lo + rules.batch] = forward(net, padded, at[lo : lo + rules.batch], rules.side)[3]
     ends = np.cumsum(counts)
-    total = np.concatenate([[0.0], np.cumsum(each)])
-    return counts, total[ends] - total[ends - counts]
+    some, sums = counts > 0, np.zeros(len(counts))
+    if some.any():
+        sums[some] = np.add.reduceat(each, (ends - counts)[some])
+    return counts, sums
 
 
 def score(docs: DataFrame, net: Network | None = None, rules: LmRules = LmRules()) -> DataFrame:

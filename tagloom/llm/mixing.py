@@ -117,7 +117,7 @@ cdf AS (
 tables AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
 drawn AS (SELECT documents.*, unnest(range(1, draws + 1)) AS draw, cs
   FROM documents JOIN chunks ON coalesce(documents.source, '') = chunks.source JOIN tables ON tables.source = chunks.source),
-counted AS (SELECT *, len(list_filter(cs, x -> x <= {unit})) AS n FROM drawn),
+counted AS (SELECT *, len(list_filter(cs, lambda x: x <= {unit})) AS n FROM drawn),
 copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM (
   SELECT doc_id, text, lang, source, n_chars, sum(n)::INT AS n FROM counted GROUP BY doc_id, text, lang, source, n_chars))
 SELECT *, md5(concat_ws('|', '{m.seed}', coalesce(doc_id::VARCHAR, ''), copy::VARCHAR, 'order')) AS shuffle_key FROM copies

@@ -377,3 +377,21 @@ def keep_one(docs: DataFrame, rules: ForestRules = ForestRules()) -> DataFrame:
     kept = boxes.join(chosen, (F.col("k_doc_id") == F.col("_id")) & (F.col("_k") == F.col("_key")))
     kept = kept.groupBy("k_doc_id", "_k").agg(F.first("_row").alias("_row"))
     return unboxed(kept.select("_row").unionByName(without.select("_row")), docs)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE norm AS (
+  SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents),
+texts AS (SELECT t, min(doc_id) AS id, count(*) AS n_copies, string_split(t, ' ') AS w FROM norm WHERE t <> '' GROUP BY t),
+shingles AS (SELECT DISTINCT id, hash(array_to_string(w[i : i + 4], ' ')) AS s
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts)),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+met AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+heads AS (SELECT x AS id, least(min(y), x) AS class_id FROM reach GROUP BY x),
+degrees AS (SELECT x AS id, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, CASE WHEN norm.t = '' THEN doc_id ELSE coalesce(class_id, texts.id) END AS class_id,
+  coalesce(n_links, 0)::BIGINT AS n_links, CASE WHEN norm.t = '' THEN 1 ELSE n_copies END AS n_copies
+FROM norm LEFT JOIN texts ON texts.t = norm.t LEFT JOIN heads ON heads.id = texts.id LEFT JOIN degrees ON degrees.id = texts.id
+"""
