@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import builtins, observations, readings
+from . import builtins, fusion, observations, readings
 from .registry import QUERIES, SQL
 
-__all__ = ["builtins", "observations", "readings", "oracle_sql", "queries"]
+__all__ = ["builtins", "fusion", "observations", "readings", "oracle_sql", "queries"]
 
 
 def queries():

@@ -38,9 +38,9 @@ def read_catalog(spark: SparkSession, path: str, charset: str = "cp1251") -> Dat
 
     Spark's CSV reader refuses this charset, so lines are split as bytes and decoded in Arrow batches.
     """
-    lines = spark.read.option("lineSep", "\n").option("encoding", "ISO-8859-1").text(path)
-    # Every byte is one ISO-8859-1 character, so re-encoding gives the bytes of the line back.
-    raw = lines.select(F.encode("value", "ISO-8859-1").alias("line"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    # The text reader keeps the bytes of a line as they are.
+    raw = lines.select(F.col("value").cast("binary").alias("line"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord"))
 
     def decoded(batches):
         import pyarrow as pa
