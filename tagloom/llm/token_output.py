@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .frames import narrow, new_path
+from .ngram_join import text_slices
 
 
 @dataclass(frozen=True)
@@ -36,46 +38,100 @@ class OutputRules:
     stripe_bytes: int = 16 << 20
     row_index_stride: int = 1000
     bloom_fpp: float = 0.01
-    word_cache: int = 400_000
+    word_cache: int = 500_000
     slice_bytes: int = 4_000_000
 
 
-def token_lists(texts: pa.Array, tokenizer, cache: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts one after the other, and the number of each text's."""
+class WordIds:
+    """The ids of words met so far, in one pool of numbers; it starts anew when it holds too many words."""
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab()
+        #: Whether an id ends a word, in vocabularies that mark it.
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ends = np.zeros(1, np.int64)
+        self.pool = np.empty(0, np.int32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        if words and self.closes.any() and all(map(str.isalpha, words)):
+            (together,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+            ids = np.array(together.ids, np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            # Every word ends at least once, so equal numbers mean once each.
+            if len(ends) == len(words):
+                return ids, np.diff(np.concatenate([[0], ends]))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), np.int32, int(size.sum())), size
+
+    def places(self, words: list[str]) -> np.ndarray:
+        fresh = [w for w in words if w not in self.place]
+        if len(self.place) + len(fresh) > self.most:
+            self.clear()
+            fresh = words
+        pools, sizes = [self.pool], []
+        letters = [w for w in fresh if w.isalpha()]
+        for some in (letters, [w for w in fresh if not w.isalpha()]):
+            for at in range(0, len(some), 2000):
+                ids, size = self._encoded(part := some[at : at + 2000])
+                self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+                pools.append(ids)
+                sizes.append(size)
+        if sizes:
+            self.pool = np.concatenate(pools)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+
+def _gathered(pool: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pool's stretches numbered `at` (from ends[i] to ends[i + 1]) one after the other, and where they end, from 0."""
+    start, long = ends[at], ends[at + 1] - ends[at]
+    total = np.concatenate([[0], np.cumsum(long)])
+    return pool[np.repeat(start - total[:-1], long) + np.arange(int(total[-1]))], total
+
+
+def token_lists(texts: pa.Array, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and the number of each text's.
+
+    The different words of the texts are cut once more: full stops and commas behind a letter or digit are words of their
+    own to the tokenizer. ASCII letters are put in lower case, as it would.
+    """
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = words.flatten().dictionary_encode()
-    known = coded.dictionary.to_pylist()
-    fresh = [w for w in known if w not in cache]
-    if len(cache) + len(fresh) > most:
-        cache.clear()
-        fresh = known
-    for at in range(0, len(fresh), 20_000):
-        some = fresh[at : at + 20_000]
-        cache.update(zip(some, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-    each = [cache[w] for w in known]
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    pool = np.concatenate([*each, np.empty(0, np.int32)])
-    start = np.cumsum(size) - size
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    long = size[at]
-    ends = np.cumsum(long)
-    ids = pool[np.repeat(start[at] - (ends - long), long) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    cut = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(coded.dictionary), r"([\pL\pN])([.,]+)$", r"\1 \2"), " ")
+    parts = cut.flatten().dictionary_encode()
+    at = known.places(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+    pool, ends = _gathered(known.pool, known.ends, at)
+    ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+    ids, total = _gathered(pool, ends, coded.indices.to_numpy(zero_copy_only=False))
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    total = np.concatenate([[0], ends])
     return ids, np.diff(total[bounds])
 
 
-def _tokenized(rules: OutputRules):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+@cache
+def _known(path: str, most: int) -> WordIds:
+    """One table of words for all tasks of a worker."""
+    import os
+
+    from tokenizers import Tokenizer
 
-        from .ngram_join import text_slices
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads of the library hold memory each
+    return WordIds(Tokenizer.from_file(path), most)
 
-        tokenizer = Tokenizer.from_file(rules.tokenizer)
-        cache: dict[str, np.ndarray] = {}
+
+def _tokenized(rules: OutputRules):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(rules.tokenizer, rules.word_cache)
         for batch in batches:
             for part in text_slices(batch, "text", rules.slice_bytes):
-                ids, counts = token_lists(part.column("text"), tokenizer, cache, rules.word_cache)
+                ids, counts = token_lists(part.column("text"), known)
                 ends = np.cumsum(counts + 1)
                 out = np.full(int(ends[-1]) if len(ends) else 0, rules.end_id, np.int32)
                 body = np.ones(len(out), bool)
