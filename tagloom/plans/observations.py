@@ -175,7 +175,7 @@ def reachable_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of fragments of one video, one after the other within the gap, whose boxes meet."""
-    p = spatial.gap_pairs(track_table(spark, sf_dir), "video", "track_id", "first_ms", "last_ms", GAP)
+    p = spatial.gap_pairs(track_table(spark, sf_dir), "video", "track_id", "first_ms", "last_ms", GAP, "median_box", 128)
     p = p.withColumn("iou", G.iou(F.col("median_box"), F.col("r_median_box"))).where("iou > 0")
     return p.select("video", "track_id", "r_track_id", F.round("iou", 6).alias("iou"), (F.col("r_first_ms") - F.col("last_ms")).alias("gap"))
 
@@ -200,7 +200,7 @@ SLOT = _edge_sql(
 
 @query(f"{SLOT} SELECT video, l AS track_id, r AS r_track_id, round(score, 6) AS score FROM edges WHERE score >= 0.72")
 def slot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spatial.gap_pairs(track_table(spark, sf_dir), "video", "track_id", "first_ms", "last_ms", GAP)
+    p = spatial.gap_pairs(track_table(spark, sf_dir), "video", "track_id", "first_ms", "last_ms", GAP, "median_box", 128)
     return spatial.slot_edges(p, "median_box", "first_ms", "last_ms", GAP).select("video", "track_id", "r_track_id", F.round("score", 6).alias("score"))
 
 
@@ -209,7 +209,7 @@ def slot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT video, l AS track_id, r AS r_track_id, round(score, 6) AS score FROM edges WHERE score >= 0.82"
 )
 def tracklet_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spatial.gap_pairs(track_table(spark, sf_dir), "video", "track_id", "first_ms", "last_ms", GAP)
+    p = spatial.gap_pairs(track_table(spark, sf_dir), "video", "track_id", "first_ms", "last_ms", GAP, "median_box", 128)
     return spatial.tracklet_edges(p, "median_box", "first_ms", "last_ms", GAP).select("video", "track_id", "r_track_id", F.round("score", 6).alias("score"))
 
 
@@ -222,7 +222,7 @@ SELECT track_id, coalesce(component, track_id) AS component FROM tracks LEFT JOI
 def slot_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments joined into slots by connected components of accepted edges."""
     t = track_table(spark, sf_dir)
-    p = spatial.gap_pairs(t, "video", "track_id", "first_ms", "last_ms", GAP)
+    p = spatial.gap_pairs(t, "video", "track_id", "first_ms", "last_ms", GAP, "median_box", 128)
     e = spatial.slot_edges(p, "median_box", "first_ms", "last_ms", GAP)
     groups = connected_components(e, "track_id", "r_track_id").withColumnRenamed("node", "track_id")
     return t.select("track_id").join(groups, "track_id", "left").select("track_id", F.coalesce("component", "track_id").alias("component"))
@@ -232,7 +232,7 @@ def slot_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slot_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots numbered by first time, place and member."""
     t = track_table(spark, sf_dir)
-    e = spatial.slot_edges(spatial.gap_pairs(t, "video", "track_id", "first_ms", "last_ms", GAP), "median_box", "first_ms", "last_ms", GAP)
+    e = spatial.slot_edges(spatial.gap_pairs(t, "video", "track_id", "first_ms", "last_ms", GAP, "median_box", 128), "median_box", "first_ms", "last_ms", GAP)
     order = [F.col("first_ms"), F.col("median_box.y_min"), F.col("median_box.x_min"), F.col("track_id")]
     return tracks.merge_fragments(t, e, "track_id", order)
 
