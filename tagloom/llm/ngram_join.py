@@ -314,17 +314,18 @@ def _verified(rules: ForestRules):
 
 
 def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> DataFrame:
-    """One row per row of `docs`: doc_id, key, class_id, n_links, n_copies.
+    """One row per row of `docs`: doc_id, key, class_id, class_key, n_links, n_copies.
 
     class_id is the least doc_id among the documents joined by links or equal words; n_links counts
     the other different texts at or above the similarity; n_copies counts the rows with equal words.
+    key tells texts apart, class_key classes, also where different documents repeat a doc_id.
     """
     d = narrow(docs, "doc_id", "text").select("doc_id", unified(F.col("text")).alias("norm"))
-    d = d.withColumn("key", F.md5("norm"))
+    d = d.withColumns({"key": F.md5("norm"), "row": F.xxhash64("doc_id")})
     signed = stored(
-        d.mapInArrow(_signed(rules), f"{_id_type(docs)}, key string, n_shingles long, sig binary, buckets array<long>"), "signed"
+        d.drop("row").mapInArrow(_signed(rules), f"{_id_type(docs)}, key string, n_shingles long, sig binary, buckets array<long>"), "signed"
     )
-    one = signed.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
+    one = signed.groupBy("key").agg(F.min(F.xxhash64("doc_id")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     one = stored(one, "texts")
     paths = one.select("key", F.explode("buckets").alias("bucket"))
     shared = paths.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -332,11 +333,12 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
     units = _dealt(met, "bucket", "key", F.ceil(F.col("n") / rules.block_rows)).select("unit", "block", "crossed", "key", "sig")
     found = units.repartition("unit").sortWithinPartitions("unit", "sig", "key").mapInArrow(_forest_links(rules), "src string, dst string")
     groups = connected_components(found, "src", "dst")
-    groups = groups.join(one.select(F.col("key").alias("node"), "n_shingles"), "node")
+    groups = groups.join(one.select(F.col("key").alias("node"), "n_shingles", "row"), "node")
     volume = groups.groupBy("component").agg(F.sum("n_shingles").alias("v"), F.count("*").alias("m"))
     blocks = F.ceil(F.greatest(F.col("v") / rules.block_shingles, F.col("m") / rules.block_rows))
-    groups = groups.join(volume, "component").select(F.col("node").alias("key"), "component", blocks.cast("long").alias("blocks"))
-    texts = d.join(groups, "key").groupBy("key").agg(F.first("component").alias("component"), F.first("blocks").alias("blocks"), F.first("norm").alias("norm"))
+    groups = groups.join(volume, "component").select(F.col("node").alias("key"), "row", "component", blocks.cast("long").alias("blocks"))
+    # One row of each text: copies of a text are dealt out by their rows, and all but one of them stay behind.
+    texts = d.join(groups, ["key", "row"]).groupBy("key", "row").agg(F.first("component").alias("component"), F.first("blocks").alias("blocks"), F.first("norm").alias("norm"))
     sets = texts.mapInArrow(_shingled(rules), "component string, key string, blocks long, shingles binary")
     units = _dealt(sets, "component", "key", F.col("blocks")).select("unit", "block", "crossed", "key", "shingles")
     exact = units.repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(_verified(rules), "src string, dst string, links long")
@@ -347,13 +349,14 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
     copies = copies.join(classes.withColumnRenamed("node", "key"), "key", "left").join(degrees.withColumnRenamed("src", "key"), "key", "left")
     copies = copies.withColumn("component", F.coalesce("component", "key"))
     heads = copies.groupBy("component").agg(F.min("least").alias("class_id"))
-    copies = stored(copies.join(heads, "component").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
+    copies = stored(copies.join(heads, "component").select("key", "class_id", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
     out = d.select("doc_id", "key").join(copies, "key", "left")
     alone = F.col("n_copies").isNull()
     return out.select(
         "doc_id",
         "key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("component", "key").alias("class_key"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
@@ -369,12 +372,12 @@ def keep_one(docs: DataFrame, rules: ForestRules = ForestRules()) -> DataFrame:
     Rows that repeat both doc_id and words count as copies of each other.
     """
     result = near_duplicates(docs, rules)
-    of_class = result.where(F.col("doc_id") == F.col("class_id")).groupBy("class_id").agg(F.min("key").alias("key"))
     wordless = F.md5(F.lit(""))
-    chosen = of_class.where(F.col("key") != wordless).select(F.col("class_id").alias("_id"), F.col("key").alias("_key"))
+    head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") != wordless)
+    chosen = result.where(head).groupBy("class_key").agg(F.first("class_id").alias("_id"), F.min("key").alias("_key")).drop("class_key")
     boxes = boxed(docs, "doc_id", "text").withColumn("_k", F.md5(unified(F.col("k_text"))))
     without = boxes.where(F.col("_k") == wordless)
-    kept = boxes.join(chosen, (F.col("k_doc_id") == F.col("_id")) & (F.col("_k") == F.col("_key")))
+    kept = boxes.join(chosen, F.col("k_doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
     kept = kept.groupBy("k_doc_id", "_k").agg(F.first("_row").alias("_row"))
     return unboxed(kept.select("_row").unionByName(without.select("_row")), docs)
 

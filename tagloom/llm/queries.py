@@ -37,7 +37,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "class_key")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
