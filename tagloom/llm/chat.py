@@ -3,8 +3,7 @@
 A message is a list of parts: text, image, audio or document. A visitor turns each part into
 template text: a text part into its escaped text, an attachment into a placeholder such as `<image 0>`,
 numbered within its turn, whose reference and expanded token count go to the conversation's
-attachment list. A
-turn becomes `<turn ROLE>`, a line end, its parts and `</turn>` with a line end.
+attachment list. A turn becomes `<turn ROLE>`, a line end, its parts and `</turn>` with a line end.
 
 Inside texts and roles `\\` becomes `\\b`, `<` becomes `\\l` and (in roles) `>` becomes `\\g`. So `<`
 stands in markup alone, every control string that a text holds is inert, and replacing `\\l`, `\\g`

@@ -1,4 +1,4 @@
-"""Columns by position and tables in the shared folder.
+"""Columns by position.
 
 Operators read the columns they need by position, so that extra columns of any name, also of a
 name that an operator uses itself, pass through. A wanted column is taken by its exact name, else
@@ -7,10 +7,7 @@ by its name in another case; if several match, the first one counts.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,35 +45,3 @@ def unboxed(df: DataFrame, like: DataFrame, **more: Column) -> DataFrame:
     return df.select(*[F.col(f"_row._c{i}") for i in keep], *more.values()).toDF(
         *[like.columns[i] for i in keep], *more
     )
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session's spark.checkpoint.dir names; one of its own on local[*] where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(own := tempfile.mkdtemp(prefix="tagloom-"))
-    return own
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tagloom/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: its lineage ends here."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a stored frame that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)

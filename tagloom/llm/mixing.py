@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import boxed, unboxed
+from .frames import boxed, column_index, unboxed
 
 CHUNK = 8.0
 TERMS = 64  # beyond rate 8, more than 64 events have a chance under 1e-33
@@ -91,8 +91,6 @@ def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """The copies with the columns of `docs` alone."""
     names = docs.columns
     plain = docs.toDF(*[f"_d{i}" for i in range(len(names))])
-    from .frames import column_index
-
     own = {n: F.col(f"_d{column_index(docs, n)}") for n in ("doc_id", "source", "text")}
     return replicate(plain.withColumns(own), mixture).select(*plain.columns).toDF(*names)
 

@@ -27,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .frames import boxed, narrow, stored, unboxed
+from ..operators.components import connected_components
+from ..storage import stored
+from .frames import boxed, narrow, unboxed
 
 
 @dataclass(frozen=True)

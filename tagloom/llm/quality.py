@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import boxed, column_index, stored, unboxed
+from ..storage import stored
+from .frames import boxed, column_index, unboxed
 
 # Very common words of each language. They count where they stand between white space, in lower case.
 COMMON_WORDS: dict[str, list[str]] = {

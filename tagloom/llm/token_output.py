@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import narrow, new_path
+from ..storage import new_path
+from .frames import narrow
 from .ngram_join import text_slices
 
 

@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .frames import boxed, stored, unboxed
+from ..operators.components import connected_components
+from ..storage import stored
+from .frames import boxed, unboxed
 
 Rule = tuple[str, str]  # ("block" or "allow", "host/path")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,7 +29,7 @@ TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 
 def _rest(url: Column) -> Column:
-    at = F.locate("://", url) if isinstance(url, str) else F.instr(url, "://")
+    at = F.instr(url, "://")
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
@@ -100,9 +101,8 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None) -
     `edges` may add pairs of addresses, `src` and `dst`.
     """
     kept = [c for c in pages.columns if c.lower() != "html"]
-    d = boxed(pages, "url", "html").withColumn("_row", F.struct(*[F.col(f"_row._c{i}") for i, c in enumerate(pages.columns) if c in kept]))
     like = pages.select(*kept)
-    d = d.withColumn("_row", F.struct(*[F.col("_row")[f"_c{i}"].alias(f"_c{n}") for n, i in enumerate(i for i, c in enumerate(pages.columns) if c in kept)]))
+    d = boxed(pages, "url", "html").withColumn("_row", F.struct(*[F.col("_row")[f"_c{i}"].alias(f"_c{n}") for n, i in enumerate(i for i, c in enumerate(pages.columns) if c in kept)]))
     url = F.col("k_url")
     canonical, refresh = declared_links(url, F.col("k_html"))
     d = d.select("_row", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), conventional(url).alias("_usual"), node_of(canonical).alias("_canon"), node_of(refresh).alias("_moved"))
