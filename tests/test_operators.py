@@ -192,3 +192,49 @@ def test_seek_and_reserved(spark):
     x = spark.createDataFrame([("v", i) for i in range(0, 50)], "video string, i long")
     r = spark.createDataFrame([("v", 10), ("v", 30)], "video string, i long")
     assert {y.i for y in spatial.outside_reserved(x, r, "video", "i", 4).collect()} == {i for i in range(50) if min(abs(i - 10), abs(i - 30)) > 4}
+
+
+def test_fused_row_from_votes(spark):
+    from tagloom.operators import fuse
+
+    s = spark.createDataFrame([("g", 1, "qr", "b=8051070512049;p1=100.50;p4=69,99", 0.9), ("g", 2, "barcode", "8051070512049", 0.5), ("g", 3, "qr", "junk", 0.9)], "g string, symbol_id int, symbol_type string, payload string, confidence double")
+    c = spark.createDataFrame([("g", 1, {"product_name": "Вино сух", "price_default": "100"}, {"product_name": 0.9}, 0.5, 0.3), ("g", 2, {"product_name": "Вино cух", "price_default": "нет"}, None, 0.2, 0.3)], "g string, crop_id int, fields map<string,string>, field_confidences map<string,double>, confidence double, quality double")
+    d = spark.createDataFrame([("g", 1, " red ", 0.8), ("g", 2, "white", 0.5), ("g", 3, "white", 0.2), ("g", 4, "", 1.0)], "g string, detection_id int, color string, confidence double")
+    every = fuse.ordered([fuse.symbol_votes(s, "g"), fuse.text_votes(c, "g"), fuse.color_votes(d, "g")])
+    columns = "barcode qr_code_barcode price_default price_card price1_qr price2_qr price4_qr product_name discount_amount additional_info color special_symbols".split()
+    (r,) = fuse.fused(every, "g", columns).collect()
+    assert r.asDict() == {
+        "g": "g", "barcode": "8051070512049", "qr_code_barcode": "8051070512049", "price_default": "100.50", "price_card": "69.99", "price1_qr": "100.50", "price2_qr": "94.99", "price4_qr": "69.99",
+        "product_name": "Вино сух", "discount_amount": "-30%", "additional_info": "Сухое", "color": "red", "special_symbols": "нет",
+    }
+
+
+def test_materialised_rows(spark):
+    from tagloom.operators import fuse
+
+    rows = [("t1", "123", "8051070512049", "10", "", "", "red"), ("t2", "8051070512049", "8051070512056", "", "5", "", "")]
+    df = spark.createDataFrame(rows, "track string, t_barcode string, e_barcode string, t_price_card string, e_price_card string, t_color string, e_color string")
+    got = {r.track: (r.barcode, r.price_card, r.color) for r in fuse.materialised(df, ["barcode", "price_card", "color"], F.col("track") == "none").collect()}
+    assert got == {"t1": ("8051070512049", "10", "red"), "t2": ("8051070512049", "5", "нет")}
+
+
+def test_token_sort_ratio(spark):
+    from tagloom.operators import evaluate
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 30))) for _ in "ab")
+        assert evaluate.common_length(a, b) == slow(a, b)
+    df = spark.createDataFrame([("b a", "a  b"), ("abc", "abd"), (None, ""), ("x", None)], "a string, b string")
+    assert [round(r.r, 4) for r in df.select(evaluate.token_sort_ratio("a", "b").alias("r")).collect()] == [1.0, 0.6667, 1.0, 0.0]
+    p = spark.createDataFrame([(1, "Вино сухое POGGIO", "POGGIO Вино сухое")], "k int, p_product_name string, t_product_name string")
+    assert evaluate.field_scores(p, ["k"], ["product_name"], evaluate.token_sort_ratio).head().n_matches == 1
