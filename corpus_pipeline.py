@@ -14,7 +14,7 @@ from tagloom.storage import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, quality.PRODUCTION)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

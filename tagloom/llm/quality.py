@@ -50,6 +50,8 @@ class QualityRules:
     window: int = 8
     max_char_distance: float = 0.3
     max_word_distance: float = 0.45
+    #: Most share of the word distance that a text without common words has to its language's reference. None: not asked.
+    max_word_reach: float | None = None
     guard_chars: int = 400
     guard_words: int = 60
     min_reference_docs: int = 20
@@ -147,6 +149,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
+def _reach(ref_words: Column) -> Column:
+    """The word distance of a text without common words, which is about the largest there is."""
+    return js_distance(F.transform(ref_words, lambda x, i: F.when(i == F.size(ref_words) - 1, F.lit(1.0)).otherwise(F.lit(0.0))), ref_words)
+
+
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), carry: list[str] | None = None) -> DataFrame:
     """All rows of `docs` and the columns in `carry` (default: all), with the measures, both distances (null: not judged), base_failed and kept.
 
@@ -170,6 +177,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), carry: list[str
         }
     )
     fits = (F.coalesce("_cd", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("_wd", F.lit(0.0)) <= rules.max_word_distance)
+    if rules.max_word_reach is not None:
+        fits &= F.coalesce(F.col("_wd") <= rules.max_word_reach * _reach(F.col("ref_words")), F.lit(True))
     return unboxed(
         d,
         like,
@@ -187,3 +196,7 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
     plain = docs.toDF(*[f"_d{i}" for i in range(len(names))])
     own = {n: F.col(f"_d{column_index(docs, n)}") for n in ("text", "lang")}
     return judge(plain.withColumns(own), rules, plain.columns).where("kept").select(*plain.columns).toDF(*names)
+
+
+#: For the pipeline. The registered query keeps `QualityRules()`, which its SQL spells out.
+PRODUCTION = QualityRules(max_word_reach=0.8)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import quality as Q
 
-from .helpers import DOCS, prose, rows
+from .helpers import DOCS, prose, rows, words
 
 
 def measures(text):
@@ -56,3 +56,18 @@ def test_odd_documents_go_and_clean_and_unjudged_ones_stay(spark):
     assert all(got[i] for i in range(200)) and not got[1000] and not got[1001] and all(got[i] for i in (1002, 1003, 1004))
     kept = Q.keep_good(df)
     assert kept.columns == df.columns and kept.count() == 203
+
+
+def test_the_pipeline_drops_lists_without_common_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    docs = [(i, prose(rng, rng.randint(80, 400)), "en", "s") for i in range(200)]
+    lists = [(1000 + i, " | ".join(words(rng, rng.randint(80, 200), common=0)), "en", "s") for i in range(10)]
+    # Prose of few common words, as in the given tables: references reach less far than the fixed limit.
+    few = [(2000 + i, " ".join(words(rng, rng.randint(300, 500), common=0.15)), "fr", "s") for i in range(40)]
+    few = [(i, t.replace(" the ", " de ").replace(" of ", " la ").replace(" and ", " le "), lang, s) for i, t, lang, s in few]
+    junk = [(3000 + i, " ".join(words(rng, 200, common=0)), "fr", "s") for i in range(3)]
+    df = spark.createDataFrame(docs + lists + few + junk, DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert kept == {d[0] for d in docs + few}
