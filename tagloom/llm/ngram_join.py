@@ -259,17 +259,16 @@ def _exact_pairs(sets: list[np.ndarray], block: np.ndarray | None, t: float) ->
     often = np.bincount(column)[column] > 1  # a shingle of one set meets nothing
     owner, column = owner[often], column[often]
     column = np.unique(column, return_inverse=True)[1]
-    both = np.zeros((n, n), np.float32)  # n is at most two blocks; counts stay exact below 2**24
+    both = np.zeros((n, n))  # n is at most two blocks; each product stays far below 2**24, their sum is one of doubles
     wide = max(1, 8_000_000 // n)
     for at in range(0, int(column.max(initial=-1)) + 1, wide):
         lo, hi = np.searchsorted(column, [at, at + wide])
         x = np.zeros((n, min(wide, int(column[hi - 1]) - at + 1)), np.float32)
         x[owner[lo:hi], column[lo:hi] - at] = 1
         both += x @ x.T
-    linked = both * (1 + t) >= t * (size[:, None] + size[None, :]) - 1e-3
-    close = np.argwhere(np.triu(linked & (np.abs(both * (1 + t) - t * (size[:, None] + size[None, :])) < 0.01), 1))
-    for i, j in close:  # at the edge, in whole numbers of doubles
-        linked[i, j] = linked[j, i] = float(both[i, j]) / float(size[i] + size[j] - both[i, j]) >= t
+    linked = np.empty((n, n), bool)
+    for i in range(n):  # whole numbers, which doubles hold exactly; row by row, so no more tables of this size are made
+        linked[i] = both[i] / (size[i] + size - both[i]) >= t
     np.fill_diagonal(linked, False)
     if block is not None:
         linked &= block[:, None] != block[None, :]

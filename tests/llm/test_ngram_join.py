@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,15 @@ def test_prefix_shortens_until_the_target_recall():
     assert N.ForestRules(target_recall=0.5).prefix == 5
     r = N.ForestRules()
     assert 1 - (1 - 0.8**r.prefix) ** r.trees >= 0.99999 > 1 - (1 - 0.8 ** (r.prefix + 1)) ** r.trees
+
+
+def test_very_long_texts_at_exactly_the_threshold_are_linked():
+    # c shared shingles and sizes that sum to 9c/4: similarity exactly 0.8.
+    for c in (9_116, 12_000, 40_000, 400_000):
+        for less in (0, 1):  # one shared shingle less, in texts of the same sizes
+            own = c // 4 // 2 + less, c // 4 - c // 4 // 2 + less
+            shared = np.arange(c - less, dtype=np.uint64)
+            a, b = (np.concatenate([shared, np.arange(at, at + k, dtype=np.uint64)]) for at, k in zip((1_000_000, 2_000_000), own))
+            assert len(a) + len(b) == 9 * c // 4
+            degree, _, _ = N._exact_pairs([a, b, np.arange(3_000_000, 3_000_010, dtype=np.uint64)], None, 0.8)
+            assert degree.tolist() == ([0, 0, 0] if less else [1, 1, 0]), (c, less)
