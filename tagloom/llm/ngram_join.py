@@ -94,7 +94,7 @@ def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]
     n = np.diff(bounds)
     empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total = np.zeros(len(h), np.uint64)
-    for j in range(words):
+    for j in range(min(words, len(h))):  # a slice may hold fewer words than a shingle
         total[: len(h) - j] += _mix(h[j:] + np.uint64(j + 1))
     start = np.repeat(bounds[:-1], n)
     left = n.repeat(n) - (np.arange(len(h)) - start)

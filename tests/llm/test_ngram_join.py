@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,23 @@ def test_very_long_texts_at_exactly_the_threshold_are_linked():
             assert len(a) + len(b) == 9 * c // 4
             degree, _, _ = N._exact_pairs([a, b, np.arange(3_000_000, 3_000_010, dtype=np.uint64)], None, 0.8)
             assert degree.tolist() == ([0, 0, 0] if less else [1, 1, 0]), (c, less)
+
+
+def test_slices_of_a_few_words():
+    for texts in (["w"], ["two words"], ["one two three"], ["a b c d"], ["a b c d e"], [""], ["", "x"]):
+        hashes, bounds = N.shingle_hashes(pa.array(texts), 5)
+        assert np.diff(bounds).tolist() == [1 if t else 0 for t in texts] and len(hashes) == bounds[-1]
+        # The same text gets the same shingle beside a longer one.
+        beside, at = N.shingle_hashes(pa.array([*texts, "q r s t u v w x"]), 5)
+        assert beside[: bounds[-1]].tolist() == hashes.tolist() and at[len(texts)] == bounds[-1]
+
+
+def test_small_tables_and_short_texts_before_very_long_ones(spark):
+    rng = random.Random(14)
+    tables = [["two words"], ["one two three"], ["a b c d", "a b c d"]]
+    tables.append(["two words", " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(10**6)) for _ in range(200_000)), "one two three"])
+    assert len(tables[-1][1]) > N.SLICE_BYTES
+    for texts in tables:
+        docs = [(i, t, "en", "s") for i, t in enumerate(texts)]
+        got = N.near_duplicates(spark.createDataFrame(docs, DOCS).coalesce(1)).collect()
+        assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got), key=str) == brute(docs)
