@@ -134,8 +134,9 @@ BOXED = f"""{TRACKS_SQL}, probes AS (SELECT * FROM tracks WHERE track_id % 3 = 0
 pairs AS (SELECT a.video, a.track_id AS probe, b.track_id AS found, {IOU} AS iou FROM probes a JOIN gallery b ON a.video = b.video)"""
 
 
-def _boxes(spark: SparkSession, sf_dir: str, rest: int, name: str) -> DataFrame:
-    return track_table(spark, sf_dir).where(F.col("track_id") % 3 == rest).select("video", F.col("track_id").alias(name), F.col("median_box").alias("bbox"), (F.col("track_id") % 100).alias("day"))
+def _boxes(spark: SparkSession, sf_dir: str, rest: int, name: str, sides: int = 3) -> DataFrame:
+    """Tracks of one side; with two sides every track is on one."""
+    return track_table(spark, sf_dir).where(F.col("track_id") % sides == rest).select("video", F.col("track_id").alias(name), F.col("median_box").alias("bbox"), (F.col("track_id") % 100).alias("day"))
 
 
 @query(f"WITH {BOXED} SELECT video, probe, found, round(iou, 6) AS iou FROM pairs WHERE iou >= 0.3")
@@ -294,7 +295,7 @@ def associate_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def assign_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimal assignment of probe tracks to gallery tracks of the same video and day by overlap."""
-    a, b = _boxes(spark, sf_dir, 0, "probe"), _boxes(spark, sf_dir, 1, "found")
+    a, b = _boxes(spark, sf_dir, 0, "probe", 2), _boxes(spark, sf_dir, 1, "found", 2)
     group = lambda df: df.withColumn("cell", F.concat_ws(":", "video", F.expr("day div 4")))
     p = spatial.iou_pairs(group(a), group(b), "cell", "probe", "found", "bbox", CELL, 0.18)
     p = p.withColumn("score", 240 + 220 * F.col("iou"))

@@ -354,10 +354,10 @@ PAIRS_SQL = """labelled AS (SELECT o_orderkey AS id, o_custkey % 20 AS video, 'P
 guessed AS (SELECT id, video, CASE WHEN id % 5 = 0 THEN 'Q' || name ELSE name END AS name, CASE WHEN id % 3 = 0 THEN '1.00' ELSE price END AS price, CASE WHEN id % 7 = 0 THEN '' ELSE lower(info) END AS info FROM labelled)"""
 
 
-def labelled_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled rows and perturbed predictions of them."""
+def labelled_pairs(spark: SparkSession, sf_dir: str, chosen: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Labelled rows, of all orders unless `chosen` says which, and perturbed predictions of them."""
     k = F.col("o_orderkey")
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    o = load(spark, sf_dir, "orders").where(chosen)
     t = o.select(
         k.alias("truth_id"), (F.col("o_custkey") % 20).alias("video"), F.concat(F.lit("P"), F.lpad((k % 400).cast("string"), 6, "0")).alias("product_name"), F.format_string("%.2f", F.col("o_totalprice")).alias("price_card"), F.col("o_orderpriority").alias("additional_info"),
         F.when(k % 8 == 0, k.cast("string")).otherwise(F.lit("")).alias("code"), ((k * 37) % 1800).alias("x"), ((k * 91) % 1000).alias("y"),
@@ -386,7 +386,7 @@ def _paired(p: DataFrame, t: DataFrame, matched: DataFrame) -> DataFrame:
 )
 def evaluate_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields compared by their kinds, given the pairs."""
-    p, t = labelled_pairs(spark, sf_dir)
+    p, t = labelled_pairs(spark, sf_dir, "o_orderkey % 4 = 0")  # as its SQL does
     matched = p.select("pred_id", F.col("pred_id").alias("truth_id"))
     return evaluate.field_scores(_paired(p, t, matched), ["truth_id"], FIELDS).withColumnRenamed("truth_id", "id")
 

@@ -51,3 +51,45 @@ def test_entry_and_the_rest_work_without_the_llm_folders(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "tagloom" / "llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not [x for x in q if x.startswith('op')] and len(q) > 50 and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_evaluation_takes_every_order(spark):
+    from tagloom.plans import readings
+
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    p, t = (x.toPandas() for x in readings.labelled_pairs(spark, SF))
+    assert len(p) == len(t) == n
+    (total,) = plans.queries()["evaluation_totals"](spark, SF).collect()
+    assert total.matched + total.unmatched_pred == total.matched + total.unmatched_truth == n
+
+    def iou(a, b):
+        w, h = min(a.x_max, b.x_max) - max(a.x_min, b.x_min), min(a.y_max, b.y_max) - max(a.y_min, b.y_min)
+        return w * h / (2 * 120 * 80 - w * h) if w > 0 and h > 0 else 0.0
+
+    want = set()
+    for video, left in p.groupby("video"):
+        right, edges = t[t.video == video], []
+        for a in left.itertuples():
+            for b in right.itertuples():
+                if a.code and a.code == b.code:
+                    edges.append((True, 1.0, a.pred_id, b.truth_id))
+                if (x := iou(a.bbox, b.bbox)) >= 0.5:
+                    edges.append((False, x, a.pred_id, b.truth_id))
+        seen_a, seen_b = set(), set()
+        for _, _, a, b in sorted(edges, key=lambda e: (-e[0], -e[1], e[2], e[3])):
+            if a not in seen_a and b not in seen_b:
+                seen_a.add(a), seen_b.add(b), want.add((video, a, b))
+    got = plans.queries()["evaluate_greedy_match"](spark, SF).collect()
+    assert {(r.video, r.pred_id, r.truth_id) for r in got} == want
+
+
+def test_assignment_takes_every_track(spark):
+    from tagloom.plans import observations
+
+    rows = plans.queries()["assign_one_to_one"](spark, SF).collect()
+    sides = [{r.probe for r in rows}, {r.found for r in rows}]
+    for side in sides:
+        assert {k % 3 for k in side} == {0, 1, 2}
+    every = {r.track_id for r in observations.track_table(spark, SF).select("track_id").collect()}
+    taken = [{r.k for r in observations._boxes(spark, SF, rest, "k", 2).collect()} for rest in (0, 1)]
+    assert taken[0] | taken[1] == every and not taken[0] & taken[1]
