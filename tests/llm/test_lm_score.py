@@ -89,3 +89,39 @@ def test_nulls_empty_repeats_and_clashes(spark):
     assert by[1] == by[2] == by[3] == [(0, 0.0, None)]
     assert len(by[4]) == 2 and abs(by[4][0][1] - by[4][1][1]) < 1e-4 and by[None][0][0] == 50_000
     assert L.score(df.limit(0), rules=RULES).count() == 0
+
+
+def test_words_far_above_the_fixed_ids_are_told_apart_on_held_out_text(spark):
+    from pandas.util import hash_array
+
+    rng = random.Random(11)
+    known = [f"k{i}" for i in range(4000)]  # four times the fixed ids
+    line = lambda: " ".join(w for _ in range(20) for w in ("the", rng.choice(known), "and"))
+    docs = [(i, line(), "en", "s") for i in range(1500)] + [(5000 + i, f"the {w} and {w}", "en", "s") for i, w in enumerate(known)] + [(9000 + i, f"the once{i} and", "en", "s") for i in range(3000)]
+    rules = L.LmRules(quantum=20_000, batch=256, words_per_root=14.0)
+    net = L.train(spark.createDataFrame(docs, DOCS).repartition(3), rules)
+    seen = len({w for _, t, _, _ in docs for w in t.split()})
+    assert 4000 < len(net["words"]) < seen and net["spread"] > 0
+    # Every own word keeps an id of its own, the others share ids that no own word has.
+    ids, _ = L.token_ids(pa.array([" ".join(["the", "and", *known])]), net)
+    assert len(set(ids)) == 4002 and max(ids) < len(net["words"])
+    held = pa.array([line() for _ in range(40)])
+    n, before = L.score_texts(L.start(rules, net["words"], 10), held, rules)
+    after = L.score_texts(net, held, rules)[1]
+    assert after.sum() / n.sum() > before.sum() / n.sum() + 3
+    # Unseen words that share a known word's id of 1,024 score lower than it.
+    code = lambda words: hash_array(np.array(words, object), categorize=False) % np.uint64(L.VOCABULARY)
+    junk = dict(zip(code(made := [f"junk{i}" for i in range(20_000)]).tolist(), made))
+    wrong = pa.array([" ".join(w if w in ("the", "and") else junk[int(code([w])[0])] for w in t.split()) for t in held.to_pylist()])
+    assert (L.score_texts(net, wrong, rules)[1] < after).all()
+
+
+def test_rounds_take_every_token_once_and_go_on_from_the_last(spark):
+    docs = spark.createDataFrame(corpus(12, 400), DOCS)
+    net, tokens = L.vocabulary(docs, RULES)
+    assert tokens == sum(len(t.split()) for _, t, _, _ in corpus(12, 400)) > RULES.quantum
+    untrained = L.Trainer(net, RULES)
+    held = pa.array([t for _, t, _, _ in corpus(13, 40)])
+    one = L.score_texts(L.train(docs, RULES), held, RULES)[1].sum()
+    more = L.score_texts(L.train(docs.unionByName(spark.createDataFrame(corpus(14, 3000), DOCS)), RULES), held, RULES)[1].sum()
+    assert more > one > L.score_texts(untrained.net, held, RULES)[1].sum()
