@@ -102,11 +102,14 @@ def token_lists(texts: pa.Array, known: WordIds) -> tuple[np.ndarray, np.ndarray
     """The ids of all texts one after the other, and the number of each text's.
 
     The different words of the texts are cut once more: full stops and commas behind a letter or digit are words of their
-    own to the tokenizer. ASCII letters are put in lower case, as it would.
+    own to the tokenizer. ASCII letters are put in lower case, as it would, except in words that may hold a special token, which
+    it looks for in the raw text.
     """
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = words.flatten().dictionary_encode()
-    cut = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(coded.dictionary), r"([\pL\pN])([.,]+)$", r"\1 \2"), " ")
+    raw = coded.dictionary
+    lowered = pc.if_else(pc.match_substring(raw, "<|"), raw, pc.ascii_lower(raw))
+    cut = pc.split_pattern(pc.replace_substring_regex(lowered, r"([\pL\pN])([.,]+)$", r"\1 \2"), " ")
     parts = cut.flatten().dictionary_encode()
     at = known.places(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
     pool, ends = _gathered(known.pool, known.ends, at)

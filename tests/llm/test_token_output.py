@@ -46,3 +46,13 @@ def test_repeats_nulls_and_empty(spark):
     assert all(a + n == b for (a, n, _), (b, _, _) in zip(spans, spans[1:]))
     _, none = T.tokenize_to_orc(df.limit(0), T.OutputRules(PATH))
     assert none.count() == 0
+
+
+def test_special_tokens_in_other_letter_case_are_plain_text():
+    import pyarrow as pa
+
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> B", "X<|STARTOFTEXT|>Y.", "A<|endoftext|>B,", "<|<|ENDOFTEXT|>", "Up <| DOWN |> <|Other|>", "", "END. <|startoftext|>. <|ENDOFTEXT|>."]
+    known = T.WordIds(tokenizers.Tokenizer.from_file(PATH), 1000)
+    ids, counts = T.token_lists(pa.array(texts), known)
+    at = [0, *counts.cumsum()]
+    assert [[*ids[a:b].tolist(), 1] for a, b in zip(at, at[1:])] == whole(texts)
