@@ -1,12 +1,13 @@
-"""Near-duplicate join on word shingles: a MinHash LSH forest, then exact Jaccard similarity.
+"""Near-duplicate join on word shingles: MinHash bands, then exact Jaccard similarity.
 
 1. Texts are lower-cased, white space is unified, and texts with the same words share a key.
-2. Each text gets one MinHash label per tree of the forest: `depth` values that spell a path from
-   the root. The matched prefix starts at the full depth and is shortened until the chance that a
-   pair at the threshold meets in some tree reaches the target recall.
-3. Within every shared prefix, rows in the order of the trie are linked where their signatures
-   agree; a leader per run links its whole subtree at once, so no pairs of a group are listed.
-   Prefixes with very many members are dealt out in pairs of blocks.
+2. Each text gets `trees` labels of `depth` MinHash values. Fixed bands stand in for an LSH forest: of every
+   label the longest prefix is used with which a pair at the threshold meets in some label at the
+   target recall. It follows from the constants, is hashed to a bucket and joined by equality; no trie is
+   walked and no prefix is shortened for a text or input.
+3. Within every bucket, rows in the order of their signatures are linked where these
+   agree; a leader per run links all that agree with it at once, so no pairs of a group are listed.
+   Buckets with very many members are dealt out in pairs of blocks.
 4. Connected components of these links are the candidate groups. Each text's shingles travel once
    to its group, again in pairs of blocks where a group is large, and there every pair is compared
    exactly by sparse products of shingle columns. Classes are the components of exact links.
