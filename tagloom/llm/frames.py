@@ -38,10 +38,14 @@ def boxed(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
-def unboxed(df: DataFrame, like: DataFrame, **more: Column) -> DataFrame:
-    """Rows of `boxed` with the columns of `like`; `more` adds columns and replaces those of the same name."""
+def unboxed(df: DataFrame, like: DataFrame, only: list[int] | None = None, **more: Column) -> DataFrame:
+    """Rows of `boxed` with the columns of `like`, or those at the places `only`; `more` adds columns and replaces those of the same name."""
     taken = {m.lower() for m in more}
-    keep = [i for i, c in enumerate(like.columns) if c.lower() not in taken]
-    return df.select(*[F.col(f"_row._c{i}") for i in keep], *more.values()).toDF(
-        *[like.columns[i] for i in keep], *more
-    )
+    names = like.columns
+    keep = [i for i in (range(len(names)) if only is None else only) if names[i].lower() not in taken]
+    return df.select(*[F.col(f"_row._c{i}") for i in keep], *more.values()).toDF(*[names[i] for i in keep], *more)
+
+
+def only_boxed(df: DataFrame, places: list[int]) -> DataFrame:
+    """Rows of `boxed` whose `_row` holds the columns at these places alone."""
+    return df.withColumn("_row", F.struct(*[F.col("_row")[f"_c{i}"].alias(f"_c{i}") for i in places]))

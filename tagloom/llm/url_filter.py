@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import stored
-from .frames import boxed, unboxed
+from .frames import boxed, column_index, only_boxed, unboxed
 
 Rule = tuple[str, str]  # ("block" or "allow", "host/path")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,31 +68,88 @@ def conventional(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
+#: An attribute inside a tag: its name, and its value in double, single or no quotes. Quoted values are taken whole.
+ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+#: What a tag of a name holds up to its end; `>` inside quotes doesn't end it.
+TAG = r"""(?is)<{}(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+UNREAD = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    return F.replace(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'>]*)""", 1), F.lit("&amp;"), F.lit("&"))
+    """The value of a tag's first attribute of that name; empty if there is none."""
+    named = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name)
+    value = F.regexp_extract(F.get(named, F.lit(0)), r"(?s)^[^=]*=\s*(.*)$", 1)
+    bare = F.when(value.rlike(r"""^["']"""), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.replace(F.coalesce(bare, F.lit("")), F.lit("&amp;"), F.lit("&"))
+
+
+def _first_tag(html: Column, name: str, fits) -> Column:
+    """The first tag of that name that fits."""
+    return F.get(F.filter(F.regexp_extract_all(html, F.lit(TAG.format(name)), F.lit(0)), fits), F.lit(0))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without the segments `.` and `..`."""
+
+    def step(a: Column, x: Column) -> Column:
+        up = F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
 
+    def joined(walked: Column) -> Column:
+        return F.concat(F.lit("/"), F.array_join(walked, "/"))
 
-def _absolute(url: Column, target: Column) -> Column:
-    """A link's target, as seen from a page; null if it is empty."""
-    t = F.trim(target)
-    scheme = F.substring_index(url, "://", 1)
-    root = F.concat(scheme, F.lit("://"), host_of(url))
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
-    return (
+    # A last `.` or `..` leaves the folder's slash.
+    marked = F.regexp_replace(path, r"/(\.{1,2})$", "/$1/")
+    walked = F.aggregate(F.slice(F.split(marked, "/"), 2, 1 << 30), F.array().cast("array<string>"), step, joined)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), walked).otherwise(path)
+
+
+def _absolute(df: DataFrame, name: str, base: str, target: Column) -> DataFrame:
+    """Adds column `name`: a link's target, as seen from the address in column `base`; null if it is empty or no web address.
+
+    The parts are columns, so that no expression holds another many times.
+    """
+    web, other = r"^[A-Za-z][A-Za-z0-9+.\-]*://", r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+    df = df.withColumns({"_to": F.trim(target), "_from": path_of(F.col(base)), "_asked": query_of(F.col(base)), "_root": F.concat(F.substring_index(base, "://", 1), F.lit("://"), host_of(F.col(base)))})
+    t, root, own = F.col("_to"), F.col("_root"), F.col("_from")
+    folder = F.regexp_replace(own, r"[^/]*$", "")
+    path = F.regexp_extract(t, r"^[^?#]*", 0)
+    df = df.withColumn("_path", F.when(t.startswith("/"), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)))
+    df = df.withColumn("_path", _without_dots(F.col("_path")))
+    asked = F.when(F.col("_asked") != "", F.concat(F.lit("?"), F.col("_asked"))).otherwise(F.lit(""))
+    found = (
         F.when(F.coalesce(t, F.lit("")) == "", F.lit(None).cast("string"))
-        .when(F.instr(t, "://") > 0, t)
-        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
-        .when(t.startswith("/"), F.concat(root, t))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), t))
+        .when(t.rlike(web), t)
+        .when(t.startswith("//"), F.concat(F.substring_index(root, "://", 1), F.lit(":"), t))
+        .when(t.startswith("?"), F.concat(root, own, t))
+        .when(t.startswith("#"), F.concat(root, own, asked, t))
+        .when(t.rlike(other), F.lit(None).cast("string"))
+        .otherwise(F.concat(root, F.col("_path"), F.regexp_extract(t, r"^[^?#]*(.*)$", 1)))
     )
+    return df.withColumn(name, found).drop("_to", "_from", "_asked", "_root", "_path")
+
 
+def declared_links(df: DataFrame) -> DataFrame:
+    """Adds to `k_url`, `k_html` the canonical link `_canon` and the meta refresh target `_moved` of a page, absolute, or null.
 
-def declared_links(url: Column, html: Column) -> tuple[Column, Column]:
-    """The canonical link and the meta refresh target of a page, absolute, or null."""
-    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>""", 0)
-    target = F.regexp_extract(_attribute(meta, "content"), r"(?i)\burl\s*=\s*(.*)$", 1)
-    return _absolute(url, _attribute(link, "href")), _absolute(url, target)
+    Comments, scripts, styles and templates declare nothing. Targets are resolved against `<base href>`, else the page's address.
+    """
+    # Only pages that may declare a link are read further.
+    df = df.withColumn("_read", F.when(F.col("k_html").rlike(r"(?i)\bcanonical\b|\brefresh\b"), F.regexp_replace("k_html", UNREAD, " ")))
+    read = F.col("_read")
+    df = df.withColumns(
+        {
+            "_link": _first_tag(read, "link", lambda t: F.array_contains(F.split(F.lower(F.trim(_attribute(t, "rel"))), r"\s+"), "canonical")),
+            "_meta": _first_tag(read, "meta", lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh"),
+            "_base": _first_tag(read, "base", lambda t: _attribute(t, "href") != ""),
+        }
+    ).drop("_read")
+    df = df.withColumns({"_link": _attribute(F.col("_link"), "href"), "_content": _attribute(F.col("_meta"), "content"), "_base": _attribute(F.col("_base"), "href")})
+    at = r"""(?is)^\s*[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*).*|'([^']*).*|([^"'].*))$"""
+    df = df.withColumn("_meta", F.concat(*[F.regexp_extract("_content", at, i) for i in (1, 2, 3)]))
+    df = _absolute(df, "_base", "k_url", F.col("_base")).withColumn("_base", F.coalesce("_base", "k_url"))
+    df = _absolute(_absolute(df, "_canon", "_base", F.col("_link")), "_moved", "_base", F.col("_meta"))
+    return df.drop("_link", "_meta", "_content", "_base")
 
 
 def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None) -> DataFrame:
@@ -100,12 +157,11 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None) -
 
     `edges` may add pairs of addresses, `src` and `dst`.
     """
-    kept = [c for c in pages.columns if c.lower() != "html"]
-    like = pages.select(*kept)
-    d = boxed(pages, "url", "html").withColumn("_row", F.struct(*[F.col("_row")[f"_c{i}"].alias(f"_c{n}") for n, i in enumerate(i for i, c in enumerate(pages.columns) if c in kept)]))
+    kept = [i for i in range(len(pages.columns)) if i != column_index(pages, "html")]
+    d = only_boxed(boxed(pages, "url", "html"), kept)
     url = F.col("k_url")
-    canonical, refresh = declared_links(url, F.col("k_html"))
-    d = d.select("_row", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), conventional(url).alias("_usual"), node_of(canonical).alias("_canon"), node_of(refresh).alias("_moved"))
+    d = declared_links(d)
+    d = d.select("_row", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), conventional(url).alias("_usual"), node_of(F.col("_canon")).alias("_canon"), node_of(F.col("_moved")).alias("_moved"))
     d = stored(d.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)), "urls")
     links = d.select("node", F.explode(F.array(F.coalesce("_canon", "_usual"), "_moved")).alias("other"))
     if edges is not None:
@@ -114,9 +170,12 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None) -
     action = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
     per = groups.groupBy("component").agg(F.max(F.coalesce(action == "block", F.lit(False))).alias("b"), F.max(F.coalesce(action == "allow", F.lit(False))).alias("a"))
     blocked = groups.join(per.where("b and not a"), "component").select("node", F.lit(True).alias("blocked"))
-    d = d.join(blocked, "node", "left")
+    # Rows that a rule decides, and those without a host, need no component: a hot host or very many nulls aren't joined.
+    ruled = F.col("found").isNotNull() | F.col("node").isNull()
+    rest = d.where(~ruled).join(blocked, "node", "left")
+    d = d.where(ruled).withColumn("blocked", F.lit(None).cast("boolean")).unionByName(rest)
     verdict = F.coalesce(F.col("found.action"), F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
-    return unboxed(d, like, host=F.col("host"), path=F.col("path"), rule=F.col("found.rule"), verdict=verdict)
+    return unboxed(d, pages, kept, host=F.col("host"), path=F.col("path"), rule=F.col("found.rule"), verdict=verdict)
 
 
 #: The rules of the registered query.

@@ -47,6 +47,55 @@ def test_redirects_and_canonical_links_carry_blocks(spark):
     assert judged(spark, pages, edges=extra)[4]["verdict"] == "block"
 
 
+def test_links_are_read_as_browsers_do(spark):
+    canon, moved = (lambda x: f"<link rel=canonical {x}>"), (lambda x: f'<meta http-equiv="refresh" content="{x}">')
+    cases = [
+        (canon('href="/login?next=http://bad.net/y"'), "://h.com/login?next=http://bad.net/y", None),
+        (moved("0;url='http://bad.net/y'"), None, "://bad.net/y"),
+        (moved("3, http://bad.net/y"), None, "://bad.net/y"),
+        ("<meta content='1; URL=\"//bad.net/y\"' http-equiv=Refresh>", None, "://bad.net/y"),
+        (canon('data-href="u" href="http://bad.net/y"'), "://bad.net/y", None),
+        (canon('title="a > b href=z" href=http://x.com/y rel2=z'), "://x.com/y", None),
+        ('<link rel="alternate Canonical" href="?q=2&amp;r=3">', "://h.com/a/b?q=2&r=3", None),
+        (canon('href="#top"'), "://h.com/a/b?i=1", None),
+        (canon('href="../x/./y/../z"'), "://h.com/x/z", None),
+        (canon('href="../../../.."'), "://h.com/", None),
+        (canon('href="c d"'), "://h.com/a/c d", None),
+        ('<base href="https://base.org/k/">' + canon("href=m"), "://base.org/k/m", None),
+        (canon('href="mailto:a@b.c"'), None, None),
+        (moved("5"), None, None),
+        ("<!-- " + canon("href=http://bad.net/") + " --><script>'" + canon("href=http://bad.net/") + "'</script>", None, None),
+        ('<linked rel=canonical href="http://bad.net/"><a rel=canonical href="http://bad.net/">refresh</a>', None, None),
+        ("canonical " + "<p>x</p>" * 20_000 + canon("href='http://x.com/long'"), "://x.com/long", None),
+    ]
+    df = spark.createDataFrame([(i, "http://h.com/a/b?i=1", h) for i, (h, _, _) in enumerate(cases)], PAGES)
+    found = U.declared_links(df.toDF("page_id", "k_url", "k_html"))
+    got = sorted(tuple(r) for r in found.select("page_id", U.node_of(F.col("_canon")), U.node_of(F.col("_moved"))).collect())
+    assert got == [(i, c, m) for i, (_, c, m) in enumerate(cases)]
+
+
+def test_verdicts_change_through_chains_of_three_links(spark):
+    refresh = lambda to: f'<meta http-equiv="refresh" content="0; url=\'{to}\'">'
+    pages = [
+        (1, "http://one.com/", refresh("http://two.com/")), (2, "http://two.com/", '<link rel="canonical" href="http://three.com/">'),
+        (3, "http://three.com/", refresh("http://bad.net/")), (4, "http://good.com/", refresh("http://better.com/")),
+        (5, "http://shop.com/a", refresh("http://shop.com/b")), (6, "http://shop.com/b", refresh("http://evil.net/")),
+        (7, "http://evil.net/", refresh("http://x.org/fr/home")), (8, None, refresh("http://bad.net/")),
+    ]
+    got = judged(spark, pages)
+    # An allowed address in the component takes precedence for all its aliases without a rule.
+    assert {k: v["verdict"] for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow"}
+    alone = judged(spark, [(i, u, None) for i, u, _ in pages])
+    assert {k for k in got if got[k]["verdict"] != alone[k]["verdict"]} == {1, 2, 3}
+
+
+def test_names_in_another_case_and_with_dots(spark):
+    df = spark.createDataFrame([("old", 1, "http://a.net/", "", 5, "HT")], "`URL` string, page_id long, url string, html string, `a.b` int, `HTML` string")
+    got = U.judge(df, U.QUERY_RULES)
+    assert got.columns == ["URL", "page_id", "url", "a.b", "HTML", "host", "path", "rule", "verdict"]
+    assert tuple(got.head()) == ("old", 1, "http://a.net/", 5, "HT", "a.net", "/", "net/", "block")
+
+
 def test_clashing_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.net/", "")], PAGES).withColumn("host", F.lit("own")).withColumn("node", F.lit(3))
     (r,) = rows(U.judge(df, U.QUERY_RULES))
