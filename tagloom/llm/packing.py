@@ -5,9 +5,12 @@ another length can be given as a column. A document longer than the largest capa
 pieces of that capacity and one rest, so nothing is dropped. Pieces are dealt by hash into packing
 groups of about `group_tokens`, whose number follows the input. In a group, pieces go longest first
 into the bin with the least room that still holds them. If none does, a bin of the least-cost
-capacity is opened: the cost of a capacity is compared per token that it is expected to hold, its
-free room counting with the share `fill` of it that bins usually fill. At the end each bin shrinks
-to the least capacity that holds its contents.
+capacity is opened: capacities are compared by their cost per token that they are expected to hold.
+A bin's room is expected to take the share `fill` of it, but no more than the tokens of the later
+pieces that are short enough for it and that the bins already open leave over. A sequence has a
+fixed cost, so larger bins pay while there is enough to fill them, and attention, which grows
+with the square, so the largest ones don't. At the end each bin shrinks to the least capacity that
+holds its contents.
 
 Only (doc_id, piece, length) travel. Recovery: groups are deterministic, so a lost task repeats.
 
@@ -33,20 +36,25 @@ from .frames import column_index, narrow
 @dataclass(frozen=True)
 class PackRules:
     capacities: tuple[int, ...] = (2048, 4096, 8192, 16384, 32768)
-    #: Cost of a sequence of each capacity; default: its tokens, and attention that grows with their square.
+    #: Cost of a sequence of each capacity; default: `overhead`, its tokens, and attention that grows with their square.
     costs: tuple[float, ...] | None = None
+    overhead: float = 256.0
+    #: The length at which attention costs as much as all the rest of a token.
+    attention: float = 262_144.0
     fill: float = 0.97
     group_tokens: int = 4_000_000
     seed: int = 5
 
     def cost(self) -> tuple[float, ...]:
-        return self.costs or tuple(c + c * c / 262_144 for c in self.capacities)
+        return self.costs or tuple(self.overhead + c + c * c / self.attention for c in self.capacities)
 
 
 def best_fit(lengths: Sequence[int], rules: PackRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of every length (longest first), and the final capacity of every bin."""
     capacities, costs = rules.capacities, rules.cost()
-    opens: dict[int, int] = {}  # length to the capacity to open
+    after = np.concatenate([np.cumsum(np.asarray(lengths, np.int64)[::-1])[::-1], [0]]).tolist()  # tokens from each piece on
+    falling = [-x for x in lengths]
+    room_left = 0  # of all open bins
     rooms: list[int] = []  # different amounts of room, ascending
     waiting: dict[int, list[int]] = {}  # room to the bins that have it
     used: list[int] = []
@@ -61,12 +69,18 @@ def best_fit(lengths: Sequence[int], rules: PackRules) -> tuple[np.ndarray, np.n
             if not bins:
                 del waiting[room], rooms[at]
         else:
-            if length not in opens:
-                per_token = [(cost / (length + rules.fill * (c - length)), c) for c, cost in zip(capacities, costs) if c >= length]
-                opens[length] = min(per_token)[1]
-            b, room = len(used), opens[length]
+            best = None
+            for c, cost in zip(capacities, costs):
+                if c >= length:
+                    later = after[max(n + 1, bisect_left(falling, length - c))] - room_left
+                    per_token = cost / (length + min(rules.fill * (c - length), max(0, later)))
+                    if best is None or per_token < best[0]:
+                        best = per_token, c
+            b, room = len(used), best[1]
             used.append(0)
             size.append(room)
+            room_left += room
+        room_left -= length
         where[n], offset[n] = b, used[b]
         used[b] += length
         room -= length
@@ -75,6 +89,7 @@ def best_fit(lengths: Sequence[int], rules: PackRules) -> tuple[np.ndarray, np.n
                 waiting[room] = []
                 insort(rooms, room)
             waiting[room].append(b)
+    # Downsizing.
     final = np.array(capacities)[np.searchsorted(capacities, used)] if used else np.empty(0, np.int64)
     return where, offset, final
 

@@ -19,16 +19,18 @@ def naive(lengths, r):
             pick = min(fits)[2]
         else:
             pick = len(bins)
-            bins.append([min((k / (length + r.fill * (c - length)), c) for c, k in zip(r.capacities, r.cost()) if c >= length)[1], 0, 0])
+            left = sum(c - u for c, u, _ in bins)
+            held = lambda c: length + min(r.fill * (c - length), max(0, sum(x for x in lengths[n + 1 :] if x <= c - length) - left))  # noqa: B023, E731
+            bins.append([min((k / held(c), c) for c, k in zip(r.capacities, r.cost()) if c >= length)[1], 0, 0])
         bins[pick][1] += length
         bins[pick][2] = n
     return sorted((min(c for c in r.capacities if c >= u), u) for _, u, _ in bins)
 
 
 def test_best_fit_matches_the_naive_search():
-    r = P.PackRules(capacities=(8, 20, 50))
     rng = random.Random(1)
-    for _ in range(60):
+    for turn in range(60):
+        r = P.PackRules(capacities=(8, 20, 50), overhead=(0.0, 4.0, 30.0)[turn % 3], attention=(1e9, 100.0)[turn % 2])
         lengths = sorted((rng.randint(1, 50) for _ in range(rng.randint(0, 80))), reverse=True)
         where, offset, final = P.best_fit(lengths, r)
         used = defaultdict(int)
@@ -39,6 +41,38 @@ def test_best_fit_matches_the_naive_search():
         assert len(used) == len(final)
 
 
+def test_capacities_are_chosen_jointly_and_bins_shrink():
+    r = P.PackRules()
+    rng = random.Random(4)
+    lengths = sorted((min(32768, int(rng.lognormvariate(7.2, 1.3)) + 1) for _ in range(3000)), reverse=True)
+    where, _, final = P.best_fit(lengths, r)
+    first = {}
+    for b, n in zip(where.tolist(), lengths):
+        first.setdefault(b, n)  # the piece that opened the bin
+    smallest = lambda n: next(c for c in r.capacities if c >= n)
+    assert sum(final[b] > smallest(n) for b, n in first.items()) > len(final) / 4
+    cost = dict(zip(r.capacities, r.cost()))
+    total = sum(cost[c] for c in final.tolist())
+    for alone in ((c,) for c in r.capacities if c >= max(lengths)):
+        assert total < sum(cost[alone[0]] for _ in P.best_fit(lengths, P.PackRules(capacities=alone))[2])
+    # The smallest capacity that fits, filled best, costs more.
+    rooms = []
+    for n in lengths:
+        fits = min((c - u, i) for i, (c, u) in enumerate(rooms) if c - u >= n) if any(c - u >= n for c, u in rooms) else None
+        if fits is None:
+            rooms.append((smallest(n), n))
+        else:
+            rooms[fits[1]] = (rooms[fits[1]][0], rooms[fits[1]][1] + n)
+    assert total < sum(cost[smallest(u)] for _, u in rooms)
+    # The last bins hold less than was expected when they were opened.
+    few = sorted((rng.randint(1, 900) for _ in range(6)), reverse=True)
+    opened = {}
+    where, _, final = P.best_fit(few, r)
+    for b, n in zip(where.tolist(), few):
+        opened[b] = opened.get(b, 0) + n
+    assert all(int(final[b]) == smallest(u) for b, u in opened.items())
+
+
 def test_every_token_is_packed_once(spark):
     r = P.PackRules(capacities=(16, 64), group_tokens=300)
     texts = {1: "a" * 200, 2: None, 3: "", 4: "é" * 30, **{10 + i: "x" * (i % 40) for i in range(60)}}
