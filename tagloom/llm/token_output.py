@@ -5,8 +5,9 @@ are made in file order and never shuffled. ORC stores the list of ids with its r
 keeps the least and greatest doc_id per stripe and row group, and a Bloom filter on doc_id, so that
 readers take stripes in parallel and skip those that cannot hold a document.
 
-The tokenizer never joins across white space, so each different word of a batch is encoded once and
-the ids of a text are those of its words in order.
+A tokenizer whose definition shows that it never joins across white space (see `splits_at_space`) encodes each
+different word of a worker once, and the ids of a text are those of its words in order. Every task first
+compares both ways on texts made for it. Any other tokenizer encodes whole texts.
 
 Defined cases: null and empty texts have the end id alone. Null doc_ids come first. Rows that repeat
 a doc_id follow each other, in the order of their texts' hashes; a doc_id that very many rows repeat
@@ -15,6 +16,7 @@ is spread over several files. Empty tables give no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,11 +45,54 @@ class OutputRules:
     slice_bytes: int = 4_000_000
 
 
+# The definition, as the library prints it, for which words can be encoded apart. White space becomes blanks, letters
+# small ones one by one; runs of letters, single digits and runs of other signs are cut apart, and what is between them is dropped.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PROBES = (
+    "",
+    " \n\t ",
+    "One two,  THREE... don't 12,5 3.4%\r\nx",
+    "a\u00a0b\u2003c \u0301d e\u0301 \u00c4\u0130\u1e9e \u03a3\u0391\u03a3. \U0001f388\u200d x\x1cy",
+    "<|startoftext|> A<|endoftext|>b, <|ENDOFTEXT|>. <|x|>",
+    "I'LL we've '' ''s. -- (a.b), A.B., 1., ..",
+)
+
+
+def splits_at_space(tokenizer) -> bool:
+    """Whether the ids of a text are those of its words one after the other, in lower case where no special token can be met.
+
+    It follows from the definition: the normalizer and the cuts never look across white space, pieces are merged inside a cut
+    without chance or unknown signs, added tokens are taken from the raw text, hold no white space and begin with `<|`, and nothing is
+    added, cut or padded.
+    """
+    d = json.loads(tokenizer.to_str())
+    model, added = d["model"], d["added_tokens"]
+    plain = not any((model.get("dropout"), model.get("unk_token"), model.get("continuing_subword_prefix"), model.get("byte_fallback"), d["truncation"], d["padding"]))
+    apart = all(a["content"].startswith("<|") and a["content"].split() == [a["content"]] and not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in added)
+    cuts = {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    return model["type"] == "BPE" and plain and apart and d["normalizer"] == NORMALIZER and d["pre_tokenizer"] == cuts
+
+
+def whole_ids(texts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and the number of each text's, from the library on whole texts."""
+    each = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    size = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter((i for x in each for i in x), np.int32, int(size.sum())), size
+
+
 class WordIds:
     """The ids of words met so far, in one pool of numbers; it starts anew when it holds too many words."""
 
     def __init__(self, tokenizer, most: int):
         self.tokenizer, self.most = tokenizer, most
+        self.by_words = splits_at_space(tokenizer)
         vocabulary = tokenizer.get_vocab()
         #: Whether an id ends a word, in vocabularies that mark it.
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -68,9 +113,7 @@ class WordIds:
             # Every word ends at least once, so equal numbers mean once each.
             if len(ends) == len(words):
                 return ids, np.diff(np.concatenate([[0], ends]))
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter((i for x in each for i in x), np.int32, int(size.sum())), size
+        return whole_ids(words, self.tokenizer)
 
     def places(self, words: list[str]) -> np.ndarray:
         fresh = [w for w in words if w not in self.place]
@@ -105,6 +148,8 @@ def token_lists(texts: pa.Array, known: WordIds) -> tuple[np.ndarray, np.ndarray
     own to the tokenizer. ASCII letters are put in lower case, as it would, except in words that may hold a special token, which
     it looks for in the raw text.
     """
+    if not known.by_words:
+        return whole_ids(pc.fill_null(texts, "").to_pylist(), known.tokenizer)
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = words.flatten().dictionary_encode()
     raw = coded.dictionary
@@ -127,7 +172,10 @@ def _known(path: str, most: int) -> WordIds:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads of the library hold memory each
-    return WordIds(Tokenizer.from_file(path), most)
+    known = WordIds(Tokenizer.from_file(path), most)
+    by_words, whole = token_lists(pa.array(PROBES), known), whole_ids(list(PROBES), known.tokenizer)
+    known.by_words &= all(np.array_equal(a, b) for a, b in zip(by_words, whole))
+    return known
 
 
 def _tokenized(rules: OutputRules):
@@ -190,8 +238,9 @@ def positions(spark: SparkSession, path: str, id_type: str) -> DataFrame:
     df = read_ids(spark, path, id_type).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place"))
     m = df.mapInArrow(_measured, f"doc_id {id_type}, file string, place struct<at:long,row:long>, n_tokens long, ids_crc32 long")
     files = m.groupBy("file").agg(F.sum("n_tokens").alias("t"))
-    # One row a file.
-    files = files.select("file", F.coalesce(F.sum("t").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # One row a file. Files go by number: names of more than five digits don't sort as text.
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    files = files.select("file", F.coalesce(F.sum("t").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     w = Window.partitionBy("file").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, -1)
     m = m.withColumn("inside", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).join(files, "file")
     return m.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

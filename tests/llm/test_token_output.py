@@ -56,3 +56,33 @@ def test_special_tokens_in_other_letter_case_are_plain_text():
     ids, counts = T.token_lists(pa.array(texts), known)
     at = [0, *counts.cumsum()]
     assert [[*ids[a:b].tolist(), 1] for a, b in zip(at, at[1:])] == whole(texts)
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = str(public.path("byte_bpe_50k.json"))
+    t = tokenizers.Tokenizer.from_file(path)
+    assert not T.splits_at_space(t) and T.splits_at_space(tokenizers.Tokenizer.from_file(PATH))
+    texts = ["Two words, and  more\n\nhere", None, " x", "a<|endoftext|>b", "é" * 3000]
+    df = spark.createDataFrame([(i, x, "", "") for i, x in enumerate(texts)], DOCS)
+    path_of_files, _ = T.tokenize_to_orc(df, T.OutputRules(path, end_id=50256))
+    got = {r["doc_id"]: r["ids"] for r in rows(T.read_ids(spark, path_of_files))}
+    assert got == {i: [*t.encode(x or "", add_special_tokens=False).ids, 50256] for i, x in enumerate(texts)}
+
+
+def test_probes_hold_and_a_changed_definition_falls_back():
+    known = T._known.__wrapped__(PATH, 1000)
+    assert known.by_words
+    t = tokenizers.Tokenizer.from_file(PATH)
+    t.normalizer = tokenizers.normalizers.NFKC()
+    assert not T.splits_at_space(t)
+
+
+def test_files_are_numbered_not_sorted_as_text(spark, tmp_path):
+    """With more than 100,000 files, names have different widths."""
+    for name, ids in (("part-99999-x", [(1, [5, 1]), (2, [1])]), ("part-100000-x", [(3, [7, 8, 1])])):
+        spark.createDataFrame(ids, "doc_id long, ids array<int>").coalesce(1).write.orc(f"{tmp_path}/{name}")
+        (part,) = (tmp_path / name).glob("part-*.orc")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        part.rename(tmp_path / "all" / f"{name}.orc")
+    got = sorted((r["doc_id"], r["start"]) for r in rows(T.positions(spark, str(tmp_path / "all"), "long")))
+    assert got == [(1, 0), (2, 2), (3, 3)]
