@@ -1,15 +1,14 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-Each document's histogram of character classes and its histogram of common words are compared with
-the histograms of its language by the Jensen-Shannon distance (base 2, 0 to 1). The references
-come from all documents of the input: per language, the mean of the histograms of the documents
-that pass the length guards. So there are at most as many references as languages in
-`COMMON_WORDS`, which bounds what is broadcast.
-
-Defined cases: a null or empty text has no words and fails the base rules. A document of a null
-or unlisted language, one shorter than a guard, and one of a language with fewer than
-`min_reference_docs` such documents is not judged by the distances. Rows with equal texts and
-languages get equal verdicts, repeated rows stay repeated.
+Each document's histogram of character classes and its histogram of common words are compared with the references of
+its language by the Jensen-Shannon distance (base 2, 0 to 1). References are fixed: the shares of character
+classes in running text, and for the common words, listed by rank, a share that falls with the rank (Zipf's law). So a
+verdict depends on the document alone, and nothing is shuffled. The measures are written to the shared folder once, so that no
+later filter on a verdict makes them again.
+
+Defined cases: a null or empty text has no words and fails the base rules. A document of a null or unlisted language and
+one shorter than a guard is not judged by the distances. Rows with equal texts and languages get equal
+verdicts, repeated rows stay repeated. Extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -20,25 +19,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .frames import boxed, column_index, unboxed
-
-# Very common words of each language. They count where they stand between white space, in lower case.
-COMMON_WORDS: dict[str, list[str]] = {
-    "en": "the of and to in is it that for with on as".split(),
-    "fr": "de la le les et des en un une du que qui".split(),
-    "de": "der die und in den von zu das mit sich des ist".split(),
-    "es": "de la que el en y a los se las por un".split(),
+from .frames import boxed, column_index, only_boxed, unboxed
+
+# The most common words of each language by rank. They count in any letter case, with points cut off.
+COMMON_WORDS: dict[str, tuple[str, ...]] = {
+    "en": (
+        "the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on", "with", "be",
+        "by", "as", "this", "are", "at", "from", "or", "an", "have", "not", "but", "he", "they", "you",
+        "his", "her", "had", "which", "one", "all", "we", "were", "their", "been", "has", "when", "who", "will",
+        "more", "no", "if", "out", "so", "there", "what", "can",
+    ),
+    "fr": (
+        "de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour", "est", "qui",
+        "par", "dans", "sur", "au", "pas", "avec", "il", "ne", "ce", "se", "plus", "son", "sa", "ses",
+        "ou", "mais", "sont", "nous", "vous", "elle", "ils", "cette", "ces", "aux", "été", "être", "comme", "leur",
+        "on", "tout", "fait", "si", "je", "y", "dont", "avoir",
+    ),
+    "de": (
+        "der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "auf", "des", "für", "ist",
+        "nicht", "dem", "im", "ein", "als", "eine", "es", "an", "auch", "er", "hat", "dass", "sie", "nach",
+        "wird", "bei", "einer", "um", "am", "sind", "noch", "wie", "einem", "über", "einen", "so", "zum", "war",
+        "haben", "nur", "oder", "aber", "vor", "zur", "bis", "mehr",
+    ),
+    "es": (
+        "de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "por", "un", "no", "con",
+        "su", "una", "es", "para", "al", "lo", "como", "más", "a", "o", "pero", "sus", "le", "ha",
+        "este", "sí", "porque", "esta", "entre", "cuando", "muy", "sin", "sobre", "también", "me", "hasta", "hay", "donde",
+        "desde", "todo", "nos", "durante", "uno", "ni", "contra", "ese",
+    ),
 }
-# The classes of characters, each taken from what the earlier ones left.
-CHAR_CLASSES: list[tuple[str, str]] = [
-    ("lower", r"\p{Ll}+"),
-    ("space", r"[\x20\x09-\x0D]+"),
-    ("upper", r"\p{Lu}+"),
-    ("digit", r"\p{N}+"),
-    ("point", r"[.,;:!?'\"()\-]+"),
-    ("symbol", r"[#*$%&|<>]+"),
-]
+#: The word of rank r has the share TOP_SHARE / r of running text; the rest is other words.
+TOP_SHARE = 0.06
+# The classes of characters, each taken from what the earlier ones left, and their shares of running text.
+CHAR_CLASSES: tuple[tuple[str, str, float], ...] = (
+    ("lower", r"\p{Ll}+", 0.785),
+    ("space", r"[\x20\x09-\x0D]+", 0.165),
+    ("upper", r"\p{Lu}+", 0.02),
+    ("digit", r"\p{N}+", 0.002),
+    ("point", r"[.,;:!?'\"()\-]+", 0.02),
+    ("symbol", r"[#*$%&|<>]+", 0.0),
+)
+REST_SHARE = 0.008
 SPACE = r"[\x20\x09-\x0D]+"
+#: Cut off words before they are looked up.
+POINTS = ".,;:!?\"'()"
+
+
+def word_reference(lang: str) -> list[float]:
+    """The shares of a language's listed words, and of all others."""
+    shares = [TOP_SHARE / (r + 1) for r in range(len(COMMON_WORDS[lang]))]
+    return [*shares, 1.0 - sum(shares)]
+
+
+def char_reference() -> list[float]:
+    return [*(share for _, _, share in CHAR_CLASSES), REST_SHARE]
 
 
 @dataclass(frozen=True)
@@ -48,13 +82,11 @@ class QualityRules:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    max_char_distance: float = 0.3
-    max_word_distance: float = 0.45
-    #: Most share of the word distance that a text without common words has to its language's reference. None: not asked.
-    max_word_reach: float | None = None
+    max_char_distance: float = 0.18
+    #: A text without any listed word is 0.39 away from its reference.
+    max_word_distance: float = 0.35
     guard_chars: int = 400
     guard_words: int = 60
-    min_reference_docs: int = 20
 
 
 def _hashed_pairs(a: Column, by: int) -> Column:
@@ -70,7 +102,7 @@ def _measured(df: DataFrame, window: int) -> DataFrame:
     kept = df.columns
     df = df.withColumn("_t", F.coalesce("k_text", F.lit("")))
     rest, sizes = F.col("_t"), []
-    for name, pattern in CHAR_CLASSES:
+    for name, pattern, _ in CHAR_CLASSES:
         df = df.withColumn(f"_t_{name}", F.regexp_replace(rest, pattern, ""))
         sizes.append((F.length(rest) - F.length(f"_t_{name}")).alias(f"_n_{name}"))
         rest = F.col(f"_t_{name}")
@@ -79,11 +111,11 @@ def _measured(df: DataFrame, window: int) -> DataFrame:
     for lang, words in COMMON_WORDS.items():
         listed = F.when(F.col("k_lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
+    cut = F.array_remove(F.split(F.translate(F.lower("_t"), POINTS, " " * len(POINTS)), SPACE), "")
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.select(*kept, F.length("_t").alias("n_chars"), *sizes, listed.alias("_list"), lines.alias("_lines"), F.array_remove(F.split("_t", SPACE), "").alias("_words"))
+    df = df.select(*kept, F.length("_t").alias("n_chars"), *sizes, listed.alias("_list"), lines.alias("_lines"), F.array_remove(F.split("_t", SPACE), "").alias("_words"), F.when(listed.isNotNull(), cut).alias("_cut"))
     # From here on windows are compared by 64-bit hashes, within one document only.
-    hits = F.when(F.col("_list").isNotNull(), F.filter("_words", lambda w: w.isin(every)))
-    df = df.withColumns({"_hits": hits, "_w1": F.transform("_words", lambda w: F.xxhash64(w))})
+    df = df.withColumns({"_hits": F.filter("_cut", lambda w: w.isin(every)), "_w1": F.transform("_words", lambda w: F.xxhash64(w))})
     by = 1
     while by < window:
         df = df.withColumn(f"_w{2 * by}", _hashed_pairs(F.col(f"_w{by}"), by))
@@ -91,9 +123,10 @@ def _measured(df: DataFrame, window: int) -> DataFrame:
     df = df.select(
         *kept,
         "n_chars",
-        *[f"_n_{c}" for c, _ in CHAR_CLASSES],
+        *[f"_n_{c}" for c, _, _ in CHAR_CLASSES],
         "_n_rest",
         F.size("_words").alias("n_words"),
+        F.size("_cut").alias("_n_cut"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         F.transform("_list", lambda w: F.size("_hits") - F.size(F.array_remove("_hits", w))).alias("_counts"),
         F.col(f"_w{window}").alias("_g"),
@@ -113,33 +146,14 @@ def _measured(df: DataFrame, window: int) -> DataFrame:
         F.col("_n_symbol").alias("n_symbols"),
         "n_dup_lines",
         F.coalesce(F.aggregate(reach, F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_repeat_words"),
-        F.array(*[f"_n_{c}" for c, _ in CHAR_CLASSES], "_n_rest").alias("chars"),
-        F.concat("_counts", F.array(F.col("n_words") - listed_words)).alias("common"),
+        F.array(*[f"_n_{c}" for c, _, _ in CHAR_CLASSES], "_n_rest").alias("chars"),
+        F.concat("_counts", F.array(F.col("_n_cut") - listed_words)).alias("common"),
     )
 
 
 def _shares(counts: str) -> Column:
     total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: x / total)
-
-
-def _guards(rules: QualityRules) -> Column:
-    return (F.col("n_chars") >= rules.guard_chars) & (F.col("n_words") >= rules.guard_words)
-
-
-def _references(measured: DataFrame, rules: QualityRules) -> DataFrame:
-    """`lang`, `ref_chars`, `ref_words`, `ref_docs`: mean histograms over all documents that pass the guards."""
-    h = measured.where(_guards(rules) & F.col("k_lang").isin(list(COMMON_WORDS)))
-    h = h.select("k_lang", _shares("chars").alias("c"), _shares("common").alias("w"))
-    most = max(map(len, COMMON_WORDS.values())) + 1
-    mean = lambda col, n: [F.avg(F.get(col, F.lit(i))).alias(f"{col}{i}") for i in range(n)]
-    g = h.groupBy("k_lang").agg(*mean("c", len(CHAR_CLASSES) + 1), *mean("w", most), F.count("*").alias("ref_docs"))
-    return g.where(F.col("ref_docs") >= rules.min_reference_docs).select(
-        F.col("k_lang").alias("lang"),
-        F.array(*[f"c{i}" for i in range(len(CHAR_CLASSES) + 1)]).alias("ref_chars"),
-        F.filter(F.array(*[f"w{i}" for i in range(most)]), lambda x: x.isNotNull()).alias("ref_words"),
-        "ref_docs",
-    )
+    return F.when(total > 0, F.transform(counts, lambda x: x / total))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -149,39 +163,32 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
-def _reach(ref_words: Column) -> Column:
-    """The word distance of a text without common words, which is about the largest there is."""
-    return js_distance(F.transform(ref_words, lambda x, i: F.when(i == F.size(ref_words) - 1, F.lit(1.0)).otherwise(F.lit(0.0))), ref_words)
-
-
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), carry: list[str] | None = None) -> DataFrame:
-    """All rows of `docs` and the columns in `carry` (default: all), with the measures, both distances (null: not judged), base_failed and kept.
-
-    One pass over the texts: the measures go to a table in the shared folder, from which the
-    references and then the verdicts are made.
-    """
-    like = docs if carry is None else docs.select(*carry)
-    boxes = boxed(docs, "text", "lang")
+    """All rows of `docs` and the columns in `carry` (default: all), with the measures, both distances (null: not judged), base_failed and kept."""
+    boxes, places = boxed(docs, "text", "lang"), None
     if carry is not None:
-        boxes = boxes.withColumn("_row", F.struct(*[F.col(f"_row._c{column_index(docs, c)}").alias(f"_c{i}") for i, c in enumerate(carry)]))
+        places = [column_index(docs, c) for c in carry]
+        boxes = only_boxed(boxes, places)
     d = stored(_measured(boxes, rules.window).drop("k_text"), "quality")
-    # At most len(COMMON_WORDS) rows.
-    d = d.join(F.broadcast(_references(d, rules)), F.col("k_lang") == F.col("lang"), "left")
-    judged = _guards(rules) & F.col("ref_docs").isNotNull()
+    d = d.withColumns({"_c": _shares("chars"), "_w": _shares("common")})
+    words = F.lit(None).cast("array<double>")
+    for lang in COMMON_WORDS:
+        words = F.when(F.col("k_lang") == lang, F.array(*map(F.lit, word_reference(lang)))).otherwise(words)
+    judged = (F.col("n_chars") >= rules.guard_chars) & (F.col("n_words") >= rules.guard_words) & F.col("k_lang").isin(list(COMMON_WORDS))
     d = d.withColumns(
         {
-            "_cd": F.when(judged, js_distance(_shares("chars"), F.col("ref_chars"))),
-            "_wd": F.when(judged, js_distance(_shares("common"), F.col("ref_words"))),
+            "_cd": F.when(judged, js_distance(F.col("_c"), F.array(*map(F.lit, char_reference())))),
+            # A text of points alone has no words to compare.
+            "_wd": F.when(judged & F.col("_w").isNotNull(), js_distance(F.col("_w"), words)),
             "_failed": (F.col("n_words") < rules.min_words)
             | (100 * F.col("n_repeat_words").cast("long") > rules.max_repeat_percent * F.col("n_words").cast("long")),
         }
     )
     fits = (F.coalesce("_cd", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("_wd", F.lit(0.0)) <= rules.max_word_distance)
-    if rules.max_word_reach is not None:
-        fits &= F.coalesce(F.col("_wd") <= rules.max_word_reach * _reach(F.col("ref_words")), F.lit(True))
     return unboxed(
         d,
-        like,
+        docs,
+        places,
         **{k: F.col(k).cast("long") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
         char_distance=F.col("_cd"),
         word_distance=F.col("_wd"),
@@ -198,5 +205,5 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
     return judge(plain.withColumns(own), rules, plain.columns).where("kept").select(*plain.columns).toDF(*names)
 
 
-#: For the pipeline. The registered query keeps `QualityRules()`, which its SQL spells out.
-PRODUCTION = QualityRules(max_word_reach=0.8)
+#: For the registered query and the pipeline alike.
+PRODUCTION = QualityRules()

@@ -46,6 +46,40 @@ def test_js_distance(spark):
     assert abs(d.d - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-12 and d.z == 0
 
 
+def test_distances_match_brute_force(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, n) for n in (70, 200, 900)] + ["THE End. " * 40, "... " * 130, "Of, the; (and) 12 %% \n" * 30]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r for r in rows(Q.judge(df, Q.QualityRules(guard_chars=1, guard_words=1)))}
+    classes = [str.islower, lambda c: c in " \t\n\v\f\r", str.isupper, str.isnumeric, lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>", lambda c: True]
+
+    def distance(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+        return math.sqrt((kl(p) + kl(q)) / 2)
+
+    for i, t in enumerate(texts):
+        found = Counter(next(k for k, f in enumerate(classes) if f(c)) for c in t)
+        assert abs(got[i]["char_distance"] - distance([found[k] / len(t) for k in range(7)], Q.char_reference())) < 1e-9
+        w = [x for x in re.split(r"[\s.,;:!?\"'()]+", t.lower()) if x]
+        listed = [w.count(x) / len(w) if w else 0 for x in Q.COMMON_WORDS["en"]]
+        if w:
+            assert abs(got[i]["word_distance"] - distance([*listed, 1 - sum(listed)], Q.word_reference("en"))) < 1e-9
+        else:
+            assert got[i]["word_distance"] is None
+
+
+def test_a_verdict_depends_on_its_document_alone_and_names_may_clash(spark):
+    rng = random.Random(7)
+    docs = [(i, prose(rng, 200) if i % 2 else " | ".join(words(rng, 90, common=0)), "en", "s") for i in range(8)]
+    df = spark.createDataFrame([(*d, 5, "y") for d in docs], DOCS + ", `a.b` int, `TEXT` string")
+    every = {r["doc_id"]: r["kept"] for r in rows(Q.judge(df, carry=["a.b", "doc_id"]))}
+    alone = {i: Q.judge(df.where(f"doc_id = {i}")).head()["kept"] for i in (0, 1)}
+    assert every[0] == alone[0] is False and every[1] == alone[1] is True
+    kept = Q.keep_good(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in rows(kept.select("doc_id"))} == {1, 3, 5, 7}
+
+
 def test_odd_documents_go_and_clean_and_unjudged_ones_stay(spark):
     rng = random.Random(3)
     docs = [(i, prose(rng, rng.randint(80, 400)), "en", "s") for i in range(200)]
@@ -64,9 +98,10 @@ def test_the_pipeline_drops_lists_without_common_words(spark):
     rng = random.Random(9)
     docs = [(i, prose(rng, rng.randint(80, 400)), "en", "s") for i in range(200)]
     lists = [(1000 + i, " | ".join(words(rng, rng.randint(80, 200), common=0)), "en", "s") for i in range(10)]
-    # Prose of few common words, as in the given tables: references reach less far than the fixed limit.
-    few = [(2000 + i, " ".join(words(rng, rng.randint(300, 500), common=0.15)), "fr", "s") for i in range(40)]
-    few = [(i, t.replace(" the ", " de ").replace(" of ", " la ").replace(" and ", " le "), lang, s) for i, t, lang, s in few]
+    # Prose of few common words of its own language.
+    few = [(2000 + i, " ".join(words(rng, rng.randint(300, 500), common=0.2)), "fr", "s") for i in range(40)]
+    french = dict(zip(("the", "of", "and", "to", "in", "is"), ("de", "la", "le", "et", "les", "des")))
+    few = [(i, " ".join(french.get(w, w) for w in t.split()), lang, s) for i, t, lang, s in few]
     junk = [(3000 + i, " ".join(words(rng, 200, common=0)), "fr", "s") for i in range(3)]
     df = spark.createDataFrame(docs + lists + few + junk, DOCS)
     kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
