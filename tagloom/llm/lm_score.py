@@ -7,14 +7,15 @@ per place, are summed and pass through tanh. An id is spelled in digits of base
 per digit, which also sees the digits before it, gives its probability; a word in a bucket gets an equal
 share of the bucket's. A document's score is the sum of these conditional log-probabilities over its tokens.
 
-Training covers every token of every document, in rounds that double in size. In a round each task
-goes on with a copy of the network and of its Adagrad sums from where the last round ended; the copies,
-cut into pieces, are averaged by tokens in two levels of groups. There are so many copies that they
-are no larger than the text they read. The driver holds the averaged network alone.
-
-Defined cases: null texts and texts without words have no tokens and the score 0. Equal texts get
-scores equal to rounding. Empty tables give no rows. Scores depend on how the input is split into tasks, as far
-as averaging goes; a repeated task repeats its result.
+Texts are cut into words once; from then on their 32-bit hashes travel, four bytes a token. Training covers every
+token of every document, in rounds that double in size. A hash of doc_id and text gives each document its round and its group.
+For every group of a round a copy of the network and of its Adagrad sums goes on from where the last round ended, over
+the group's documents in the order of their hashes; the copies, cut into pieces, are averaged by tokens in two
+levels. A group holds at least twice as much text as a copy has bytes. The driver holds the averaged network alone.
+
+Defined cases: null texts and texts without words have no tokens and the score 0. Equal texts get scores equal to
+rounding. Empty tables give no rows. How the input is split into files or partitions changes scores by rounding alone, and a
+repeated task repeats its result. Rows that repeat both doc_id and text share a group.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import forget, stored
 from .frames import narrow
 from .ngram_join import text_slices
 
@@ -38,6 +39,7 @@ VOCABULARY = GROUPS * MEMBERS
 PAD = VOCABULARY
 #: Copies of a small round, so that it keeps some cores busy.
 LEAST_COPIES = 6
+TOKENS_AT_ONCE = 400_000
 
 
 @dataclass(frozen=True)
@@ -98,7 +100,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     known = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
-    hashes = hash_array(known, categorize=False) if len(known) else np.empty(0, np.uint64)
+    hashes = (hash_array(known, categorize=False) >> np.uint64(32)).astype(np.uint32) if len(known) else np.empty(0, np.uint32)
     blank = known == ""
     flat = coded.indices.to_numpy(zero_copy_only=False)
     if blank.any():  # splitting leaves empty words at the ends
@@ -109,16 +111,20 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, flat, counts
 
 
-def token_ids(texts: pa.Array, net: Network | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words of all texts, and how many each text has."""
-    hashes, flat, counts = word_hashes(texts)
+def ids_of(hashes: np.ndarray, net: Network | None = None) -> np.ndarray:
+    """The ids of words, from their hashes."""
     if net is None or "words" not in net:
-        return (hashes % np.uint64(VOCABULARY)).astype(np.int32)[flat], counts
+        return (hashes % np.uint32(VOCABULARY)).astype(np.int32)
     own = net["words"]
     at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-    shared = np.uint64(pad_of(net) - len(own))
-    ids = np.where(own[at] == hashes, net["rank"][at], len(own) + (hashes % shared).astype(np.int32)).astype(np.int32)
-    return ids[flat], counts
+    shared = np.uint32(pad_of(net) - len(own))
+    return np.where(own[at] == hashes, net["rank"][at], len(own) + (hashes % shared).astype(np.int32)).astype(np.int32)
+
+
+def token_ids(texts: pa.Array, net: Network | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of all texts, and how many each text has."""
+    hashes, flat, counts = word_hashes(texts)
+    return ids_of(hashes, net)[flat], counts
 
 
 def windows(ids: np.ndarray, counts: np.ndarray, side: int, pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
@@ -237,30 +243,50 @@ def _pieces(net: Network, rules: LmRules) -> int:
     return max(rules.pieces, 2 * _flat(net).nbytes >> 20)
 
 
-def _copies(rules: LmRules, net: Network, seen: Network):
-    """A copy of each task, after all tokens that it reads."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            hashes, flat, counts = word_hashes(part.column("text"))
+            cells = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(counts)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(hashes[flat]))]
+            )
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(counts, pa.int64()), cells.cast(pa.binary())], names=["doc_id", "key", "n", "words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of doc_id and text), n (tokens) and words (a 32-bit hash each, one after the other) of every document, in the shared folder."""
+    d = narrow(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return stored(d.mapInArrow(_hashed, f"doc_id {kind}, key long, n long, words binary"), "words")
+
+
+def _stretches(column: pa.ChunkedArray | pa.Array, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """Hashes and counts of stretches of documents, of about `TOKENS_AT_ONCE` tokens; a longer document is one of its own."""
+    ends, at = np.cumsum(counts), 0
+    while at < len(counts):
+        upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS_AT_ONCE, "right")), at + 1)
+        yield np.frombuffer(b"".join(column.slice(at, upto - at).to_pylist()), np.uint32), counts[at:upto], slice(at, upto)
+        at = upto
+
+
+def _copy(rules: LmRules, net: Network, seen: Network):
+    """A copy of each group, after all tokens of its documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
         trainer = Trainer(net, rules, seen)
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                trainer.train(*windows(*token_ids(part.column("text"), net), rules.side, pad_of(net)))
-        if not trainer.tokens:
-            return
-        context = TaskContext.get()
+        for hashes, counts, _ in _stretches(table.column("words"), table.column("n").to_numpy()):
+            trainer.train(*windows(ids_of(hashes, net), counts, rules.side, pad_of(net)))
         cut = np.array_split(_flat(trainer.net, trainer.seen), _pieces(net, rules))
-        for i, c in enumerate(cut):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([i], pa.int32()),
-                    pa.array([context.partitionId() if context else 0], pa.int64()),
-                    pa.array([float(trainer.tokens)], pa.float64()),
-                    pa.array([c.astype(np.float32).tobytes()], pa.binary()),
-                ],
-                names=["piece", "copy", "weight", "cells"],
-            )
+        n = len(cut)
+        return pa.table(
+            {
+                "piece": pa.array(range(n), pa.int32()),
+                "copy": pa.array([table.column("part")[0].as_py()] * n, pa.int64()),
+                "weight": pa.array([float(trainer.tokens)] * n, pa.float64()),
+                "cells": pa.array([c.astype(np.float32).tobytes() for c in cut], pa.binary()),
+            }
+        )
 
     return run
 
@@ -274,43 +300,41 @@ def _mean(part: pd.DataFrame) -> pd.DataFrame:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in text_slices(batch, "text"):
-            hashes, flat, _ = word_hashes(part.column("text"))
-            n = np.bincount(flat, minlength=len(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[n > 0]), pa.array(n[n > 0], pa.int64())], names=["word", "n"])
+        for hashes, _, _ in _stretches(batch.column("words"), batch.column("n").to_numpy()):
+            words, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int32)), pa.array(n, pa.int64())], names=["word", "n"])
 
 
-def vocabulary(docs: DataFrame, rules: LmRules) -> tuple[Network, int]:
-    """The untrained network for the words of all documents, and the number of tokens."""
-    words = stored(narrow(docs, "text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    every = words.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+def vocabulary(words: DataFrame, rules: LmRules) -> tuple[Network, int]:
+    """The untrained network for the words of all documents (`hashed`), and the number of tokens."""
+    counts = stored(words.select("n", "words").mapInArrow(_counted, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    every = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     own = max(VOCABULARY, int(rules.words_per_root * every.tokens**0.5))
-    best = words.orderBy(F.desc("n"), "word").limit(own).select("word").toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64)
+    best = counts.orderBy(F.desc("n"), "word").limit(own).select("word").toArrow().column("word").to_numpy().astype(np.int32).view(np.uint32)
+    forget(counts)
     shared = max(MEMBERS, int(rules.shared * own))
     spread = np.log(max(1.0, (every.words - len(best)) / shared))
     return (start(rules, best, shared, spread) if len(best) else start(rules)), every.tokens
 
 
-def train(docs: DataFrame, rules: LmRules = LmRules()) -> Network:
-    """The network after all documents, in rounds."""
+def trained(words: DataFrame, rules: LmRules = LmRules()) -> Network:
+    """The network after all documents (`hashed`), in rounds."""
     schema = "piece int, copy long, weight double, cells binary"
-    net, tokens = vocabulary(docs, rules)
+    net, tokens = vocabulary(words, rules)
     seen = Trainer(net, rules).seen
     rounds = 1
     while tokens > rules.quantum << (rounds - 1):
         rounds += 1
-    d = narrow(docs, "text")
     # Round 0 and 1 take a share of 2 ** (1 - rounds) each, and each further one twice that of the one before.
-    place = F.shiftrightunsigned(F.xxhash64("text"), 34).cast("long")
+    place = F.shiftrightunsigned("key", 34).cast("long")
     for r in range(rounds):
         lo, hi = (1 << 30 >> rounds - r if r else 0), 1 << 30 >> rounds - 1 - r
-        mine = d.where((place >= lo) & (place < hi))
         share = tokens * (hi - lo) / (1 << 30)
-        most = int(share * 6 / (2 * _flat(net).nbytes)) + 1  # a token has about six bytes of text
-        mine = mine.coalesce(max(LEAST_COPIES, most)).mapInArrow(_copies(rules, net, seen), schema)
-        folds = max(1, int(max(LEAST_COPIES, most) ** 0.5))
-        mine = mine.withColumn("fold", F.pmod(F.xxhash64("copy"), F.lit(folds)))
-        halves = mine.groupBy("piece", "fold").applyInPandas(lambda p: _mean(p), schema)
+        copies = max(LEAST_COPIES, int(share * 6 / (4 * _flat(net).nbytes)) + 1)  # a token has about six bytes of text
+        mine = words.where((F.col("n") > 0) & (place >= lo) & (place < hi)).select("key", "n", "words", F.pmod("key", F.lit(copies)).alias("part"))
+        made = mine.groupBy("part").applyInArrow(_copy(rules, net, seen), schema)
+        folds = max(1, int(copies**0.5))
+        halves = made.withColumn("fold", F.pmod("copy", F.lit(folds))).groupBy("piece", "fold").applyInPandas(lambda p: _mean(p), schema)
         got = halves.groupBy("piece").applyInPandas(lambda p: _mean(p), schema).select("piece", "cells").collect()
         if not got:
             continue
@@ -320,9 +344,16 @@ def train(docs: DataFrame, rules: LmRules = LmRules()) -> Network:
     return net
 
 
-def score_texts(net: Network, texts: pa.Array, rules: LmRules) -> tuple[np.ndarray, np.ndarray]:
-    """Number of tokens and score of each text."""
-    ids, counts = token_ids(texts, net)
+def train(docs: DataFrame, rules: LmRules = LmRules()) -> Network:
+    """The network after all documents."""
+    words = hashed(docs)
+    net = trained(words, rules)
+    forget(words)
+    return net
+
+
+def _sums(net: Network, ids: np.ndarray, counts: np.ndarray, rules: LmRules) -> np.ndarray:
+    """The score of each text, from the ids of all."""
     padded, at = windows(ids, counts, rules.side, pad_of(net))
     each = np.empty(len(at))
     for lo in range(0, len(at), rules.batch):
@@ -333,19 +364,28 @@ def score_texts(net: Network, texts: pa.Array, rules: LmRules) -> tuple[np.ndarr
     some, sums = counts > 0, np.zeros(len(counts))
     if some.any():
         sums[some] = np.add.reduceat(each, (ends - counts)[some])
-    return counts, sums
+    return sums
+
+
+def score_texts(net: Network, texts: pa.Array, rules: LmRules) -> tuple[np.ndarray, np.ndarray]:
+    """Number of tokens and score of each text."""
+    ids, counts = token_ids(texts, net)
+    return counts, _sums(net, ids, counts, rules)
 
 
 def score(docs: DataFrame, net: Network | None = None, rules: LmRules = LmRules()) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over tokens, natural logarithm), per_token (null without tokens)."""
-    net = train(docs, rules) if net is None else net
-    d = narrow(docs, "doc_id", "text")
+    words = hashed(docs)
+    net = trained(words, rules) if net is None else net
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                n, s = score_texts(net, part.column("text"), rules)
-                mean = pa.array(np.divide(s, n, out=np.zeros(len(n)), where=n > 0), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.float64()), mean], names=["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
+            n = batch.column("n").to_numpy()
+            s = np.zeros(len(n))
+            for hashes, counts, at in _stretches(batch.column("words"), n):
+                s[at] = _sums(net, ids_of(hashes, net), counts, rules)
+            mean = pa.array(np.divide(s, n, out=np.zeros(len(n)), where=n > 0), pa.float64(), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.float64()), mean], names=["doc_id", "n_tokens", "log_likelihood", "per_token"])
+
+    d = words.select("doc_id", "n", "words")
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, per_token double")

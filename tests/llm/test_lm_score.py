@@ -110,7 +110,7 @@ def test_words_far_above_the_fixed_ids_are_told_apart_on_held_out_text(spark):
     after = L.score_texts(net, held, rules)[1]
     assert after.sum() / n.sum() > before.sum() / n.sum() + 3
     # Unseen words that share a known word's id of 1,024 score lower than it.
-    code = lambda words: hash_array(np.array(words, object), categorize=False) % np.uint64(L.VOCABULARY)
+    code = lambda words: (hash_array(np.array(words, object), categorize=False) >> np.uint64(32)) % np.uint64(L.VOCABULARY)
     junk = dict(zip(code(made := [f"junk{i}" for i in range(20_000)]).tolist(), made))
     wrong = pa.array([" ".join(w if w in ("the", "and") else junk[int(code([w])[0])] for w in t.split()) for t in held.to_pylist()])
     assert (L.score_texts(net, wrong, rules)[1] < after).all()
@@ -118,10 +118,79 @@ def test_words_far_above_the_fixed_ids_are_told_apart_on_held_out_text(spark):
 
 def test_rounds_take_every_token_once_and_go_on_from_the_last(spark):
     docs = spark.createDataFrame(corpus(12, 400), DOCS)
-    net, tokens = L.vocabulary(docs, RULES)
+    net, tokens = L.vocabulary(L.hashed(docs), RULES)
     assert tokens == sum(len(t.split()) for _, t, _, _ in corpus(12, 400)) > RULES.quantum
     untrained = L.Trainer(net, RULES)
     held = pa.array([t for _, t, _, _ in corpus(13, 40)])
     one = L.score_texts(L.train(docs, RULES), held, RULES)[1].sum()
     more = L.score_texts(L.train(docs.unionByName(spark.createDataFrame(corpus(14, 3000), DOCS)), RULES), held, RULES)[1].sum()
     assert more > one > L.score_texts(untrained.net, held, RULES)[1].sum()
+
+
+def test_gradients_match_differences_of_the_loss():
+    rules = L.LmRules(batch=64, rate=1e-3)
+    rng = np.random.default_rng(3)
+    words = rng.choice(1 << 32, 1500, replace=False).astype(np.uint32)
+    net = {k: v.astype(np.float64) if k not in L.FIXED else v for k, v in L.start(rules, words, 40).items()}
+    ids, counts = rng.integers(0, 1540, 50).astype(np.int32), np.array([30, 20])
+    padded, at = L.windows(ids, counts, 2, L.pad_of(net))
+    loss = lambda x: -L.forward(x, padded, at, 2)[3].mean()
+    trainer = L.Trainer({k: v.copy() for k, v in net.items()}, rules)
+    grads = {}
+    trainer._step = lambda name, grad, rows=(): grads.setdefault(name, []).append((rows, grad))
+    trainer.train(padded, at)
+    for name in ("embed", "shift", "out", "group", "member", "member2"):
+        whole = np.zeros_like(net[name])
+        for rows_, g in grads[name]:
+            whole[rows_] += g
+        for place in map(tuple, np.argwhere(np.abs(whole) > np.abs(whole).max() / 2)[:3]):
+            up, down = ({k: v.copy() for k, v in net.items()} for _ in range(2))
+            up[name][place] += 1e-2
+            down[name][place] -= 1e-2
+            assert abs((loss(up) - loss(down)) / 2e-2 - whole[place]) < 2e-4 + 0.02 * abs(whole[place]), (name, place)
+
+
+def test_training_matches_copies_averaged_by_hand_however_the_input_is_split(spark):
+    rules = L.LmRules(quantum=4_000, batch=256)
+    docs = [*corpus(21, 150), (7, None, "en", "s"), (8, "the cat", "en", "s"), (8, "the cat", "en", "s")]
+    df = spark.createDataFrame(docs, DOCS)
+    keys = {(r.doc_id, r.text): r.key for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).collect()}
+    net, tokens = L.vocabulary(L.hashed(df), rules)
+    rounds = 1
+    while tokens > rules.quantum << (rounds - 1):
+        rounds += 1
+    seen = L.Trainer(net, rules).seen
+    bounds = [0, *[2 ** (30 - rounds + 1 + r) for r in range(rounds)]]
+    assert rounds > 1 and bounds[-1] == 1 << 30
+    for lo, hi in zip(bounds, bounds[1:]):
+        groups = {}
+        for d, t, _, _ in docs:
+            k = keys[d, t]
+            if t and lo <= (k % (1 << 64)) >> 34 < hi:
+                groups.setdefault(k % L.LEAST_COPIES, []).append((k, t))
+        copies = []
+        for members in groups.values():
+            trainer = L.Trainer(net, rules, seen)
+            trainer.train(*L.windows(*L.token_ids(pa.array([t for _, t in sorted(members)]), net), rules.side, L.pad_of(net)))
+            copies.append(trainer)
+        total = sum(c.tokens for c in copies)
+        mean = lambda part, k: sum(getattr(c, part)[k].astype(float) * c.tokens for c in copies) / total  # noqa: B023, E731
+        net = net | {k: np.clip(mean("net", k), -rules.bound, rules.bound).astype(np.float32) for k in seen}
+        seen = {k: mean("seen", k).astype(np.float32) for k in seen}
+    texts = pa.array([t for _, t, _, _ in docs])
+    want = L.score_texts(net, texts, rules)[1]
+    for parts in (4, 16):
+        got = L.score(df.repartition(parts), rules=rules)
+        by = {(r["doc_id"], r["n_tokens"]): r["log_likelihood"] for r in rows(got)}
+        n = L.token_ids(texts, net)[1]
+        assert all(abs(by[d[0], int(k)] - w) < 1e-3 * max(1, int(k)) for d, k, w in zip(docs, n, want))
+
+
+def test_repeated_words_of_the_whole_corpus_raise_scores(spark):
+    """Words that the corpus repeats have ids of their own, so documents that occur often score above those that occur once."""
+    rng = random.Random(31)
+    made = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(40))
+    once, often = [made() for _ in range(300)], [made() for _ in range(20)]
+    docs = [(i, t, "en", "s") for i, t in enumerate(once)] + [(1000 + 10 * i + j, t, "en", "s") for i, t in enumerate(often) for j in range(6)]
+    got = {r["doc_id"]: r["per_token"] for r in rows(L.score(spark.createDataFrame(docs, DOCS), rules=RULES))}
+    assert min(got[1000 + 10 * i] for i in range(20)) > max(got[i] for i in range(300))
