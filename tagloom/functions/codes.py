@@ -9,11 +9,12 @@ from .text import digits, text_of
 
 
 def check_digit(first12: Column) -> Column:
-    """The thirteenth digit of a code of twelve."""
-    weights = F.array(*[F.lit(1 if i % 2 == 0 else 3) for i in range(12)])
-    places = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.try_to_number(F.substr(first12, i, F.lit(1)), F.lit("9")).cast("int"))
-    total = F.aggregate(F.zip_with(places, weights, lambda d, w: d * w), F.lit(0), lambda a, x: a + x)
-    return F.when(first12.rlike(r"^\d{12}$"), F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
+    """The thirteenth digit of a code of twelve: one sum of twelve casts, so that the check stays flat inside larger expressions."""
+    at = lambda i: F.substr(first12, F.lit(i + 1), F.lit(1)).try_cast("int")
+    odd, even = at(0), at(1)
+    for i in range(2, 12, 2):
+        odd, even = odd + at(i), even + at(i + 1)
+    return F.when(first12.rlike(r"^[0-9]{12}$"), F.pmod(F.lit(0) - (odd + 3 * even), F.lit(10)).cast("string"))
 
 
 def ean13_ok(code: Column) -> Column:
@@ -74,17 +75,45 @@ def digit_windows(text: Column) -> Column:
     return F.array_distinct(F.concat(of(13), of(12)))
 
 
+# Signs that are read for digits.
+LOOK_ALIKES = {
+    "O": "0",
+    "o": "0",
+    "О": "0",
+    "о": "0",
+    "Q": "0",
+    "I": "1",
+    "i": "1",
+    "l": "1",
+    "L": "1",
+    "І": "1",
+    "|": "1",
+    "S": "5",
+    "s": "5",
+    "B": "8",
+    "З": "3",
+    "з": "3",
+}
+
+
 def look_alikes(text: Column) -> Column:
-    """Letters that are read for digits, as digits."""
-    return F.translate(text_of(text), "OОоolI|SБBЗз", "000011158833"[:12])
+    """Signs that are read for digits, as digits."""
+    return F.translate(text_of(text), "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values()))
+
+
+def digit_runs(text: Column) -> Column:
+    """Digits of runs of 11 to 20 signs (digits that spaces or hyphens may part) that stand alone, and all digits of the text if they are 11 to 14; each once."""
+    seen = look_alikes(text)
+    runs = F.transform(F.regexp_extract_all(seen, F.lit(r"(?U)(?<!\w)[0-9][0-9\s\-]{9,18}[0-9](?!\w)"), F.lit(0)), digits)
+    every = digits(seen)
+    return F.array_distinct(F.concat(runs, F.when(F.length(every).between(11, 14), F.array(every)).otherwise(F.array().cast("array<string>"))))
 
 
 def sku_candidates(text: Column) -> Column:
     """Twelve digits that begin with 27 or 37, from digit runs of 12 to 14 after undoing look-alikes."""
-    runs = F.regexp_extract_all(look_alikes(text), F.lit(r"(\d+)"), F.lit(1))
     windows = F.flatten(
         F.transform(
-            F.filter(runs, lambda r: F.length(r).between(12, 14)),
+            F.filter(digit_runs(text), lambda r: F.length(r).between(12, 14)),
             lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 11), lambda i: F.substr(r, i, F.lit(12))),
         )
     )

@@ -22,32 +22,37 @@ def _long(df: DataFrame, group: str, fields: Column, weight, ord: Column) -> Dat
     return e.select(group, F.col("e.key").alias("field"), F.col("e.value").alias("value"), weight(F.col("e.key")).alias("weight"), ord.alias("ord"))
 
 
-def symbol_votes(symbols: DataFrame, group: str) -> DataFrame:
+def _place(kind: int, order: str) -> Column:
+    """The place of a vote among all: by kind, then in the order given (a whole number below 2 ** 52)."""
+    return F.lit(kind << 52) + F.col(order).cast("long")
+
+
+def symbol_votes(symbols: DataFrame, group: str, order: str = "symbol_id") -> DataFrame:
     """Fields of decoded payloads, or a bare code of 12 or 13 digits, at weight 3 + confidence."""
     read = payload.parse(F.col("payload"))
     bare = digits(F.col("payload"))
     name = F.when(F.col("symbol_type") == "barcode", F.lit("barcode")).otherwise(F.lit("qr_code_barcode"))
     fields = F.when(F.size(read) > 0, read).when(F.length(bare).isin(12, 13), F.create_map(name, bare))
-    return _long(symbols, group, fields, lambda f: 3.0 + F.col("confidence"), F.concat_ws("|", F.lit("1"), F.col("symbol_id").cast("string")))
+    return _long(symbols, group, fields, lambda f: 3.0 + F.col("confidence"), _place(1, order))
 
 
-def text_votes(crops: DataFrame, group: str) -> DataFrame:
+def text_votes(crops: DataFrame, group: str, order: str = "crop_id") -> DataFrame:
     """Fields read from crops, at weight 1 + the field's confidence (else the text's) + the crop's quality."""
     sure = lambda f: F.coalesce(F.col("field_confidences")[f], F.col("confidence"), F.lit(0.0))
-    return _long(crops, group, payload.non_empty(F.col("fields")), lambda f: 1.0 + sure(f) + F.col("quality"), F.concat_ws("|", F.lit("2"), F.col("crop_id").cast("string")))
+    return _long(crops, group, payload.non_empty(F.col("fields")), lambda f: 1.0 + sure(f) + F.col("quality"), _place(2, order))
 
 
-def color_votes(detections: DataFrame, group: str) -> DataFrame:
+def color_votes(detections: DataFrame, group: str, order: str = "detection_id") -> DataFrame:
     d = detections.where(F.trim(text_of(F.col("color"))) != "")
-    return _long(d, group, F.create_map(F.lit("color"), F.trim(F.col("color"))), lambda f: F.col("confidence"), F.concat_ws("|", F.lit("3"), F.col("detection_id").cast("string")))
+    return _long(d, group, F.create_map(F.lit("color"), F.trim(F.col("color"))), lambda f: F.col("confidence"), _place(3, order))
 
 
 def ordered(parts: list[DataFrame]) -> DataFrame:
-    """All votes, with a number for their order."""
+    """All votes: those of symbols count as seen first, then those of texts, then colors."""
     all_votes = parts[0]
     for p in parts[1:]:
         all_votes = all_votes.unionByName(p)
-    return all_votes.withColumn("ord", F.conv(F.substring(F.md5("ord"), 1, 8), 16, 10).cast("long") + F.substring("ord", 1, 1).cast("long") * (1 << 33))
+    return all_votes
 
 
 def fused(all_votes: DataFrame, group: str, columns: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from ..functions.text import ABSENT, collapse
 
 
 def _greedy(items: Column, clash) -> Column:
@@ -28,8 +29,9 @@ def non_max_suppress(df: DataFrame, group: list[str], key: str, score: str, box:
 
 
 def spatial_dedup(df: DataFrame, group: list[str], key: str, score: str, box: str, name: str, threshold: float) -> DataFrame:
-    """`group`, key of the rows that survive: by falling score, a row goes if a survivor overlaps it (IoU >= threshold) and their names agree or one has none."""
-    item = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(box).alias("b"), F.coalesce(name, F.lit("")).alias("n"))
+    """`group`, key of the rows that survive: by falling score, a row goes if a survivor overlaps it (IoU >= threshold) and their names agree (but for letter case and white space) or one has none."""
+    named = F.lower(collapse(F.col(name)))
+    item = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(box).alias("b"), F.when(named != ABSENT, named).otherwise(F.lit("")).alias("n"))
     g = df.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     agree = lambda a, b: (a["n"] == "") | (b["n"] == "") | (a["n"] == b["n"])
     kept = _greedy(F.col("_items"), lambda a, b: (iou(a["b"], b["b"]) >= threshold) & agree(a, b))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prices import prices_equal
 from ..functions.text import STRICT_EMPTY_WORDS, digits, first_digits, has_value, output_value
-from .evaluate import similarity
+from .evaluate import token_sort_ratio
 
 # Weights of agreeing fields.
 PRICES = {"price_card": 55.0, "price_default": 45.0, "price1_qr": 25.0, "price2_qr": 18.0, "price4_qr": 25.0}
@@ -35,7 +35,7 @@ def pair_score(iou: Column, same_shelf: Column) -> Column:
     for f, w in TEXTS.items():
         x, y = output_value(t(f)), output_value(e(f))
         parts.append((f"exact_{f}", (x != "") & (F.lower(x) == F.lower(y)), F.lit(w)))
-    ratio = similarity(t("product_name"), e("product_name"))
+    ratio = token_sort_ratio(t("product_name"), e("product_name"))
     named = (F.length(output_value(t("product_name"))) >= 4) & (output_value(e("product_name")) != "")
     parts.append(("name_fuzzy", named & (ratio >= 0.60), 50.0 * ratio))
     on = [F.coalesce(c, F.lit(False)) for _, c, _ in parts]

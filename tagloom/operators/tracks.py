@@ -48,17 +48,17 @@ def sessions(events: DataFrame, group: list[str], time: str, key: str, gap: int)
     return d.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def merge_fragments(tracks: DataFrame, edges: DataFrame, key: str, order: list[Column], prefix: str = "slot_") -> DataFrame:
-    """`key`, component, slot: connected tracks share a slot; slots are numbered in the order of their first member.
+def merge_fragments(tracks: DataFrame, edges: DataFrame, on: str, key: str, order: list[Column], prefix: str = "slot_") -> DataFrame:
+    """`on`, `key`, component, slot: connected tracks share a slot; slots are numbered in the order of their first member.
 
-    The number is the rank of the component among all, so that its partition holds components, not tracks.
+    Slots are numbered within each group of `on`, so that no task holds the components of all.
     """
     groups = connected_components(edges, key, f"r_{key}")
     t = tracks.join(groups.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", F.col(key)))
-    heads = t.groupBy("component").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_head"))
-    numbered = heads.withColumn("_n", F.row_number().over(Window.orderBy("_head", "component")))
+    heads = t.groupBy(on, "component").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_head"))
+    numbered = heads.withColumn("_n", F.row_number().over(Window.partitionBy(on).orderBy("_head", "component")))
     slot = F.format_string(f"{prefix}%05d", F.col("_n"))
-    return t.join(numbered, "component").select(key, "component", slot.alias("slot"))
+    return t.join(numbered, [on, "component"]).select(on, key, "component", slot.alias("slot"))
 
 
 def associate(detections: DataFrame, group: str, schema: str, max_gap_ms: int = 2500, least_score: float = 0.18) -> DataFrame:
@@ -68,33 +68,56 @@ def associate(detections: DataFrame, group: str, schema: str, max_gap_ms: int =
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["timestamp_ms", "frame_index", "confidence", "detection_id"], ascending=[True, True, False, True])
-        tracks: list[list] = []
-        out = []
+        open_tracks, out = OpenTracks(max_gap_ms, least_score), []
+        part = in_time_order(part)
         for d in part.itertuples():
-            box, best, at = (d.x_min, d.y_min, d.x_max, d.y_max), least_score, -1
-            for i, (last, other, frame) in enumerate(tracks):
-                if d.frame_index == frame or not 0 <= d.timestamp_ms - last <= max_gap_ms:
-                    continue
-                score = match_score(other, box)
-                if score > best or (score == best and at < 0):
-                    best, at = score, i
-            if at < 0:
-                tracks.append([d.timestamp_ms, box, d.frame_index])
-                at = len(tracks) - 1
-            else:
-                tracks[at] = [d.timestamp_ms, box, d.frame_index]
-            out.append(at)
+            out.append(open_tracks.take(d))
         return pd.DataFrame({group: [key[0]] * len(part), "detection_id": part["detection_id"].to_numpy(), "track": out})
 
     return detections.groupBy(group).applyInPandas(run, schema)
 
 
+def in_time_order(part: pd.DataFrame) -> pd.DataFrame:
+    """Rows by time (the frame's number where there is none), frame and falling confidence."""
+    time = part["timestamp_ms"].astype("Float64").fillna(part["frame_index"].astype("Float64"))
+    return part.assign(_time=time).sort_values(["_time", "frame_index", "confidence", "detection_id"], ascending=[True, True, False, True])
+
+
+class OpenTracks:
+    """Tracks that may still grow: number, last time (or none), last frame and last box of each. Those beyond the gap are dropped as time goes on."""
+
+    def __init__(self, max_gap_ms: int, least_score: float, tracks: list[list] | None = None, n: int = 0):
+        self.gap, self.least, self.tracks, self.n = max_gap_ms, least_score, tracks or [], n
+
+    def near(self, track: list, time: float | None, frame: int) -> bool:
+        if time is None or track[1] is None:
+            return frame >= track[2]
+        return 0 <= time - track[1] <= self.gap
+
+    def take(self, d) -> int:
+        """The number of the best track that is near enough, of equal ones the oldest; else of a new one."""
+        time = None if pd.isna(d.timestamp_ms) else int(d.timestamp_ms)
+        box, best, at = (d.x_min, d.y_min, d.x_max, d.y_max), 0.0, None
+        if time is not None:  # rows come in order of time, so a track beyond the gap stays beyond it
+            self.tracks = [t for t in self.tracks if t[1] is None or time - t[1] <= self.gap]
+        for t in self.tracks:
+            if self.near(t, time, d.frame_index):
+                score = match_score(tuple(t[3:]), box)
+                if score > best:
+                    best, at = score, t
+        if at is None or best < self.least:
+            at = [self.n, None, 0, 0, 0, 0, 0]
+            self.tracks.append(at)
+            self.n += 1
+        at[1:] = [time, int(d.frame_index), *map(int, box)]
+        return at[0]
+
+
 def match_score(a: tuple, b: tuple) -> float:
-    """IoU, or three quarters of the closeness of centers (0 beyond 0.65 of the larger diagonal)."""
+    """IoU, or three quarters of the closeness of centers (0 beyond 0.65 of the longest side)."""
     w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
     union = area(a) + area(b) - w * h
-    scale = max(1.0, *(((x[2] - x[0]) ** 2 + (x[3] - x[1]) ** 2) ** 0.5 for x in (a, b)))
+    scale = max(1.0, *(side for x in (a, b) for side in (x[2] - x[0], x[3] - x[1])))
     far = (((a[0] + a[2] - b[0] - b[2]) / 2) ** 2 + ((a[1] + a[3] - b[1] - b[3]) / 2) ** 2) ** 0.5
-    return max(w * h / union if union else 0.0, 0.75 * max(1 - far / (0.65 * scale), 0.0))
+    return max(w * h / union if union else 0.0, 0.75 * max(1 - far / max(0.65 * scale, 1.0), 0.0))

@@ -30,8 +30,8 @@ def fused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PAYLOADS_SQL}, long AS (SELECT p_partkey % 50 AS g, p_partkey AS o, unnest(CASE WHEN p_partkey % 4 = 3 THEN [{{'f': 'qr_code_barcode', 'v': code}}]
-  ELSE [{{'f': 'qr_code_barcode', 'v': code}}, {{'f': 'price1_qr', 'v': CASE WHEN p_partkey % 4 = 2 THEN p_retailprice::VARCHAR ELSE printf('%.2f', p_retailprice) END}}] END) AS x, 3 + (p_partkey % 90) / 100.0 AS w FROM payloads),
+    f"""WITH {PAYLOADS_SQL}, long AS (SELECT p_partkey % 50 AS g, p_partkey AS o, unnest(list_concat([{{'f': 'qr_code_barcode', 'v': code}}], CASE p_partkey % 4 WHEN 0 THEN [{{'f': 'price1_qr', 'v': printf('%.2f', p_retailprice)}}, {{'f': 'price4_qr', 'v': printf('%.2f', p_retailprice * 0.8)}}]
+  WHEN 1 THEN [{{'f': 'price1_qr', 'v': printf('%.2f', p_retailprice)}}, {{'f': 'action_price_qr', 'v': '1.5'}}] WHEN 2 THEN [{{'f': 'price1_qr', 'v': p_retailprice::VARCHAR}}] ELSE [] END)) AS x, 3 + (p_partkey % 90) / 100.0 AS w FROM payloads),
 per AS (SELECT g, x.f AS f, x.v AS v, sum(w::DECIMAL(24,6)) AS w, min(o) AS o FROM long GROUP BY ALL)
 SELECT g, f AS field, arg_max(v, (w, -o)) AS value, max(w)::DOUBLE AS weight FROM per GROUP BY g, f"""
 )
@@ -40,24 +40,25 @@ def symbol_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = payloads(spark, sf_dir).select(
         (F.col("p_partkey") % 50).alias("g"), F.col("p_partkey").alias("symbol_id"), F.lit("qr").alias("symbol_type"), "payload", ((F.col("p_partkey") % 90) / 100.0).alias("confidence")
     )
-    v = fuse.symbol_votes(p, "g").withColumn("ord", F.substring_index("ord", "|", -1).cast("long")).where(F.col("field").isin("qr_code_barcode", "price1_qr"))
-    return votes.weighted_vote(v, ["g"]).withColumn("weight", F.col("weight").cast("double"))
+    return votes.weighted_vote(fuse.symbol_votes(p, "g"), ["g"]).withColumn("weight", F.col("weight").cast("double"))
 
 
 @query(
-    """WITH pairs AS (SELECT a.p_partkey AS t, b.p_partkey AS e, a.p_partkey % 3 = 0 AS coded, a.p_retailprice AS p, b.p_retailprice AS q, a.p_name AS n, b.p_name AS m FROM part a JOIN part b ON b.p_partkey = a.p_partkey + a.p_partkey % 2 WHERE a.p_partkey < (SELECT max(p_partkey) FROM part)),
-names AS (SELECT *, array_to_string(list_sort(string_split(lower(n), ' ')), ' ') AS x, array_to_string(list_sort(string_split(lower(m), ' ')), ' ') AS y FROM pairs),
-ratios AS (SELECT *, 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE AS r FROM names)
+    """WITH RECURSIVE pairs AS (SELECT a.p_partkey AS t, b.p_partkey AS e, a.p_partkey % 3 = 0 AS coded, a.p_retailprice AS p, b.p_retailprice AS q, a.p_name AS n, b.p_name AS m FROM part a JOIN part b ON b.p_partkey = a.p_partkey + a.p_partkey % 2),
+names AS (SELECT *, array_to_string(list_sort(string_split(n, ' ')), ' ') AS x, array_to_string(list_sort(string_split(m, ' ')), ' ') AS y FROM pairs),
+walk AS (SELECT t, x, y, 0 AS i, (1::HUGEINT << length(x)) - 1 AS row FROM names
+  UNION ALL SELECT t, x, y, i + 1, ((row + (row & hit)) | (row - (row & hit))) & ((1::HUGEINT << length(x)) - 1) FROM (
+    SELECT *, list_sum([CASE WHEN x[j] = y[i + 1] THEN 1::HUGEINT << (j - 1)::INT ELSE 0::HUGEINT END for j in range(1, length(x) + 1)])::HUGEINT AS hit FROM walk WHERE i < length(y))),
+common AS (SELECT t, length(x) - bit_count(row) AS c FROM walk WHERE i = length(y)),
+ratios AS (SELECT names.*, 2 * c / (length(x) + length(y))::DOUBLE AS r FROM names JOIN common USING (t))
 SELECT t, round(CASE WHEN NOT coded THEN 0 WHEN t = e THEN 500 ELSE -1000 END + CASE WHEN abs(p - q) <= 0.01 THEN 55 ELSE -27.5 END + CASE WHEN t % 5 = 0 THEN 12 ELSE 0 END
   + CASE WHEN t % 4 = 0 THEN 240 + 220 * 0.6 WHEN t % 4 = 1 THEN 70 + 150 * 0.2 ELSE 0 END + CASE WHEN r >= 0.6 THEN 50 * r ELSE 0 END, 4)::DOUBLE AS score FROM ratios"""
 )
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings scored against the entry they belong to, or its neighbour."""
     p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    most = p.agg(F.max("p_partkey").alias("most"))
-    left = p.join(F.broadcast(most)).where("p_partkey < most")  # one row on the right
     right = p.toDF("e", "e_product_name", "e_p")
-    j = left.join(right, F.col("e") == F.col("p_partkey") + F.col("p_partkey") % 2)
+    j = p.join(right, F.col("e") == F.col("p_partkey") + F.col("p_partkey") % 2)
     code = lambda k: F.when(F.col("p_partkey") % 3 == 0, (k + 270000000000).cast("string")).otherwise(F.lit(""))
     blank = [f for f in ("qr_code_barcode", "id_sku", "price_default", "price1_qr", "price2_qr", "price4_qr", "discount_amount", "color", "special_symbols")]
     money = lambda c: F.format_string("%.2f", F.col(c))

@@ -130,13 +130,13 @@ def systematic_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 IOU = """greatest(least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min), 0) * greatest(least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min), 0)::DOUBLE
   / ((a.x_max - a.x_min) * (a.y_max - a.y_min) + (b.x_max - b.x_min) * (b.y_max - b.y_min)
   - greatest(least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min), 0) * greatest(least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min), 0))"""
-BOXED = f"""{TRACKS_SQL}, probes AS (SELECT * FROM tracks WHERE track_id % 3 = 0), gallery AS (SELECT * FROM tracks WHERE track_id % 3 = 1),
+BOXED = f"""{TRACKS_SQL}, probes AS (SELECT * FROM tracks WHERE track_id % 2 = 0), gallery AS (SELECT * FROM tracks WHERE track_id % 2 = 1),
 pairs AS (SELECT a.video, a.track_id AS probe, b.track_id AS found, {IOU} AS iou FROM probes a JOIN gallery b ON a.video = b.video)"""
 
 
-def _boxes(spark: SparkSession, sf_dir: str, rest: int, name: str, sides: int = 3) -> DataFrame:
-    """Tracks of one side; with two sides every track is on one."""
-    return track_table(spark, sf_dir).where(F.col("track_id") % sides == rest).select("video", F.col("track_id").alias(name), F.col("median_box").alias("bbox"), (F.col("track_id") % 100).alias("day"))
+def _boxes(spark: SparkSession, sf_dir: str, rest: int, name: str) -> DataFrame:
+    """Tracks of one side; every track is on one of the two."""
+    return track_table(spark, sf_dir).where(F.col("track_id") % 2 == rest).select("video", F.col("track_id").alias(name), F.col("median_box").alias("bbox"), (F.col("track_id") % 100).alias("day"))
 
 
 @query(f"WITH {BOXED} SELECT video, probe, found, round(iou, 6) AS iou FROM pairs WHERE iou >= 0.3")
@@ -229,13 +229,21 @@ def slot_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("track_id").join(groups, "track_id", "left").select("track_id", F.coalesce("component", "track_id").alias("component"))
 
 
-@query()
+@query(
+    f"""{SLOT}, links AS (SELECT l AS u, r AS v FROM edges WHERE score >= 0.72), ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(u, v) AS (SELECT u, v FROM ways UNION SELECT reach.u, ways.v FROM reach JOIN ways ON reach.v = ways.u),
+heads AS (SELECT u, least(min(v), u) AS component FROM reach GROUP BY u),
+member AS (SELECT tracks.*, coalesce(component, track_id) AS component FROM tracks LEFT JOIN heads ON heads.u = tracks.track_id),
+firsts AS (SELECT video, component, min((first_ms, y_min, x_min, track_id)) AS head FROM member GROUP BY video, component),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY head) AS n FROM firsts)
+SELECT video, track_id, component, printf('slot_%05d', n) AS slot FROM member JOIN numbered USING (video, component)"""
+)
 def slot_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots numbered by first time, place and member."""
     t = track_table(spark, sf_dir)
     e = spatial.slot_edges(spatial.gap_pairs(t, "video", "track_id", "first_ms", "last_ms", GAP, "median_box", 128), "median_box", "first_ms", "last_ms", GAP)
     order = [F.col("first_ms"), F.col("median_box.y_min"), F.col("median_box.x_min"), F.col("track_id")]
-    return tracks.merge_fragments(t, e, "track_id", order)
+    return tracks.merge_fragments(t, e, "video", "track_id", order)
 
 
 @query(
@@ -272,14 +280,24 @@ def sessionize_events_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("person", "session").agg(F.count("*").alias("n"), F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
 
 
-@query()
+def _greedy_sql(group: str, clash: str) -> str:
+    """Table `kept` (group, x): items by falling confidence, without those that `clash` (of k, kept before, and d)."""
+    box = "{'k': d.detection_id, 'c': d.confidence, 'n': d.label, 'x_min': d.x_min, 'y_min': d.y_min, 'x_max': d.x_max, 'y_max': d.y_max}"
+    over = IOU.replace("a.", "k.").replace("b.", "d.")
+    return f"""WITH RECURSIVE {DETECTIONS_SQL}, framed AS (SELECT *, {group} AS g FROM detections), ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY confidence DESC, detection_id) AS r FROM framed),
+fold(g, r, ks) AS (SELECT g, 1, [{box}] FROM ranked d WHERE r = 1
+  UNION ALL SELECT f.g, f.r + 1, CASE WHEN len(list_filter(ks, lambda k: {clash.format(iou=over)})) > 0 THEN ks ELSE list_append(ks, {box}) END FROM fold f JOIN ranked d ON d.g = f.g AND d.r = f.r + 1),
+kept AS (SELECT g, unnest(arg_max(ks, r)) AS x FROM fold GROUP BY g)"""
+
+
+@query(_greedy_sql("track_id // 100 * 1000000 + timestamp_ms // 3600000", "{iou} > 0.9") + " SELECT g AS frame, x.k AS detection_id, x.c AS confidence FROM kept")
 def nms_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy suppression among the detections of a track (one day of one place)."""
-    d = detections(spark, sf_dir)
-    return nms.non_max_suppress(d, ["track_id"], "detection_id", "confidence", "bbox", 0.9).select("track_id", "detection_id", "confidence")
+    """Greedy suppression among the detections of a frame (one hour of one place)."""
+    d = detections(spark, sf_dir).withColumn("frame", F.expr(f"track_id div 100 * 1000000 + timestamp_ms div {HOUR}"))
+    return nms.non_max_suppress(d, ["frame"], "detection_id", "confidence", "bbox", 0.9).select("frame", "detection_id", "confidence")
 
 
-@query()
+@query(_greedy_sql("track_id", "{iou} >= 0.6 AND k.n = d.label") + " SELECT g AS track_id, x.k AS detection_id FROM kept")
 def spatial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a track that are one thing, unless their names differ."""
     return nms.spatial_dedup(detections(spark, sf_dir), ["track_id"], "detection_id", "confidence", "bbox", "label", 0.6)
@@ -295,7 +313,7 @@ def associate_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def assign_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimal assignment of probe tracks to gallery tracks of the same video and day by overlap."""
-    a, b = _boxes(spark, sf_dir, 0, "probe", 2), _boxes(spark, sf_dir, 1, "found", 2)
+    a, b = _boxes(spark, sf_dir, 0, "probe"), _boxes(spark, sf_dir, 1, "found")
     group = lambda df: df.withColumn("cell", F.concat_ws(":", "video", F.expr("day div 4")))
     p = spatial.iou_pairs(group(a), group(b), "cell", "probe", "found", "bbox", CELL, 0.18)
     p = p.withColumn("score", 240 + 220 * F.col("iou"))

@@ -165,19 +165,20 @@ def ean13_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH skus AS (SELECT p_brand, p_partkey, (CASE WHEN p_brand < 'Brand#2' THEN '27' ELSE '31' END) || lpad((CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE p_partkey END)::VARCHAR, 10, '0') AS sku FROM part WHERE p_partkey % 10 < 4),
-counted AS (SELECT p_brand, sku, count(*) AS n, min(p_partkey) AS o FROM skus GROUP BY ALL), usual AS (SELECT p_brand, arg_max(sku, (n, -o)) AS m, max(n) AS n, sum(n) AS everything FROM counted GROUP BY p_brand),
-spots AS (SELECT p_brand, i, substr(sku, i, 1) AS c, count(*) AS n, min(p_partkey) AS o FROM skus, range(1, 13) t(i) GROUP BY ALL),
-best AS (SELECT p_brand, i, arg_max(c, (n, -o)) AS c FROM spots GROUP BY p_brand, i), voted AS (SELECT p_brand, string_agg(c, '' ORDER BY i) AS v FROM best GROUP BY p_brand)
-SELECT p_brand, CASE WHEN n >= 2 THEN m WHEN everything >= 3 AND v[1:2] IN ('27', '37') THEN v ELSE '' END AS sku,
+    """WITH skus AS (SELECT p_partkey // 4 AS lot, p_partkey, (CASE WHEN p_brand < 'Brand#2' THEN '27' ELSE '31' END) || lpad((CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE p_partkey END)::VARCHAR, 10, '0') AS sku FROM part),
+counted AS (SELECT lot, sku, count(*) AS n, min(p_partkey) AS o FROM skus GROUP BY ALL), usual AS (SELECT lot, arg_max(sku, (n, -o)) AS m, max(n) AS n, sum(n) AS everything FROM counted GROUP BY lot),
+spots AS (SELECT lot, i, substr(sku, i, 1) AS c, count(*) AS n, min(p_partkey) AS o FROM skus, range(1, 13) t(i) GROUP BY ALL),
+best AS (SELECT lot, i, arg_max(c, (n, -o)) AS c FROM spots GROUP BY lot, i), voted AS (SELECT lot, string_agg(c, '' ORDER BY i) AS v FROM best GROUP BY lot)
+SELECT lot, CASE WHEN n >= 2 THEN m WHEN everything >= 3 AND v[1:2] IN ('27', '37') THEN v ELSE '' END AS sku,
   CASE WHEN n >= 2 THEN 'exact_majority' WHEN everything >= 3 AND v[1:2] IN ('27', '37') THEN 'position_vote' ELSE 'insufficient_support' END AS method,
-  CASE WHEN n >= 2 THEN 0.94 WHEN everything >= 3 AND v[1:2] IN ('27', '37') THEN 0.86 ELSE 0.0 END::DOUBLE AS confidence, n FROM usual JOIN voted USING (p_brand)"""
+  CASE WHEN n >= 2 THEN 0.94 WHEN everything >= 3 AND v[1:2] IN ('27', '37') THEN 0.86 ELSE 0.0 END::DOUBLE AS confidence, n FROM usual JOIN voted USING (lot)"""
 )
 def sku_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").where("p_partkey % 10 < 4")
+    """Stock numbers of lots of four parts, of which one or two read the same."""
+    p = load(spark, sf_dir, "part")
     number = F.when(F.col("p_partkey") % 3 == 0, F.lit(7)).otherwise(F.col("p_partkey")).cast("string")
     sku = F.concat(F.when(F.col("p_brand") < "Brand#2", F.lit("27")).otherwise(F.lit("31")), F.lpad(number, 10, "0"))
-    return votes.sku_consensus(p.select("p_brand", "p_partkey", sku.alias("sku")), ["p_brand"], "sku", "p_partkey")
+    return votes.sku_consensus(p.select(F.expr("p_partkey div 4").alias("lot"), "p_partkey", sku.alias("sku")), ["lot"], "sku", "p_partkey")
 
 
 NAMES_SQL = """names AS (SELECT DISTINCT upper(p_name || ' ' || p_brand || p_type) AS name FROM part),
@@ -350,14 +351,14 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PAIRS_SQL = """labelled AS (SELECT o_orderkey AS id, o_custkey % 20 AS video, 'P' || lpad((o_orderkey % 400)::VARCHAR, 6, '0') AS name, printf('%.2f', o_totalprice) AS price, (o_orderkey * 37) % 1800 AS x, (o_orderkey * 91) % 1000 AS y, o_orderpriority AS info FROM orders WHERE o_orderkey % 4 = 0),
+PAIRS_SQL = """labelled AS (SELECT o_orderkey AS id, o_custkey % 20 AS video, 'P' || lpad((o_orderkey % 400)::VARCHAR, 6, '0') AS name, printf('%.2f', o_totalprice) AS price, (o_orderkey * 37) % 1800 AS x, (o_orderkey * 91) % 1000 AS y, o_orderpriority AS info FROM orders),
 guessed AS (SELECT id, video, CASE WHEN id % 5 = 0 THEN 'Q' || name ELSE name END AS name, CASE WHEN id % 3 = 0 THEN '1.00' ELSE price END AS price, CASE WHEN id % 7 = 0 THEN '' ELSE lower(info) END AS info FROM labelled)"""
 
 
-def labelled_pairs(spark: SparkSession, sf_dir: str, chosen: str = "true") -> tuple[DataFrame, DataFrame]:
-    """Labelled rows, of all orders unless `chosen` says which, and perturbed predictions of them."""
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows of all orders, and perturbed predictions of them."""
     k = F.col("o_orderkey")
-    o = load(spark, sf_dir, "orders").where(chosen)
+    o = load(spark, sf_dir, "orders")
     t = o.select(
         k.alias("truth_id"), (F.col("o_custkey") % 20).alias("video"), F.concat(F.lit("P"), F.lpad((k % 400).cast("string"), 6, "0")).alias("product_name"), F.format_string("%.2f", F.col("o_totalprice")).alias("price_card"), F.col("o_orderpriority").alias("additional_info"),
         F.when(k % 8 == 0, k.cast("string")).otherwise(F.lit("")).alias("code"), ((k * 37) % 1800).alias("x"), ((k * 91) % 1000).alias("y"),
@@ -381,12 +382,12 @@ def _paired(p: DataFrame, t: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {PAIRS_SQL} SELECT l.id, 3 AS n_fields, (CASE WHEN 1 - levenshtein(lower(g.name), lower(l.name)) / greatest(length(g.name), length(l.name))::DOUBLE >= 0.85 THEN 1 ELSE 0 END
+    f"""WITH {PAIRS_SQL} SELECT l.id, 3 AS n_fields, (CASE WHEN 2 * length(l.name) / (length(g.name) + length(l.name))::DOUBLE >= 0.85 AND contains(g.name, l.name) THEN 1 ELSE 0 END
   + CASE WHEN abs(g.price::DECIMAL(18,4) - l.price::DECIMAL(18,4)) <= 0.01 THEN 1 ELSE 0 END + CASE WHEN g.info = lower(l.info) THEN 1 ELSE 0 END)::BIGINT AS n_matches FROM guessed g JOIN labelled l USING (id)"""
 )
 def evaluate_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields compared by their kinds, given the pairs."""
-    p, t = labelled_pairs(spark, sf_dir, "o_orderkey % 4 = 0")  # as its SQL does
+    p, t = labelled_pairs(spark, sf_dir)
     matched = p.select("pred_id", F.col("pred_id").alias("truth_id"))
     return evaluate.field_scores(_paired(p, t, matched), ["truth_id"], FIELDS).withColumnRenamed("truth_id", "id")
 

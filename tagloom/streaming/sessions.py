@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracks import match_score
+from ..operators.tracks import OpenTracks, in_time_order
+
+NO_TIME = -1 << 62
 
 
 def session_counts(events: DataFrame, time: str, group: str, gap: str, late: str) -> DataFrame:
@@ -31,29 +33,13 @@ def tracked(detections: DataFrame, group: str, max_gap_ms: int = 2500, least_sco
     kind = detections.schema[group].dataType.simpleString()
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks, n = ([], 0)
+        kept = OpenTracks(max_gap_ms, least_score)
         if state.exists:
-            (flat, n) = state.get
-            tracks = [list(flat[i : i + 7]) for i in range(0, len(flat), 7)]
-        part = pd.concat(list(parts)).sort_values(["timestamp_ms", "frame_index", "confidence", "detection_id"], ascending=[True, True, False, True])
-        out = []
-        for d in part.itertuples():
-            box, best, at = (d.x_min, d.y_min, d.x_max, d.y_max), least_score, None
-            for t in tracks:
-                if t[2] != d.frame_index and 0 <= d.timestamp_ms - t[1] <= max_gap_ms:
-                    score = match_score(tuple(t[3:]), box)
-                    if score > best or (score == best and at is None):
-                        best, at = score, t
-            if at is None:
-                at = [n, 0, 0, 0, 0, 0, 0]
-                tracks.append(at)
-                n += 1
-            at[1:] = [int(d.timestamp_ms), int(d.frame_index), *map(int, box)]
-            out.append(at[0])
-        if len(part):
-            newest = max(t[1] for t in tracks)
-            tracks = [t for t in tracks if newest - t[1] <= max_gap_ms]
-        state.update(([x for t in tracks for x in t], n))
+            (flat, kept.n) = state.get
+            kept.tracks = [[None if x == NO_TIME else x for x in flat[i : i + 7]] for i in range(0, len(flat), 7)]
+        part = in_time_order(pd.concat(list(parts)))
+        out = [kept.take(d) for d in part.itertuples()]
+        state.update(([NO_TIME if x is None else x for t in kept.tracks for x in t], kept.n))
         yield pd.DataFrame({group: [key[0]] * len(part), "detection_id": part["detection_id"].to_numpy(), "track": out})
 
     return detections.groupBy(group).applyInPandasWithState(run, f"{group} {kind}, detection_id long, track long", "open array<long>, n long", "append", GroupStateTimeout.NoTimeout)

@@ -115,7 +115,7 @@ def test_slots(spark):
     def slots(rows):
         t = spark.createDataFrame(rows, f"video string, track string, first_ms long, last_ms long, median_box {BOX}")
         e = spatial.slot_edges(spatial.gap_pairs(t, "video", "track", "first_ms", "last_ms", 1600, "median_box", 64), "median_box", "first_ms", "last_ms", 1600)
-        return len({r.slot for r in tracks.merge_fragments(t, e, "track", [F.col("first_ms"), F.col("track")]).collect()})
+        return len({r.slot for r in tracks.merge_fragments(t, e, "video", "track", [F.col("first_ms"), F.col("track")]).collect()})
 
     assert slots([("v", "a", 0, 200, (100, 100, 200, 180)), ("v", "b", 700, 900, (106, 100, 206, 180))]) == 1
     assert slots([("v", "a", 0, 800, (100, 100, 200, 180)), ("v", "b", 700, 900, (106, 100, 206, 180))]) == 2

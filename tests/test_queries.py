@@ -91,5 +91,5 @@ def test_assignment_takes_every_track(spark):
     for side in sides:
         assert {k % 3 for k in side} == {0, 1, 2}
     every = {r.track_id for r in observations.track_table(spark, SF).select("track_id").collect()}
-    taken = [{r.k for r in observations._boxes(spark, SF, rest, "k", 2).collect()} for rest in (0, 1)]
+    taken = [{r.k for r in observations._boxes(spark, SF, rest, "k").collect()} for rest in (0, 1)]
     assert taken[0] | taken[1] == every and not taken[0] & taken[1]
