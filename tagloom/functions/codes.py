@@ -122,7 +122,7 @@ def sku_candidates(text: Column) -> Column:
 
 def first_valid_ean13(text: Column) -> Column:
     """The first valid code in a text whose digits spaces or hyphens may part."""
-    found = F.transform(F.regexp_extract_all(text_of(text), F.lit(r"(\d(?:[ \-]?\d){12})"), F.lit(1)), digits)
+    found = F.transform(F.regexp_extract_all(text_of(text), F.lit(r"(?U)\b(\d(?:[\s\-]?\d){12})\b"), F.lit(1)), digits)
     return F.coalesce(F.get(F.filter(found, ean13_ok), F.lit(0)), F.lit(""))
 
 
