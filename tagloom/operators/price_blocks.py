@@ -51,3 +51,11 @@ def parse(blocks: DataFrame, key: str) -> DataFrame:
     made = prices.rounded_discount(F.col("price_default").cast("decimal(18,4)"), F.col("price_card").cast("decimal(18,4)"))
     # A reading of one digit is a part of the discount; two digits are trusted.
     return d.select(key, "price_default", "price_card", F.when(F.col("_t").rlike(r"^-\d\d%$"), F.col("_t")).otherwise(F.coalesce(made, F.lit(""))).alias("discount_amount"))
+
+
+def default_kopecks(blocks: DataFrame, key: str, default_y: float, card_kopecks: str, far: float = 0.16) -> DataFrame:
+    """`key`, kopecks: the two digits that stand alone nearest the default price's height, within `far`, other than the card's; else 00."""
+    two = blocks.select(key, "ord", F.abs(F.col("rel_y") - default_y).alias("_far"), F.explode(F.regexp_extract_all("text", F.lit(r"(?<!\d)\d{2}(?!\d)"), F.lit(0))).alias("_two")).where(F.col("_two") != card_kopecks)
+    best = two.groupBy(key).agg(F.min(F.struct("_far", "ord", "_two")).alias("_b"))
+    j = blocks.select(key).distinct().join(best, key, "left")
+    return j.select(key, F.when(F.col("_b._far") <= far, F.col("_b._two")).otherwise(F.lit("00")).alias("kopecks"))

@@ -61,6 +61,13 @@ def merge_fragments(tracks: DataFrame, edges: DataFrame, on: str, key: str, orde
     return t.join(numbered, [on, "component"]).select(on, key, "component", slot.alias("slot"))
 
 
+def renamed(rows: DataFrame, slots: DataFrame, track: str) -> DataFrame:
+    """Rows (detections or crops) with their slot as `track`, and the old track as `source_track_id`."""
+    s = slots.select(F.col(track).alias("_old"), "slot")
+    j = rows.join(s, F.col(track) == F.col("_old"), "left")
+    return j.withColumns({"source_track_id": F.col(track), track: F.coalesce("slot", F.col(track).cast("string"))}).drop("_old", "slot")
+
+
 def associate(detections: DataFrame, group: str, schema: str, max_gap_ms: int = 2500, least_score: float = 0.18) -> DataFrame:
     """detection_id and track of each detection, in order of time, frame and falling confidence: the best open track of its group, or a new one.
 

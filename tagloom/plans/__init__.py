@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import builtins, fusion, observations, readings
+from . import builtins, fusion, observations, readings, stages
 from .registry import QUERIES, SQL
 
-__all__ = ["builtins", "fusion", "observations", "readings", "oracle_sql", "queries"]
+__all__ = ["builtins", "fusion", "observations", "readings", "stages", "oracle_sql", "queries"]
 
 
 def queries():

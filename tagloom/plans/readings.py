@@ -291,7 +291,8 @@ scored AS (SELECT *, least(1.0, (CASE WHEN k AND named THEN 0.4 WHEN k OR named
     f"WITH {SCORED_SQL} SELECT p_partkey, round(confidence, 4) AS confidence, CASE WHEN round(confidence, 4) >= 0.6 THEN 'high' WHEN round(confidence, 4) >= 0.3 THEN 'medium' ELSE 'low' END AS tier FROM scored"
 )
 def confidence_score_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = output_rows(spark, sf_dir).withColumn("c", gate.confidence())
+    d, f = gate.with_facts(output_rows(spark, sf_dir))
+    r = d.withColumn("c", gate.confidence(f))
     return r.select("p_partkey", "c.confidence", "c.tier")
 
 
