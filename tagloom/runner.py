@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 
@@ -14,6 +15,8 @@ class Stage:
     name: str
     run: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
     always: bool = False
+    #: What the stage says of its input before it runs.
+    describe: Callable[[dict[str, DataFrame]], dict] | None = None
 
 
 @dataclass
@@ -23,6 +26,8 @@ class Report:
     ms: int
     message: str = ""
     outputs: tuple[str, ...] = field(default=())
+    input: dict = field(default_factory=dict)
+    started_at: str = ""
 
 
 def run_stages(stages: list[Stage], frames: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], list[Report]]:
@@ -32,14 +37,16 @@ def run_stages(stages: list[Stage], frames: dict[str, DataFrame]) -> tuple[dict[
         if failed and not s.always:
             reports.append(Report(s.name, "skipped", 0))
             continue
-        began = time.perf_counter()
+        began, stamp = time.perf_counter(), datetime.now(UTC).isoformat()
+        said: dict = {}
         try:
+            said = s.describe(frames) if s.describe else {}
             made = s.run(frames)
             frames = frames | made
-            reports.append(Report(s.name, "done", round((time.perf_counter() - began) * 1000), outputs=tuple(made)))
+            reports.append(Report(s.name, "done", round((time.perf_counter() - began) * 1000), outputs=tuple(made), input=said, started_at=stamp))
         except Exception as e:  # noqa: BLE001  reported, and what depends on it is skipped
             failed = True
-            reports.append(Report(s.name, "failed", round((time.perf_counter() - began) * 1000), str(e)[:500]))
+            reports.append(Report(s.name, "failed", round((time.perf_counter() - began) * 1000), str(e)[:500], input=said, started_at=stamp))
     return frames, reports
 
 
@@ -49,7 +56,7 @@ def merged(base: dict, override: dict) -> dict:
 
 
 class Registry:
-    """Named query builders: the requested one, else the default."""
+    """Named query builders: the requested one, else the default, else `mock`."""
 
     def __init__(self, default: str):
         self.default, self.known = default, {}
@@ -58,7 +65,31 @@ class Registry:
         self.known[name] = build
 
     def get(self, name: str | None) -> Callable:
-        for n in (name, self.default):
+        for n in (name, self.default, "mock"):
             if n in self.known:
                 return self.known[n]
         raise KeyError(name)
+
+
+def coerced(value, kind: str, default, name: str, warnings: list[str]):
+    """A setting as bool, positive int, positive float or ratio (0 to 1); a value that is none gives the default and a warning."""
+    try:
+        if kind == "bool":
+            if isinstance(value, bool):
+                return value
+            text = str(value).strip().lower()
+            if text in ("1", "true", "yes", "on"):
+                return True
+            if text in ("0", "false", "no", "off"):
+                return False
+            raise ValueError(text)
+        if isinstance(value, bool):
+            raise ValueError(value)
+        number = int(value) if kind == "int" else float(value)
+        if (kind == "ratio" and not 0 <= number <= 1) or (kind != "ratio" and not number > 0):
+            raise ValueError(value)
+        return number
+    except (TypeError, ValueError):
+        if value is not None:
+            warnings.append(f"{name}: {value!r} is no {kind}, {default!r} is used")
+        return default

@@ -81,6 +81,11 @@ def filename_keys(c):
     return F.filter(F.array_distinct(F.array(path, name, stem, F.concat(stem, F.lit(".mp4")), near, parent)), lambda x: (x != "") & (x != ".mp4"))
 
 
+def near_filename_keys(c):
+    """The earlier spellings: path, name, parent and name."""
+    return F.array_distinct(F.filter(F.array(*[F.get(filename_keys(c), F.lit(i)) for i in range(2)], F.lower(F.regexp_extract(F.replace(F.trim(text_of(c)), F.lit("\\"), F.lit("/")), r"([^/]+/[^/]+)$", 1))), lambda x: F.coalesce(x != "", F.lit(False))))
+
+
 def video_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """csv, video: each label file with the video of its stem in its folder, else with the only one there."""
     paths = spark.read.format("binaryFile").options(recursiveFileLookup=True).load(folder).select("path")
