@@ -1,13 +1,13 @@
-"""Near-duplicate join on word shingles: MinHash bands, then exact Jaccard similarity.
+"""Near-duplicate join on word shingles: a MinHash LSH forest, then exact Jaccard similarity.
 
 1. Texts are lower-cased, white space is unified, and texts with the same words share a key.
-2. Each text gets `trees` labels of `depth` MinHash values. Fixed bands stand in for an LSH forest: of every
-   label the longest prefix is used with which a pair at the threshold meets in some label at the
-   target recall. It follows from the constants, is hashed to a bucket and joined by equality; no trie is
-   walked and no prefix is shortened for a text or input.
-3. Within every bucket, rows in the order of their signatures are linked where these
-   agree; a leader per run links all that agree with it at once, so no pairs of a group are listed.
-   Buckets with very many members are dealt out in pairs of blocks.
+2. Each text gets `trees` labels of `depth` MinHash values. The labels of a tree, in order, are its prefix trie. A
+   prefix of k values meets a pair at the threshold in some tree with chance 1 - (1 - similarity ** k) ** trees;
+   `stop` is the longest one that reaches the target recall. Tries are dealt out by their nodes of that length.
+3. A node's rows come sorted by label and are walked from the full depth up: first the runs that agree in all values are
+   linked, then prefixes are shortened a value at a time. A node whose texts are joined already is not
+   shortened; others end at `stop`. Rows are linked where their signatures agree; a leader links all
+   that agree with it at once, so no pairs of a group are listed. Nodes with very many members are dealt out in pairs of blocks.
 4. Connected components of these links are the candidate groups. Each text's shingles travel once
    to its group, again in pairs of blocks where a group is large, and there every pair is compared
    exactly by sparse products of shingle columns. Classes are the components of exact links.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import stored
+from ..storage import forget, stored
 from .frames import boxed, narrow, unboxed
 
 
@@ -46,16 +46,19 @@ class ForestRules:
     block_rows: int = 768
     block_shingles: int = 1_000_000
 
+    def recall(self, prefix: int) -> float:
+        """The chance that a pair at the threshold shares a prefix of this length in some tree."""
+        return 1 - (1 - self.similarity**prefix) ** self.trees
+
     @property
-    def prefix(self) -> int:
-        """The longest prefix that reaches the target recall at the threshold."""
-        for k in range(self.depth, 1, -1):
-            if 1 - (1 - self.similarity**k) ** self.trees >= self.target_recall:
-                return k
-        return 1
+    def stop(self) -> int:
+        """The longest prefix that reaches the target recall: none is shortened further."""
+        return max((k for k in range(1, self.depth + 1) if self.recall(k) >= self.target_recall), default=1)
 
 
 SLICE_BYTES = 2_000_000
+#: Parts in which a class's texts take its least doc_id.
+DEALS = 16
 
 
 def unified(text: Column) -> Column:
@@ -125,7 +128,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, rules: ForestRules) -> np
 
 
 def _signed(rules: ForestRules):
-    weights = np.random.default_rng(rules.seed + 1).integers(1 << 63, size=(rules.trees, rules.prefix), dtype=np.uint64) | np.uint64(1)
+    weights = np.random.default_rng(rules.seed + 1).integers(1 << 63, size=(rules.trees, rules.stop), dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,19 +136,25 @@ def _signed(rules: ForestRules):
                 hashes, bounds = shingle_hashes(part.column("norm"), rules.words)
                 has = np.flatnonzero(np.diff(bounds) > 0)
                 sig = signatures(hashes, bounds, rules)
-                paths = sig.reshape(-1, rules.trees, rules.depth)[:, :, : rules.prefix].astype(np.uint64)
+                paths = sig.reshape(-1, rules.trees, rules.depth)[:, :, : rules.stop].astype(np.uint64)
                 buckets = _mix((paths * weights).sum(axis=2) + np.arange(rules.trees, dtype=np.uint64)).view(np.int64)
                 tiny = (sig >> np.uint32(13)).astype(np.uint8)
                 k, m = len(has), rules.trees
+                # Texts without words have neither signature nor nodes.
+                size = np.diff(bounds)
+                ends = np.concatenate([[0], np.cumsum(m * (size > 0))]).astype(np.int32)
+                signed = np.full(len(size), None, object)
+                signed[has] = [r.tobytes() for r in tiny]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(pa.array(has)),
-                        part.column("key").take(pa.array(has)),
-                        pa.array(np.diff(bounds)[has], pa.int64()),
-                        pa.array([r.tobytes() for r in tiny], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, k * m + 1, m), pa.int32()), pa.array(buckets.ravel(), pa.int64())),
+                        part.column("doc_id"),
+                        part.column("key"),
+                        part.column("raw"),
+                        pa.array(size, pa.int64()),
+                        pa.array(signed, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets.ravel() if k else np.empty(0, np.int64), pa.int64())),
                     ],
-                    names=["doc_id", "key", "n_shingles", "sig", "buckets"],
+                    names=["doc_id", "key", "raw", "n_shingles", "sig", "buckets"],
                 )
 
     return run
@@ -199,12 +208,15 @@ def _forest_links(rules: ForestRules):
             block, crossed = table.column("block").to_numpy(), table.column("crossed").to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(unit)]]))
+            # The values of a row's own label beyond the node's prefix.
+            at = table.column("tree").to_numpy()[:, None] * rules.depth + np.arange(rules.stop, rules.depth)
+            rest = np.take_along_axis(sig, at, axis=1)
             left, right = [], []
-            two = starts[sizes == 2]  # most prefixes: one pair
+            two = starts[sizes == 2]  # most nodes: one pair
             two = two[_agree(sig[two], sig[two + 1], rules.least_estimate)]
             left.append(two), right.append(two + 1)
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-                a, b = _leader_links(sig[s : s + n], block[s : s + n] if crossed[s] else None, rules.least_estimate)
+                a, b = _walk(sig[s : s + n], rest[s : s + n], block[s : s + n] if crossed[s] else None, rules.least_estimate)
                 left.append(a + s), right.append(b + s)
             a, b = np.concatenate(left), np.concatenate(right)
             yield pa.RecordBatch.from_arrays([pa.array(keys[a], pa.string()), pa.array(keys[b], pa.string())], names=["src", "dst"])
@@ -212,13 +224,28 @@ def _forest_links(rules: ForestRules):
     return run
 
 
-def _leader_links(sig: np.ndarray, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _walk(sig: np.ndarray, rest: np.ndarray, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a trie node's rows, which come sorted by `rest`, the values beyond its prefix: the longest runs first.
+
+    At each length the runs of equal values are linked; a run that is one tree already is left as it is.
+    """
+    tree, links = np.arange(len(sig)), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for length in range(rest.shape[1], -1, -1):
+        differs = (rest[1:, :length] != rest[:-1, :length]).any(axis=1)
+        cut = np.concatenate([[0], np.flatnonzero(differs) + 1, [len(sig)]])
+        for s, e in zip(cut[:-1], cut[1:]):
+            if e - s > 1 and (tree[s:e] != tree[s]).any():
+                a, b = _leader_links(sig[s:e], None if block is None else block[s:e], least, tree[s:e])
+                links.append((a + s, b + s))
+    return np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
+
+
+def _leader_links(sig: np.ndarray, block: np.ndarray | None, least: float, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between rows; only rows not yet in the leader's tree are compared with it.
 
-    With `block`, only rows of different blocks are linked.
+    `tree` tells the rows' trees, and is brought up to date. With `block`, only rows of different blocks are linked.
     """
     n = len(sig)
-    tree = np.arange(n)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(n - 1):
         rest = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
@@ -321,42 +348,48 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
     the other different texts at or above the similarity; n_copies counts the rows with equal words.
     key tells texts apart, class_key classes, also where different documents repeat a doc_id.
     """
-    d = narrow(docs, "doc_id", "text").select("doc_id", unified(F.col("text")).alias("norm"))
-    d = d.withColumns({"key": F.md5("norm"), "row": F.xxhash64("doc_id")})
-    signed = stored(
-        d.drop("row").mapInArrow(_signed(rules), f"{_id_type(docs)}, key string, n_shingles long, sig binary, buckets array<long>"), "signed"
-    )
-    one = signed.groupBy("key").agg(F.min(F.xxhash64("doc_id")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
-    one = stored(one, "texts")
-    paths = one.select("key", F.explode("buckets").alias("bucket"))
+    plain = narrow(docs, "doc_id", "text").withColumn("raw", F.xxhash64("text"))
+    d = plain.select("doc_id", "raw", unified(F.col("text")).alias("norm")).withColumn("key", F.md5("norm"))
+    signed = stored(d.mapInArrow(_signed(rules), f"{_id_type(docs)}, key string, raw long, n_shingles long, sig binary, buckets array<long>"), "signed")
+    worded = signed.where("sig is not null")
+    one = worded.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("row"), "raw")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
+    one = stored(one.select("key", "at.*", "n_shingles", "sig", "buckets"), "texts")
+    paths = one.select("key", F.posexplode("buckets").alias("tree", "bucket"))
     shared = paths.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = paths.join(shared, "bucket").join(one.select("key", "sig"), "key")
-    units = _dealt(met, "bucket", "key", F.ceil(F.col("n") / rules.block_rows)).select("unit", "block", "crossed", "key", "sig")
-    found = units.repartition("unit").sortWithinPartitions("unit", "sig", "key").mapInArrow(_forest_links(rules), "src string, dst string")
+    label = F.substring(F.col("sig"), (F.col("tree") * rules.depth + rules.stop + 1).cast("int"), F.lit(rules.depth - rules.stop))
+    units = _dealt(met, "bucket", "key", F.ceil(F.col("n") / rules.block_rows)).select("unit", "block", "crossed", "tree", "key", "sig", label.alias("label"))
+    found = units.repartition("unit").sortWithinPartitions("unit", "label", "sig", "key").drop("label").mapInArrow(_forest_links(rules), "src string, dst string")
     groups = connected_components(found, "src", "dst")
-    groups = groups.join(one.select(F.col("key").alias("node"), "n_shingles", "row"), "node")
+    groups = groups.join(one.select(F.col("key").alias("node"), "n_shingles", "row", "raw"), "node")
     volume = groups.groupBy("component").agg(F.sum("n_shingles").alias("v"), F.count("*").alias("m"))
     blocks = F.ceil(F.greatest(F.col("v") / rules.block_shingles, F.col("m") / rules.block_rows))
-    groups = groups.join(volume, "component").select(F.col("node").alias("key"), "row", "component", blocks.cast("long").alias("blocks"))
-    # One row of each text: copies of a text are dealt out by their rows, and all but one of them stay behind.
-    texts = d.join(groups, ["key", "row"]).groupBy("key", "row").agg(F.first("component").alias("component"), F.first("blocks").alias("blocks"), F.first("norm").alias("norm"))
+    groups = groups.join(volume, "component").select(F.col("node").alias("key"), "row", "raw", "component", blocks.cast("long").alias("blocks"))
+    # One row of each text of a candidate group: its own words are unified again, not those of all texts. Copies of a text are
+    # dealt out by their rows, and all but one of them stay behind.
+    texts = plain.withColumn("row", F.xxhash64("doc_id")).join(groups, ["row", "raw"]).groupBy("key", "row").agg(F.first("component").alias("component"), F.first("blocks").alias("blocks"), F.first("text").alias("text"))
+    texts = texts.select("key", "component", "blocks", unified(F.col("text")).alias("norm"))
     sets = texts.mapInArrow(_shingled(rules), "component string, key string, blocks long, shingles binary")
     units = _dealt(sets, "component", "key", F.col("blocks")).select("unit", "block", "crossed", "key", "shingles")
     exact = units.repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(_verified(rules), "src string, dst string, links long")
     exact = stored(exact, "links")
+    forget(one)
     classes = connected_components(exact, "src", "dst")
     degrees = exact.groupBy("src").agg(F.sum("links").alias("n_links")).where("n_links > 0")
-    copies = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    copies = worded.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     copies = copies.join(classes.withColumnRenamed("node", "key"), "key", "left").join(degrees.withColumnRenamed("src", "key"), "key", "left")
-    copies = copies.withColumn("component", F.coalesce("component", "key"))
-    heads = copies.groupBy("component").agg(F.min("least").alias("class_id"))
-    copies = stored(copies.join(heads, "component").select("key", "class_id", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
-    out = d.select("doc_id", "key").join(copies, "key", "left")
-    alone = F.col("n_copies").isNull()
+    # A class with very many texts is dealt out when its least doc_id comes back to them; texts without links need no class.
+    linked = copies.where("component is not null").withColumn("_deal", F.pmod(F.xxhash64("key"), F.lit(DEALS)).cast("int"))
+    heads = linked.groupBy("component").agg(F.min("least").alias("class_id")).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    columns = ["key", "class_id", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"]
+    alone = copies.where("component is null").withColumns({"class_id": F.col("least"), "component": F.col("key")})
+    copies = stored(linked.join(heads, ["component", "_deal"]).select(*columns).unionByName(alone.select(*columns)), "classes")
+    out = signed.select("doc_id", "key").join(copies, "key", "left")
+    wordless = F.col("n_copies").isNull()
     return out.select(
         "doc_id",
         "key",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("component", "key").alias("class_key"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),

@@ -91,10 +91,45 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert N.near_duplicates(df.limit(0)).count() == 0 and N.keep_one(df.limit(0)).count() == 0
 
 
-def test_prefix_shortens_until_the_target_recall():
-    assert N.ForestRules(target_recall=0.5).prefix == 5
+def test_prefixes_are_shortened_until_the_target_recall():
+    assert N.ForestRules(target_recall=0.5).stop == 5
     r = N.ForestRules()
-    assert 1 - (1 - 0.8**r.prefix) ** r.trees >= 0.99999 > 1 - (1 - 0.8 ** (r.prefix + 1)) ** r.trees
+    assert r.stop == 4 and r.recall(r.stop) >= r.target_recall > r.recall(r.stop + 1)
+
+
+def test_a_node_is_walked_from_the_longest_runs_and_left_when_joined(monkeypatch):
+    asked = []
+    real = N._leader_links
+    monkeypatch.setattr(N, "_leader_links", lambda sig, block, least, tree: asked.append(len(sig)) or real(sig, block, least, tree))
+    sig = np.zeros((6, 40), np.uint8)
+    sig[3:] = 9
+    rest = np.array([[1], [1], [1], [2], [2], [3]], np.uint8)  # runs of three, two and one
+    a, b = N._walk(sig, rest, None, 0.55)
+    assert asked == [3, 2, 6]  # the longest runs, then the node, whose texts aren't joined yet
+    edges = set(zip(a.tolist(), b.tolist()))
+    assert len(edges) == 4 and all(sig[i, 0] == sig[j, 0] for i, j in edges)
+    asked.clear()
+    N._walk(np.zeros((4, 40), np.uint8), np.ones((4, 1), np.uint8), None, 0.55)
+    assert asked == [4]  # all agree in all values: not shortened
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    rng = random.Random(77)
+    docs, wanted = [], 0
+    for i in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(90, 400))]
+        n, k = len(w) - 4, 0
+        # k words changed at the end lose k shingles on either side.
+        while (n - k - 1) / (n + k + 1) >= 0.8:
+            k += 1
+        other = w[: len(w) - k] + [f"v{rng.randrange(10**6)}" for _ in range(k)]
+        share = len(shingles(" ".join(w)) & shingles(" ".join(other))) / len(shingles(" ".join(w)) | shingles(" ".join(other)))
+        assert 0.8 <= share < 0.85
+        wanted += 1
+        docs += [(2 * i, " ".join(w), "en", "s"), (2 * i + 1, " ".join(other), "en", "s")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in N.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    met = sum(got[2 * i] == got[2 * i + 1] == (2 * i, 1) for i in range(300))
+    assert met / wanted >= 0.99
 
 
 def test_very_long_texts_at_exactly_the_threshold_are_linked():
