@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fuse, price_blocks, score, votes
-from ..sources.tables import load
+from ..sources.tables import DETECTIONS_SQL, load
 from .observations import detections
 from .readings import PAYLOADS_SQL, payloads
 from .registry import query
@@ -87,7 +87,10 @@ def price_blocks_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_blocks.parse(b, "p_partkey")
 
 
-@query()
+@query(
+    f"""WITH {DETECTIONS_SQL}, s AS (SELECT *, CASE label WHEN 'purchase' THEN 60.0 WHEN 'view' THEN 40.0 WHEN 'click' THEN 8.0 ELSE 0.0 END::DOUBLE + 0.3::DOUBLE * length(label) + detection_id % 3 + quality + 0.0096::DOUBLE AS s FROM detections)
+SELECT track_id, arg_max(detection_id, (s, quality, -detection_id)) AS detection_id, round(max(s), 4) AS score FROM s GROUP BY track_id"""
+)
 def recognised_best_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best read crop of each track."""
     d = detections(spark, sf_dir)
