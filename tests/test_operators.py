@@ -155,6 +155,11 @@ def test_resolver(spark):
     for r in got.values():
         assert not r.accepted or (r.name and r.barcode in r.candidate_codes)
     assert got[4].barcode == "8051070512049"
+    assert all((r.product_name, r.guess_name) == ((r.name, "") if r.accepted else ("", r.name)) for r in got.values())
+    wine = spark.createDataFrame([("Вино RED", "1"), (" винный напиток", "2"), ("Сок", "3")], "name string, code string")
+    assert {r.code for r in resolve.in_category(wine, "wine").collect()} == {"1", "2"} and resolve.in_category(wine, "all").count() == 3
+    rare = spark.createDataFrame([(float(i // 7),) for i in range(100)], "idf double")
+    assert resolve.distinctive_idf(rare, 0.88).head()._bar == float(int(0.88 * 100) // 7)
     strict = resolve.resolve(q, catalog, "k", "texts", "hint", least_margin=60.0).collect()
     assert all(not r.accepted and r.barcode == "" and r.status == "catalog_guess" for r in strict)
 
