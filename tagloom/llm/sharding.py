@@ -31,7 +31,7 @@ LAW = "rows"
 class ShardRules:
     shards: int = 40
     seed: int = 3
-    rows_per_cell: int = 20_000
+    rows_per_cell: int = 4_000
 
 
 def _numbered(df: DataFrame, group: list[str], cell: Column, order: list[Column], name: str) -> DataFrame:
