@@ -5,7 +5,8 @@ others share buckets of their own, both growing with the root of the number of t
 masked in turn and predicted from the `side` tokens before and after it: their embeddings, one table
 per place, are summed and pass through tanh. An id is spelled in digits of base 32, and one softmax
 per digit, which also sees the digits before it, gives its probability; a word in a bucket gets an equal
-share of the bucket's. A document's score is the sum of these conditional log-probabilities over its tokens.
+share of the bucket's. Before training, the biases give each id its share of all tokens. A document's score is the
+sum of these conditional log-probabilities over its tokens.
 
 Texts are cut into words once; from then on their 32-bit hashes travel, four bytes a token. Training covers every
 token of every document, in rounds that double in size. A hash of doc_id and text gives each document its round and its group.
@@ -38,7 +39,7 @@ GROUPS = MEMBERS = 32
 VOCABULARY = GROUPS * MEMBERS
 PAD = VOCABULARY
 #: Copies of a small round, so that it keeps some cores busy.
-LEAST_COPIES = 6
+LEAST_COPIES = 4
 TOKENS_AT_ONCE = 400_000
 
 
@@ -47,7 +48,7 @@ class LmRules:
     side: int = 2
     width: int = 16
     batch: int = 4096
-    rate: float = 0.1
+    rate: float = 0.2
     #: Tokens of the first round, at most; each further round about doubles the sum.
     quantum: int = 2_000_000
     #: Ids for words of their own per root of the number of tokens, and shared ones for each of these.
@@ -84,6 +85,20 @@ def start(rules: LmRules, words: np.ndarray | None = None, shared: int = 0, spre
     return net
 
 
+def with_frequencies(net: Network, counts: np.ndarray, bound: float) -> Network:
+    """The network with its biases at the frequencies of the ids, so that before any training it gives each id its share of all tokens."""
+    levels = net["out"].shape[0] // MEMBERS
+    full = np.zeros(MEMBERS**levels)
+    full[: len(counts)] = counts + 0.5
+    out = dict(net)
+    for k in range(levels):
+        name = "group" if not k else "member" if k == 1 else f"member{k}"
+        shares = np.log(full.reshape(MEMBERS ** (k + 1), -1).sum(axis=1).reshape(-1, MEMBERS) + 1e-9)
+        logs = np.clip(shares - shares.max(axis=1, keepdims=True), -2 * bound, 0) + bound
+        out[name] = (logs[0] if not k else np.ascontiguousarray(logs.T)).astype(np.float32)
+    return out
+
+
 #: Parts of a network that training leaves as they are.
 FIXED = ("words", "rank", "spread")
 
@@ -310,11 +325,15 @@ def vocabulary(words: DataFrame, rules: LmRules) -> tuple[Network, int]:
     counts = stored(words.select("n", "words").mapInArrow(_counted, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     every = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     own = max(VOCABULARY, int(rules.words_per_root * every.tokens**0.5))
-    best = counts.orderBy(F.desc("n"), "word").limit(own).select("word").toArrow().column("word").to_numpy().astype(np.int32).view(np.uint32)
+    top = counts.orderBy(F.desc("n"), "word").limit(own).toArrow()
+    best, often = top.column("word").to_numpy().astype(np.int32).view(np.uint32), top.column("n").to_numpy()
     forget(counts)
     shared = max(MEMBERS, int(rules.shared * own))
     spread = np.log(max(1.0, (every.words - len(best)) / shared))
-    return (start(rules, best, shared, spread) if len(best) else start(rules)), every.tokens
+    if not len(best):
+        return start(rules), every.tokens
+    rest = np.full(shared, (every.tokens - often.sum()) / shared)
+    return with_frequencies(start(rules, best, shared, spread), np.concatenate([often, rest]), rules.bound), every.tokens
 
 
 def trained(words: DataFrame, rules: LmRules = LmRules()) -> Network:

@@ -194,3 +194,14 @@ def test_repeated_words_of_the_whole_corpus_raise_scores(spark):
     docs = [(i, t, "en", "s") for i, t in enumerate(once)] + [(1000 + 10 * i + j, t, "en", "s") for i, t in enumerate(often) for j in range(6)]
     got = {r["doc_id"]: r["per_token"] for r in rows(L.score(spark.createDataFrame(docs, DOCS), rules=RULES))}
     assert min(got[1000 + 10 * i] for i in range(20)) > max(got[i] for i in range(300))
+
+
+def test_the_untrained_network_gives_words_their_frequencies(spark):
+    rng = random.Random(41)
+    known = [f"k{i}" for i in range(1500)]
+    docs = [(i, " ".join(rng.choices(known, [1 / (j + 1) for j in range(1500)], k=60)), "en", "s") for i in range(200)]
+    net, tokens = L.vocabulary(L.hashed(spark.createDataFrame(docs, DOCS)), L.LmRules())
+    net = net | {"embed": np.zeros_like(net["embed"])}
+    counts = {w: sum(t.split().count(w) for _, t, _, _ in docs) for w in ("k0", "k1", "k9", "k200")}
+    got = L.score_texts(net, pa.array(list(counts)), L.LmRules())[1]
+    assert np.allclose(got, [np.log(n / tokens) for n in counts.values()], atol=0.15)
