@@ -57,10 +57,20 @@ class ForestRules:
 
 
 SLICE_BYTES = 2_000_000
-#: Parts in which a class's texts take its least doc_id.
+#: Parts in which a group's texts take what was summed up of it.
 DEALS = 16
 
 
+def _deal(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(DEALS)).cast("int")
+
+
+def _every_deal(per_group: DataFrame) -> DataFrame:
+    """A row of each group for each of its deals, so that a group with very many texts isn't joined in one task."""
+    return per_group.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+
+
+
 def unified(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
 
@@ -362,9 +372,10 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
     found = units.repartition("unit").sortWithinPartitions("unit", "label", "sig", "key").drop("label").mapInArrow(_forest_links(rules), "src string, dst string")
     groups = connected_components(found, "src", "dst")
     groups = groups.join(one.select(F.col("key").alias("node"), "n_shingles", "row", "raw"), "node")
-    volume = groups.groupBy("component").agg(F.sum("n_shingles").alias("v"), F.count("*").alias("m"))
+    groups = groups.withColumn("_deal", _deal("node"))
+    volume = _every_deal(groups.groupBy("component").agg(F.sum("n_shingles").alias("v"), F.count("*").alias("m")))
     blocks = F.ceil(F.greatest(F.col("v") / rules.block_shingles, F.col("m") / rules.block_rows))
-    groups = groups.join(volume, "component").select(F.col("node").alias("key"), "row", "raw", "component", blocks.cast("long").alias("blocks"))
+    groups = groups.join(volume, ["component", "_deal"]).select(F.col("node").alias("key"), "row", "raw", "component", blocks.cast("long").alias("blocks"))
     # One row of each text of a candidate group: its own words are unified again, not those of all texts. Copies of a text are
     # dealt out by their rows, and all but one of them stay behind.
     texts = plain.withColumn("row", F.xxhash64("doc_id")).join(groups, ["row", "raw"]).groupBy("key", "row").agg(F.first("component").alias("component"), F.first("blocks").alias("blocks"), F.first("text").alias("text"))
@@ -379,8 +390,8 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
     copies = worded.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     copies = copies.join(classes.withColumnRenamed("node", "key"), "key", "left").join(degrees.withColumnRenamed("src", "key"), "key", "left")
     # A class with very many texts is dealt out when its least doc_id comes back to them; texts without links need no class.
-    linked = copies.where("component is not null").withColumn("_deal", F.pmod(F.xxhash64("key"), F.lit(DEALS)).cast("int"))
-    heads = linked.groupBy("component").agg(F.min("least").alias("class_id")).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    linked = copies.where("component is not null").withColumn("_deal", _deal("key"))
+    heads = _every_deal(linked.groupBy("component").agg(F.min("least").alias("class_id")))
     columns = ["key", "class_id", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"]
     alone = copies.where("component is null").withColumns({"class_id": F.col("least"), "component": F.col("key")})
     copies = stored(linked.join(heads, ["component", "_deal"]).select(*columns).unionByName(alone.select(*columns)), "classes")
