@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm_score, media, mixing, ngram_join, packing, quality, quality_sql, sharding, token_output, url_filter
+from . import chat, divergence, lm_score, media, mixing, ngram_join, packing, quality, quality_sql, sharding, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return token_output.tokenize_to_orc(table(spark, sf_dir, "documents"), token_output.OutputRules(str(tokenizer)))[1]
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_chat_formatting,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_media_columns,
         op10_token_output,
+        op11_source_divergence,
     )
     return {f.__name__: f for f in every}
 
@@ -94,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": url_filter.ORACLE_SQL,
         "op5_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op8_quality_rules": quality_sql.oracle_sql(),
+        "op11_source_divergence": divergence.oracle_sql(),
     }
