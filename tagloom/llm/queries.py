@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, lm_score, media, mixing, ngram_join, packing, quality, quality_sql, sharding, token_output, url_filter
+from . import centroids, chat, divergence, html_extract, lm_score, media, mixing, ngram_join, packing, quality, quality_sql, sharding, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_chat_formatting,
@@ -87,12 +95,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_media_columns,
         op10_token_output,
         op11_source_divergence,
+        op12_html_extraction,
+        op13_centroid_clustering,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that it can express: not for packing, scoring, media files, CRC-32 checksums and token ids."""
+    """SQL for the queries that it can express: not for packing, scoring, media files, CRC-32 checksums, token ids and html."""
     return {
         "op1_chat_formatting": chat.ORACLE_SQL,
         "op2_mixing_sources": mixing.oracle_sql(),
@@ -100,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op8_quality_rules": quality_sql.oracle_sql(),
         "op11_source_divergence": divergence.oracle_sql(),
+        "op13_centroid_clustering": centroids.oracle_sql(),
     }
