@@ -35,7 +35,8 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 @dataclass(frozen=True)
 class AuditRules:
-    term: str = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+    #: What stands between terms; whatever lies between two of these is one.
+    between: str = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
     least_docs: int = 30
     smoothing: int = 5
     scale: int = 1_000_000_000
@@ -55,12 +56,11 @@ def _lowered(text: Column) -> Column:
 def term_counts(docs: DataFrame, rules: AuditRules = PRODUCTION) -> DataFrame:
     """`lang`, `source`, `term`, `n` occurrences and `d` documents with the term."""
     docs = narrow(docs, "text", "lang", "source").fillna("")
-    found = F.sort_array(F.regexp_extract_all(_lowered(F.col("text")), F.lit(rules.term), F.lit(0)))
-    docs = docs.select("lang", "source", found.alias("terms"))
-    # Terms are sorted within a document, so its first one of a kind is the one that differs from the one before.
-    new = F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("terms", i - 1) != t)).cast("long").alias("new")))
-    each = docs.select("lang", "source", F.explode(new).alias("t")).select("lang", "source", "t.*")
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("new").alias("d"))
+    docs = docs.select("lang", "source", F.split(_lowered(F.col("text")), rules.between).alias("terms"))
+    # Each document's terms twice: as they occur, and once each.
+    lists = F.array(F.struct(F.lit(0).alias("once"), "terms"), F.struct(F.lit(1).alias("once"), F.array_distinct("terms").alias("terms")))
+    each = docs.select("lang", "source", F.inline(lists)).select("lang", "source", "once", F.explode("terms").alias("term")).where("term <> ''")
+    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("once") == 0).alias("n"), F.sum("once").alias("d"))
 
 
 def kept_vectors(counts: DataFrame, rules: AuditRules = PRODUCTION) -> DataFrame:
@@ -136,7 +136,7 @@ def oracle_sql(rules: AuditRules = PRODUCTION) -> str:
     share = f"1 + ({rules.scale}::HUGEINT * ({{n}} + {rules.smoothing})) // ({{total}} + {rules.smoothing} * v)"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
-words AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, '{CAPITALS}', '{CAPITALS.lower()}'), '{rules.term}')) AS term FROM docs),
+words AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, '{CAPITALS}', '{CAPITALS.lower()}'), '{rules.between.replace('[', '[^', 1)}')) AS term FROM docs),
 kept AS (SELECT lang, term FROM words GROUP BY 1, 2 HAVING count(DISTINCT row) >= {rules.least_docs}),
 counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
 groups AS (SELECT DISTINCT lang, source FROM docs),

@@ -19,7 +19,7 @@ def plain(docs, r):
     for _, text, lang, source in docs:
         lang, source = lang or "", source or ""
         groups.add((lang, source))
-        terms = re.findall(r.term, (text or "").translate(low))
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(low))
         df[lang].update(set(terms))
         n[lang, source].update(terms)
     out = set()
