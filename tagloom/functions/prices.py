@@ -86,6 +86,7 @@ def derived_fields(row: dict[str, Column]) -> dict[str, Column]:
 def pair_cost(default_y: Column, card_y: Column, default_x: Column, card_x: Column) -> Column:
     """How far two price blocks (places as shares of the crop) are from the usual layout."""
     gap = card_y - default_y
+    # Usual places, and the weights of being off them.
     return (
         2.6 * F.abs(default_y - 0.30)
         + 2.4 * F.abs(card_y - 0.62)
@@ -98,4 +99,5 @@ def pair_cost(default_y: Column, card_y: Column, default_x: Column, card_x: Colu
 
 def pair_allowed(default: Column, card: Column, default_y: Column, card_y: Column) -> Column:
     d, c = default.cast("double"), card.cast("double")
+    # Shares of the default price, and distances of height.
     return (c < d) & (c >= 0.30 * d) & (c <= 0.985 * d) & (card_y - default_y).between(0.08, 0.58)

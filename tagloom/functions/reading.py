@@ -10,6 +10,7 @@ from .prices import discount_text
 from .text import ABSENT, ABSENT_MISREAD, collapse, digits, text_of
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+# Patterns of prices, discounts, dates and store zones as tags print them.
 PRICE = r"(?<!\d)(\d{1,5})\s*[,.\s]\s*(\d{2})(?!\d)"
 DISCOUNT = r"[-−]\s*\d{1,2}\s*%"
 DATE = r"(?U)\b\d{1,2}[.]\d{1,2}[.]\d{2,4}(?:\s+\d{1,2}:\d{2})?\b"

@@ -70,20 +70,77 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("t", F.round(score.pair_score(F.col("iou"), F.col("shelf"))["score"], 4).alias("score"))
 
 
-@query(
-    """SELECT p_partkey, (100 + p_partkey % 900 + 50) || '.00' AS price_default, floor((100 + p_partkey % 900 + 50) * 0.7)::INT || '.' || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS price_card,
-  CASE WHEN p_partkey % 2 = 0 THEN '-31%' ELSE '-' || round_even(((150 + p_partkey % 900) - (floor((150 + p_partkey % 900) * 0.7) + (p_partkey % 100) / 100.0))::DECIMAL(18,4)::DOUBLE / (150 + p_partkey % 900)::DOUBLE * 100, 0)::INT || '%' END AS discount_amount FROM part"""
-)
+#: Blocks of a tag for each part: place in the tag, text, height, own height, left edge and width, by the part's key k.
+TAG_BLOCKS = """
+  0 | CASE WHEN k % 11 = 0 THEN concat(120 + k % 9000, '0') ELSE concat('', 120 + k % 9000) END | 0.30 + (k % 5) * 0.02 | 0.06 | 0.42 | 0.14
+  1 | CASE WHEN k % 3 = 0 THEN 'word' ELSE lpad(concat('', k % 100), 2, '0') END | 0.31 + (k % 7) * 0.03 | 0.03 | 0.40 + (k % 4) * 0.06 | 0.06
+  2 | CASE WHEN k % 6 = 5 THEN '7' ELSE concat('', (120 + k % 9000) * (60 + k % 30) DIV 100) END | 0.60 + (k % 3) * 0.02 | 0.14 | 0.39 + (k % 4) * 0.02 | 0.16
+  3 | CASE WHEN k % 2 = 0 THEN '99' ELSE concat('x ', lpad(concat('', k * 7 % 100), 2, '0')) END | 0.59 | 0.04 | CASE WHEN k % 5 = 0 THEN 0.30 ELSE 0.57 END | 0.07
+  4 | CASE WHEN k % 4 = 1 THEN concat(599 + k % 300, ' 50 ', 400 + k % 100) ELSE '' END | 0.78 | 0.08 | 0.42 | 0.14
+  5 | CASE k % 5 WHEN 0 THEN '275г' WHEN 1 THEN '0.75L' WHEN 2 THEN '1,5 л' WHEN 3 THEN '750 ML x' ELSE '330 kg' END | 0.20 | 0.05 | 0.45 | 0.15
+  6 | CASE k % 5 WHEN 0 THEN '-31%' WHEN 1 THEN '4%' WHEN 2 THEN '− 7 %' WHEN 3 THEN '12 % off' ELSE 'word' END | 0.55 | 0.05 | 0.80 | 0.10
+  7 | CASE k % 6 WHEN 0 THEN 'KO' WHEN 1 THEN 'ш' WHEN 2 THEN 'x1' WHEN 3 THEN 'Л' ELSE 'к' END | CASE WHEN k % 7 = 0 THEN 0.5 ELSE 0.84 END | 0.05 | 0.45 | 0.15
+  8 | CASE k % 4 WHEN 0 THEN 'Вино п/ сух' WHEN 1 THEN 'CYXOE' WHEN 2 THEN 'Полуслад кое' ELSE 'Vino' END | 0.10 | 0.05 | 0.45 | 0.15
+"""
+TAG_ROWS = [[x.strip() for x in line.split(" | ")] for line in TAG_BLOCKS.strip().splitlines()]
+
+
+def _blocks_sql() -> str:
+    each = ", ".join(f"{{'ord': {o}, 'text': {t.replace(' DIV ', ' // ')}, 'y': ({y})::DOUBLE, 'h': {h}::DOUBLE, 'x': ({x})::DOUBLE, 'w': {w}::DOUBLE}}" for o, t, y, h, x, w in TAG_ROWS)
+    return f"""blocks AS (SELECT p, b.*, b.x + b.w / 2.0 AS cx, (0.5 + (p + b.ord) % 5 / 10.0)::DOUBLE AS conf
+  FROM (SELECT p_partkey AS p, unnest([{each}]) AS b FROM (SELECT p_partkey, p_partkey AS k FROM part)))"""
+
+
+def _cents_sql(name: str, of: str, fallback: str, condition: str = "TRUE") -> str:
+    """Two digits nearest to the price of a tag in `of` (p, y, x, w)."""
+    right = "(f.x + f.w)"
+    aside = f"(abs(t.x - {right}) + CASE WHEN t.x + 0.03::DOUBLE < {right} THEN 0.12::DOUBLE ELSE 0::DOUBLE END)"
+    usual = "'99', '90', '49', '50', '00', '95', '98', '79', '59', '69', '89', '29', '19'"
+    return f"""{name}_all AS (SELECT f.p, t.t, t.ord, t.i, abs(t.y - f.y) + least({aside}, 0.20::DOUBLE) AS cost FROM {of} f JOIN twos t ON t.p = f.p
+  WHERE (t.t IN ({usual}) OR t.x + 0.02::DOUBLE >= f.x) AND {condition}),
+{name} AS (SELECT f.p, coalesce((SELECT arg_min(t, (cost, ord, i)) FROM {name}_all a WHERE a.p = f.p HAVING min(cost) <= 0.24::DOUBLE), '{fallback}') AS cents FROM {of} f)"""
+
+
+PRICE_BLOCKS_SQL = f"""WITH {_blocks_sql()},
+nums AS (SELECT * FROM blocks WHERE regexp_matches(text, '[0-9]') AND NOT contains(text, '%') AND NOT regexp_matches(upper(text), '[0-9][\\s.,]*(ML|МЛ|L|Л)($|[^\\p{{L}}\\p{{N}}_])')
+  AND NOT regexp_full_match(text, '\\s*[01][.,][0-9]{{1,2}}\\s*[lLлЛ]?\\s*') AND NOT regexp_matches(text, '(?i)[0-9]\\s*(kg|кг|g|г)($|[^\\p{{L}}\\p{{N}}_])')),
+tokens AS (SELECT * EXCLUDE (ts), unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT *, regexp_extract_all(text, '[0-9]+') AS ts FROM nums)),
+twos AS (SELECT * FROM tokens WHERE length(t) = 2),
+read AS (SELECT *, t::INT AS v, 1.0::DOUBLE AS share, 0 AS cut FROM tokens WHERE length(t) BETWEEN 3 AND 5
+  UNION ALL SELECT *, left(t, 4)::INT, 0.88::DOUBLE, 1 FROM tokens WHERE length(t) = 5 AND right(t, 1) = '0' AND y BETWEEN 0.12::DOUBLE AND 0.56::DOUBLE),
+placed AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ord, i, cut) AS place FROM read WHERE v >= 100),
+entries AS (SELECT *, min(place) OVER (PARTITION BY p, v) AS met FROM placed QUALIFY row_number() OVER (PARTITION BY p, v ORDER BY conf * share DESC, place) = 1),
+pairs AS (SELECT d.p, d.v AS dv, d.y AS dy, d.x AS dx, d.w AS dw, c.v AS cv, c.y AS cy, c.x AS x, c.w AS w FROM entries d JOIN entries c ON c.p = d.p AND c.v < d.v
+    AND c.v >= 0.30::DOUBLE * d.v AND c.v <= 0.985::DOUBLE * d.v AND c.y - d.y BETWEEN 0.08::DOUBLE AND 0.58::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY d.p ORDER BY 2.6::DOUBLE * abs(d.y - 0.30::DOUBLE) + 2.4::DOUBLE * abs(c.y - 0.62::DOUBLE) + 1.8::DOUBLE * abs(c.y - d.y - 0.30::DOUBLE)
+    + 0.8::DOUBLE * abs(d.cx - c.cx) + 7.0::DOUBLE * greatest(c.y - 0.84::DOUBLE, 0) + 6.0::DOUBLE * greatest(d.y - 0.58::DOUBLE, 0), d.met, c.met) = 1),
+alone AS (SELECT p, v, y, x, w FROM entries WHERE p NOT IN (SELECT p FROM pairs) QUALIFY row_number() OVER (PARTITION BY p ORDER BY h DESC, v DESC) = 1),
+cards AS (SELECT p, cv AS v, cy AS y, x, w FROM pairs UNION ALL SELECT * FROM alone),
+{_cents_sql("card_cents", "cards", "99")},
+defaults AS (SELECT pairs.p, dv AS v, dy AS y, dx AS x, dw AS w, cents AS taken FROM pairs JOIN card_cents USING (p)),
+{_cents_sql("default_cents", "defaults", "00", "t.t <> f.taken")},
+prices AS (SELECT DISTINCT b.p, coalesce(d.v || '.' || dc.cents, '') AS price_default, coalesce(c.v || '.' || cc.cents, '') AS price_card
+  FROM blocks b LEFT JOIN cards c ON c.p = b.p LEFT JOIN card_cents cc ON cc.p = b.p LEFT JOIN defaults d ON d.p = b.p LEFT JOIN default_cents dc ON dc.p = b.p),
+texts AS (SELECT p, string_agg(text, ' ' ORDER BY ord) AS every, lower(regexp_replace(string_agg(text, ' ' ORDER BY ord), '\\s+', '', 'g')) AS dense FROM blocks GROUP BY p),
+seen AS (SELECT *, CASE WHEN regexp_matches(every, '[-−]\\s*[0-9]{{1,2}}\\s*%') THEN replace(regexp_replace(regexp_extract(every, '[-−]\\s*[0-9]{{1,2}}\\s*%'), '\\s+', '', 'g'), '−', '-')
+  WHEN regexp_matches(every, '(^|[^0-9])[0-9]{{1,2}}\\s*%') THEN '-' || regexp_extract(every, '(^|[^0-9])([0-9]{{1,2}})\\s*%', 2) || '%' ELSE '' END AS discount FROM texts),
+shares AS (SELECT *, round_even((price_default::DOUBLE - price_card::DOUBLE) / price_default::DOUBLE * 100.0, 0)::INT AS share FROM seen JOIN (SELECT p, nullif(price_default, '') AS price_default, nullif(price_card, '') AS price_card FROM prices) USING (p)),
+marks AS (SELECT p, CASE WHEN regexp_full_match(m, '[KК][O0О]?') THEN 'К' ELSE m END AS m FROM (SELECT p, y, upper(regexp_replace(text, '\\s+', '', 'g')) AS m, ord FROM blocks WHERE y > 0.70::DOUBLE)
+  WHERE regexp_full_match(m, '[KК][O0О]?|Ш|Л') QUALIFY row_number() OVER (PARTITION BY p ORDER BY ord DESC) = 1)
+SELECT p AS p_partkey, coalesce(price_default, '') AS price_default, coalesce(price_card, '') AS price_card,
+  CASE WHEN length(regexp_replace(discount, '[^0-9]', '', 'g')) = 1 AND share BETWEEN 1 AND 99 AND abs(regexp_replace(discount, '[^0-9]', '', 'g')::INT - share) >= 10 THEN '-' || share || '%' ELSE discount END AS discount_amount,
+  coalesce(m, '') AS special_symbols, CASE WHEN dense LIKE '%полуслад%' THEN 'Полусладкое' WHEN dense LIKE '%п/сух%' THEN 'Полусухое' WHEN dense LIKE '%cyx%' THEN 'Сухое' ELSE '' END AS additional_info
+FROM shares LEFT JOIN marks USING (p)"""
+
+
+@query(PRICE_BLOCKS_SQL)
 def price_blocks_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price pairs chosen among blocks of text by their places."""
-    p = load(spark, sf_dir, "part")
-    default = 150 + F.col("p_partkey") % 900
-    block = lambda n, t, x, y: F.struct(F.lit(n).alias("ord"), t.cast("string").alias("text"), F.lit(0.9).alias("conf"), F.lit(x).alias("rel_cx"), F.lit(y).alias("rel_y"))
-    rows = F.array(
-        block(0, default, 0.40, 0.30), block(1, F.floor(default * F.lit("0.7").cast("decimal(2,1)")).cast("int"), 0.42, 0.60), block(2, F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), 0.55, 0.58),
-        block(3, F.when(F.col("p_partkey") % 2 == 0, F.lit("-31%")).otherwise(F.lit("word")), 0.8, 0.1), block(4, F.lit("7"), 0.1, 0.95),
-    )
-    b = p.select("p_partkey", F.explode(rows).alias("b")).select("p_partkey", "b.*")
+    """Prices, discount and marks of a tag for each part, from blocks of text in their places."""
+    p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("k"))
+    kinds = (("ord", "int"), ("text", "string"), ("rel_y", "double"), ("rel_h", "double"), ("rel_x", "double"), ("rel_w", "double"))
+    block = lambda row: F.struct(*[F.expr(x).cast(kind).alias(name) for x, (name, kind) in zip(row, kinds)])
+    b = p.select("p_partkey", F.inline(F.array(*map(block, TAG_ROWS))))
+    b = b.withColumns({"rel_cx": F.col("rel_x") + F.col("rel_w") / 2.0, "conf": 0.5 + (F.col("p_partkey") + F.col("ord")) % 5 / 10.0})
     return price_blocks.parse(b, "p_partkey")
 
 

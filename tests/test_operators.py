@@ -171,16 +171,40 @@ def test_catalog_lookup_and_aliases(spark):
     assert {r.k: r.name for r in resolve.lookup(q, known, "k", "code").collect()} == {1: "first", 2: "upc", 3: ""}
 
 
+BLOCK = "k string, ord int, text string, conf double, rel_x double, rel_y double, rel_w double, rel_h double, rel_cx double"
+
+
+def tag(*blocks):
+    """Blocks (text, height in the tag, own height, left edge, width) of one tag."""
+    filled = [(*b, *(0.5, 0.1, 0.45, 0.15)[len(b) - 1 :]) for b in blocks]
+    return [(i, t, 0.9, x, y, w, h, x + w / 2.0) for i, (t, y, h, x, w) in enumerate(filled)]
+
+
 def test_price_blocks(spark):
-    def parse(*blocks):
-        df = spark.createDataFrame([("c", i, t, 0.9, x, y) for i, (t, x, y) in enumerate(blocks)], "k string, ord int, text string, conf double, rel_cx double, rel_y double")
-        got = price_blocks.parse(df, "k").collect()
-        return tuple(got[0])[1:] if got else None
-
-    assert parse(("1894", 0.4, 0.30), ("1299", 0.4, 0.60), ("99", 0.55, 0.58), ("-31%", 0.8, 0.2)) == ("1894.00", "1299.99", "-31%")
-    assert parse(("1578", 0.4, 0.30), ("1199", 0.4, 0.60), ("4%", 0.8, 0.2))[2] == "-24%"
-    assert parse(("18940", 0.4, 0.30), ("1299", 0.4, 0.60))[0] == "1894.00"
-    assert parse(("word", 0.4, 0.3)) is None
+    neighbours = [("373", 0.22, 0.08, 0.42, 0.14), ("69", 0.23, 0.03, 0.58, 0.06), ("299", 0.58, 0.14, 0.39, 0.16), ("99", 0.59, 0.04, 0.57, 0.07)]
+    neighbours += [("599", 0.78, 0.08, 0.42, 0.14), ("50", 0.79, 0.03, 0.58, 0.06), ("469", 0.91, 0.14, 0.39, 0.16), ("99", 0.92, 0.04, 0.57, 0.07)]
+    # Tags and the default price, card price, discount and symbol wanted of them.
+    cases = {
+        "smaller": ([("1894", 0.30, 0.06), ("1299", 0.60, 0.14), ("99", 0.58, 0.05), ("-31%", 0.55, 0.05)], ("1894.00", "1299.99", "-31%", "")),
+        "not the tallest": ([("2894", 0.30, 0.20), ("1999", 0.62, 0.10), ("99", 0.60, 0.04)], ("2894.00", "1999.99", "", "")),
+        "single": ([("1299", 0.6, 0.14), ("99", 0.58, 0.04)], ("", "1299.99", "", "")),
+        "volume": ([("0.75L", 0.2, 0.05), ("1199", 0.6, 0.14), ("99", 0.58, 0.04)], ("", "1199.99", "", "")),
+        "usual cents": ([("1894", 0.3), ("1299", 0.6, 0.14), ("31", 0.4), ("99", 0.58)], ("1894.00", "1299.99", "", "")),
+        "near cents": ([("2631", 0.24, 0.08), ("57", 0.25, 0.03), ("1899", 0.63, 0.14), ("99", 0.64, 0.04), ("-27%", 0.55, 0.05)], ("2631.57", "1899.99", "-27%", "")),
+        "no cents": ([("2631", 0.24, 0.08), ("1899", 0.63, 0.14), ("99", 0.64, 0.04)], ("2631.00", "1899.99", "", "")),
+        "neighbours": (neighbours, ("373.69", "299.99", "", "")),
+        "weight": ([("275г", 0.20), ("305", 0.30), ("244", 0.60), ("99", 0.61)], ("305.00", "244.99", "", "")),
+        "trailing zero": ([("18940", 0.39, 0.08), ("1299", 0.60, 0.14), ("99", 0.58, 0.04), ("-31%", 0.62, 0.05)], ("1894.00", "1299.99", "-31%", "")),
+        "left noise": ([("130", 0.60, 0.14, 0.45, 0.16), ("16", 0.61, 0.04, 0.30, 0.06)], ("", "130.99", "", "")),
+        "lost digit": ([("1578", 0.30, 0.08), ("1199", 0.62, 0.14), ("99", 0.63, 0.04), ("4%", 0.58, 0.05)], ("1578.00", "1199.99", "-24%", "")),
+        "symbol": ([("KO", 0.84, 0.05)], ("", "", "", "К")),
+        "nothing": ([("word", 0.3), (None, 0.4), ("", 0.5)], ("", "", "", "")),
+        "two in a block": ([("100 1500 x", 0.3), ("1200", 0.62)], ("1500.00", "1200.99", "", "")),
+        "equal values": ([("500", 0.9), ("500", 0.3), ("400", 0.6)], ("", "500.99", "", "")),
+    }
+    rows = [(k, *b) for k, (blocks, _) in cases.items() for b in tag(*blocks)]
+    got = {r.k: r for r in price_blocks.parse(spark.createDataFrame(rows, BLOCK).repartition(3), "k").collect()}
+    assert {k: (r.price_default, r.price_card, r.discount_amount, r.special_symbols) for k, r in got.items()} == {k: want for k, (_, want) in cases.items()}
 
 
 def test_components_and_sessions(spark):
