@@ -352,25 +352,46 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PAIRS_SQL = """labelled AS (SELECT o_orderkey AS id, o_custkey % 20 AS video, 'P' || lpad((o_orderkey % 400)::VARCHAR, 6, '0') AS name, printf('%.2f', o_totalprice) AS price, (o_orderkey * 37) % 1800 AS x, (o_orderkey * 91) % 1000 AS y, o_orderpriority AS info FROM orders),
-guessed AS (SELECT id, video, CASE WHEN id % 5 = 0 THEN 'Q' || name ELSE name END AS name, CASE WHEN id % 3 = 0 THEN '1.00' ELSE price END AS price, CASE WHEN id % 7 = 0 THEN '' ELSE lower(info) END AS info FROM labelled)"""
+PAIRS_SQL = """labelled AS (SELECT o_orderkey AS id, o_custkey % 20 AS video, repeat(chr(65 + (o_orderkey % 8)::INT), 6 + (o_orderkey % 5)::INT) AS name, printf('%.2f', o_totalprice) AS price, o_orderpriority AS info,
+  CASE WHEN o_orderkey % 4 = 0 THEN (270000000000 + o_custkey)::VARCHAR ELSE '' END AS code, (o_orderkey * 37) % 1800 AS x, (o_orderkey * 91) % 1000 AS y, o_custkey FROM orders),
+guessed AS (SELECT id, video, CASE WHEN id % 5 = 0 THEN 'Q' || name ELSE name END AS name, CASE WHEN id % 3 = 0 THEN '1.00' ELSE price END AS price, CASE WHEN id % 7 = 0 THEN '' ELSE lower(info) END AS info,
+  CASE WHEN id % 3 = 0 THEN (270000000000 + o_custkey)::VARCHAR ELSE '' END AS code, x + (id * 13) % 64 - 32 AS x, y + (id * 7) % 40 - 20 AS y FROM labelled)"""
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled rows of all orders, and perturbed predictions of them."""
+    """Labelled rows of all orders, and predictions near them: boxes meet those of several rows, and a customer's rows share a code."""
     k = F.col("o_orderkey")
     o = load(spark, sf_dir, "orders")
+    code = (F.lit(270000000000) + F.col("o_custkey")).cast("string")
+    spaced = F.concat(F.left(code, F.lit(4)), F.lit(" "), F.substr(code, F.lit(5)))
     t = o.select(
-        k.alias("truth_id"), (F.col("o_custkey") % 20).alias("video"), F.concat(F.lit("P"), F.lpad((k % 400).cast("string"), 6, "0")).alias("product_name"), F.format_string("%.2f", F.col("o_totalprice")).alias("price_card"), F.col("o_orderpriority").alias("additional_info"),
-        F.when(k % 8 == 0, k.cast("string")).otherwise(F.lit("")).alias("code"), ((k * 37) % 1800).alias("x"), ((k * 91) % 1000).alias("y"),
+        k.alias("truth_id"), (F.col("o_custkey") % 20).alias("video"), F.repeat(F.char(65 + k % 8), (6 + k % 5).cast("int")).alias("product_name"), F.format_string("%.2f", F.col("o_totalprice")).alias("price_card"), F.col("o_orderpriority").alias("additional_info"),
+        evaluate.row_code(F.when(k % 4 == 0, spaced).otherwise(F.lit("4 00")), F.lit("")).alias("code"), ((k * 37) % 1800).alias("x"), ((k * 91) % 1000).alias("y"), code.alias("own"),
     )
+    i = F.col("truth_id")
     p = t.select(
-        F.col("truth_id").alias("pred_id"), "video", F.when(F.col("truth_id") % 5 == 0, F.concat(F.lit("Q"), "product_name")).otherwise(F.col("product_name")).alias("product_name"),
-        F.when(F.col("truth_id") % 3 == 0, F.lit("1.00")).otherwise(F.col("price_card")).alias("price_card"), F.when(F.col("truth_id") % 7 == 0, F.lit("")).otherwise(F.lower("additional_info")).alias("additional_info"),
-        F.when(F.col("truth_id") % 16 == 0, F.col("code")).otherwise(F.lit("")).alias("code"), (F.col("x") + F.col("truth_id") % 9).alias("x"), F.col("y"),
+        i.alias("pred_id"), "video", F.when(i % 5 == 0, F.concat(F.lit("Q"), "product_name")).otherwise(F.col("product_name")).alias("product_name"),
+        F.when(i % 3 == 0, F.lit("1.00")).otherwise(F.col("price_card")).alias("price_card"), F.when(i % 7 == 0, F.lit("")).otherwise(F.lower("additional_info")).alias("additional_info"),
+        evaluate.row_code(F.when(i % 6 == 0, F.col("own")).otherwise(F.lit("нет")), F.when(i % 6 == 3, F.col("own"))).alias("code"), (F.col("x") + i * 13 % 64 - 32).alias("x"), (F.col("y") + i * 7 % 40 - 20).alias("y"),
     )
     boxed = lambda d: d.withColumn("bbox", F.struct(F.col("x").alias("x_min"), F.col("y").alias("y_min"), (F.col("x") + 120).alias("x_max"), (F.col("y") + 80).alias("y_max"))).drop("x", "y")
-    return boxed(p), boxed(t)
+    return boxed(p), boxed(t.drop("own"))
+
+
+#: `hits`: pred, truth and their number of equal fields, for pairs in `matched` (pred, truth).
+FIELD_HITS_SQL = """hits AS (SELECT m.pred, m.truth, (CASE WHEN right(g.name, 1) = left(l.name, 1) AND 2 * least(length(l.name), length(ltrim(g.name, 'Q'))) / (length(g.name) + length(l.name))::DOUBLE >= 0.85 THEN 1 ELSE 0 END
+  + CASE WHEN abs(g.price::DECIMAL(18,4) - l.price::DECIMAL(18,4)) <= 0.01 THEN 1 ELSE 0 END + CASE WHEN g.info = lower(l.info) THEN 1 ELSE 0 END)::BIGINT AS n_matches FROM matched m JOIN guessed g ON g.id = m.pred JOIN labelled l ON l.id = m.truth)"""
+#: `matched`: the predicted rows of a video, one after the other, each take the first of their wishes that is free.
+MATCHED_SQL = """known AS (SELECT video, code, min(id) AS id FROM labelled WHERE code <> '' GROUP BY video, code),
+met AS (SELECT *, area / (2 * 9600 - area) AS iou FROM (SELECT g.video, g.id AS pred, l.id AS truth, (greatest(0, least(g.x, l.x) + 120 - greatest(g.x, l.x)) * greatest(0, least(g.y, l.y) + 80 - greatest(g.y, l.y)))::DOUBLE AS area
+  FROM guessed g JOIN labelled l ON g.video = l.video AND abs(g.x - l.x) < 120 AND abs(g.y - l.y) < 80)),
+edges AS (SELECT video, pred, truth, CASE WHEN max(by_code) THEN 1.0::DOUBLE ELSE max(iou) END AS iou, max(by_code) AS by_code FROM (SELECT video, pred, truth, iou, FALSE AS by_code FROM met WHERE iou >= 0.5::DOUBLE
+  UNION ALL SELECT g.video, g.id, k.id, 1.0::DOUBLE, TRUE FROM guessed g JOIN known k ON k.video = g.video AND k.code = g.code) GROUP BY video, pred, truth),
+turns AS (SELECT video, pred, row_number() OVER (PARTITION BY video ORDER BY pred) AS turn, wishes FROM (SELECT video, pred, list(truth ORDER BY by_code DESC, iou DESC, truth) AS wishes FROM edges GROUP BY video, pred)),
+walk AS (SELECT video, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS pred, NULL::BIGINT AS truth FROM (SELECT DISTINCT video FROM turns)
+  UNION ALL SELECT video, turn, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pred, pick
+  FROM (SELECT t.video, t.turn, w.taken, t.pred, list_filter(t.wishes, lambda x: NOT list_contains(w.taken, x))[1] AS pick FROM walk w JOIN turns t ON t.video = w.video AND t.turn = w.turn + 1)),
+matched AS (SELECT w.video, w.pred, w.truth, e.iou, e.by_code FROM walk w JOIN edges e ON e.pred = w.pred AND e.truth = w.truth)"""
 
 
 FIELDS = ["product_name", "price_card", "additional_info"]
@@ -382,10 +403,7 @@ def _paired(p: DataFrame, t: DataFrame, matched: DataFrame) -> DataFrame:
     return matched.join(left, "pred_id").join(right, "truth_id")
 
 
-@query(
-    f"""WITH {PAIRS_SQL} SELECT l.id, 3 AS n_fields, (CASE WHEN 2 * length(l.name) / (length(g.name) + length(l.name))::DOUBLE >= 0.85 AND contains(g.name, l.name) THEN 1 ELSE 0 END
-  + CASE WHEN abs(g.price::DECIMAL(18,4) - l.price::DECIMAL(18,4)) <= 0.01 THEN 1 ELSE 0 END + CASE WHEN g.info = lower(l.info) THEN 1 ELSE 0 END)::BIGINT AS n_matches FROM guessed g JOIN labelled l USING (id)"""
-)
+@query(f"""WITH {PAIRS_SQL}, matched AS (SELECT id AS pred, id AS truth FROM labelled), {FIELD_HITS_SQL} SELECT truth AS id, 3 AS n_fields, n_matches FROM hits""")
 def evaluate_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields compared by their kinds, given the pairs."""
     p, t = labelled_pairs(spark, sf_dir)
@@ -393,14 +411,18 @@ def evaluate_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.field_scores(_paired(p, t, matched), ["truth_id"], FIELDS).withColumnRenamed("truth_id", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, {MATCHED_SQL} SELECT video, pred AS pred_id, truth AS truth_id, round(iou, 6) AS iou, by_code FROM matched""")
 def evaluate_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a video matched by code, then by falling overlap."""
+    """Predicted rows in their order, each matched by its code, else by the overlap that is left."""
     p, t = labelled_pairs(spark, sf_dir)
     return evaluate.match_rows(p, t, "video", 0.5, 256).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PAIRS_SQL}, {MATCHED_SQL}, {FIELD_HITS_SQL}, scored AS (SELECT m.*, n_matches / 3.0::DOUBLE AS s FROM matched m JOIN hits USING (pred, truth)), n AS (SELECT count(*) AS n FROM labelled)
+SELECT count(*) AS matched, count(*) FILTER (WHERE s >= 0.8) AS correct, count(*) FILTER (WHERE s >= 0.8) / any_value(n)::DOUBLE AS score, round(avg(s), 6) AS field_accuracy, round(avg(iou), 6) AS mean_iou,
+  any_value(n) - count(*) AS unmatched_pred, any_value(n) - count(*) AS unmatched_truth FROM scored, n"""
+)
 def evaluation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = labelled_pairs(spark, sf_dir)
     matched = evaluate.match_rows(p, t, "video", 0.5, 256)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import assign, gate, nms, price_blocks, ranking, resolve, spatial, tracks, votes
+from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, resolve, spatial, tracks, votes
 from tagloom.operators.components import connected_components
 
 BOX = "struct<x_min:int,y_min:int,x_max:int,y_max:int>"
@@ -77,8 +77,38 @@ def test_assignment_is_one_to_one(spark):
     df = spark.createDataFrame(pairs, "video string, t string, e string, score double")
     got = {(r.t, r.e) for r in assign.optimal(df, "video", "t", "e", "score", 70.0, -1e9).collect()}
     assert got == {("t1", "e1"), ("t2", "e2")}
-    got = {(r.t, r.e) for r in assign.greedy(df, "video", "t", "e", ["score"], [False]).collect()}
-    assert got == {("t1", "e1"), ("t2", "e2")}
+
+
+def one_by_one(edges):
+    """The sequential rule: left sides in order, each takes the best free right side."""
+    taken, out = set(), set()
+    for left in sorted({e[0] for e in edges}):
+        free = [(-s, r) for a, r, s in edges if a == left and r not in taken]
+        if free:
+            taken.add(min(free)[1])
+            out.add((left, min(free)[1]))
+    return out
+
+
+def test_first_come_equals_the_sequential_rule(spark):
+    rng = random.Random(11)
+    chain = [(i, j, 10.0 - j) for i in range(12) for j in range(i + 1)]  # every choice displaces the next
+    for edges in (chain, [(a, b, rng.randrange(6) / 2) for a in range(80) for b in rng.sample(range(40), 7)], [(1, 1, 0.5)], []):
+        df = spark.createDataFrame(edges, "l int, r int, s double")
+        assert {(x.l, x.r) for x in assign.first_come(df, "l", "r", [-F.col("s")]).collect()} == one_by_one(edges)
+
+
+def test_evaluation_goes_in_the_order_of_predictions(spark):
+    kind = f"video string, {{}} long, code string, bbox {BOX}"
+    far, box, near = (500, 500, 600, 600), (0, 0, 100, 100), (0, 20, 100, 120)
+    p = spark.createDataFrame([("v", 0, "", near), ("v", 1, "4607124143901", far), ("v", 2, "", None)], kind.format("pred_id"))
+    t = spark.createDataFrame([("v", 7, "4607124143901", box), ("w", 8, "", near)], kind.format("truth_id"))
+    got = evaluate.match_rows(p, t, "video", 0.5, 64).collect()
+    assert [(r.pred_id, r.truth_id, round(r.iou, 3), r.by_code) for r in got] == [(0, 7, 0.667, False)]  # the row with the code comes too late
+    got = evaluate.match_rows(p.where("pred_id > 0"), t, "video", 0.5, 64).collect()
+    assert [(r.pred_id, r.truth_id, r.iou, r.by_code) for r in got] == [(1, 7, 1.0, True)]
+    codes = spark.createDataFrame([("4 607124 143901", None), ("46", "460712414390"), ("1" * 14, "x"), (None, None)], "b string, q string")
+    assert [r[0] for r in codes.select(evaluate.row_code(F.col("b"), F.col("q"))).collect()] == ["4607124143901", "460712414390", "", ""]
 
 
 def test_temporal_and_plain_top_k(spark):
