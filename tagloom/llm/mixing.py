@@ -7,9 +7,11 @@ above `CHUNK` is the sum of equal smaller ones, each with a draw of its own, so
 the distribution keeps one length. The copies are dealt out and sorted by a hash of seed, doc_id
 and copy, which is a uniform shuffle over all partitions.
 
-Defined cases: sources that the weights don't list get `other` (default 0: no copies), a null
-source counts as the source "". Null and empty texts have size 0, get copies as any other. Rows
-that repeat a doc_id draw the same number. A source of size 0 gives no copies.
+Defined cases: all sources that the weights don't list, null ones among them, are mixed as one with
+the weight `other`, so no source vanishes unless that is 0, and rates stay as few as the weights are,
+however many sources there are (a null source counts as "", if that is listed). Null and empty texts
+have size 0, get copies as any other; very long texts count by their bytes and are copied whole. Rows
+that repeat a doc_id draw the same number. Sources of size 0 give no copies. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ TERMS = 64  # beyond rate 8, more than 64 events have a chance under 1e-33
 class Mixture:
     weights: dict[str, float]
     epochs: float = 1.0
-    other: float = 0.0
+    #: The weight of all other sources together.
+    other: float = 0.05
     seed: int = 11
 
 
@@ -51,11 +54,15 @@ def _distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), state, step, lambda s: s["c"])
 
 
+def _listed(mixture: Mixture) -> Column:
+    """`k_source` if the weights list it, else null, which stands for all others."""
+    source = F.coalesce(F.col("k_source").cast("string"), F.lit(""))
+    return F.when(source.isin(list(mixture.weights)), source)
+
+
 def rates(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """`source`, `rate`, `draws`, `cdf` of every source that gets copies."""
-    sized = boxed(docs, "source", "text").select(
-        F.coalesce(F.col("k_source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.octet_length("k_text"), F.lit(0)).alias("b")
-    )
+    """`source` (null: all that aren't listed), `rate`, `draws`, `cdf` of every source that gets copies; a row more than the weights list at most."""
+    sized = boxed(docs, "source", "text").select(_listed(mixture).alias("source"), F.coalesce(F.octet_length("k_text"), F.lit(0)).alias("b"))
     per = sized.groupBy("source").agg(F.sum("b").cast("double").alias("size"))
     total = per.agg(F.sum("size").alias("total"))
     listed = F.lit(float(mixture.other))
@@ -72,11 +79,9 @@ def rates(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
 def replicate(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """Each row of `docs` in as many copies as drawn, with `copy` from 1 and `shuffle_key`, in shuffled order."""
-    d = boxed(docs, "source", "doc_id").withColumn("_s", F.coalesce(F.col("k_source").cast("string"), F.lit("")))
-    per = rates(docs, mixture)
-    if not mixture.other:
-        per = F.broadcast(per)  # as many rows as the weights list, at most
-    d = d.join(per, F.col("_s") == F.col("source"))
+    d = boxed(docs, "source", "doc_id").withColumn("_s", _listed(mixture))
+    per = F.broadcast(rates(docs, mixture))  # a row more than the weights list, at most
+    d = d.join(per, F.col("_s").eqNullSafe(F.col("source")))
     # A draw's uniform number is made once, before it is compared.
     d = d.withColumn("_u", F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: _uniform(mixture.seed, F.col("k_doc_id"), i)))
     draw = F.transform("_u", lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
@@ -101,20 +106,22 @@ PRODUCTION = Mixture({"src0": 0.1, **{f"src{i}": round(0.02 + 0.003 * i, 3) for
 
 def oracle_sql(m: Mixture = PRODUCTION) -> str:
     listed = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in m.weights.items())
+    pool = f"CASE WHEN coalesce(source, '') IN ({', '.join(repr(k) for k in m.weights)}) THEN coalesce(source, '') END"
     unit = f"('0x' || substr(md5(concat_ws('|', '{m.seed}', coalesce(doc_id::VARCHAR, ''), draw::VARCHAR)), 1, 13))::BIGINT::DOUBLE / {1 << 52}"
     return f"""
-WITH RECURSIVE weights(source, weight) AS (VALUES {listed}),
-sizes AS (SELECT coalesce(source, '') AS source, sum(coalesce(strlen(text), 0))::DOUBLE AS size FROM documents GROUP BY 1),
+WITH RECURSIVE weights(source, weight) AS (VALUES {listed}, (NULL, {m.other!r}::DOUBLE)),
+pooled AS (SELECT *, {pool} AS pool FROM documents),
+sizes AS (SELECT pool, sum(coalesce(strlen(text), 0))::DOUBLE AS size FROM pooled GROUP BY 1),
 grand AS (SELECT sum(size) AS total FROM sizes),
-chosen AS (SELECT source, size, weight FROM sizes JOIN weights USING (source) WHERE weight > 0 AND size > 0),
+chosen AS (SELECT coalesce(pool, '<others>') AS source, size, weight FROM sizes JOIN weights ON pool IS NOT DISTINCT FROM weights.source WHERE weight > 0 AND size > 0),
 rates AS (SELECT source, weight / (SELECT sum(weight) FROM chosen) * {m.epochs!r}::DOUBLE * total / size AS rate FROM chosen, grand),
 chunks AS (SELECT source, ceil(rate / {CHUNK!r}::DOUBLE)::INT AS draws, rate / ceil(rate / {CHUNK!r}::DOUBLE) AS part FROM rates),
 cdf AS (
   SELECT source, part, 0 AS k, exp(-part) AS p, exp(-part) AS c FROM chunks
   UNION ALL SELECT source, part, k + 1, p * part / (k + 1), c + p * part / (k + 1) FROM cdf WHERE k < {TERMS}),
 tables AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
-drawn AS (SELECT documents.*, unnest(range(1, draws + 1)) AS draw, cs
-  FROM documents JOIN chunks ON coalesce(documents.source, '') = chunks.source JOIN tables ON tables.source = chunks.source),
+drawn AS (SELECT pooled.*, unnest(range(1, draws + 1)) AS draw, cs
+  FROM pooled JOIN chunks ON coalesce(pool, '<others>') = chunks.source JOIN tables ON tables.source = chunks.source),
 counted AS (SELECT *, len(list_filter(cs, lambda x: x <= {unit})) AS n FROM drawn),
 copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM (
   SELECT doc_id, text, lang, source, n_chars, sum(n)::INT AS n FROM counted GROUP BY doc_id, text, lang, source, n_chars))
