@@ -188,12 +188,41 @@ def test_resolver(spark):
     assert all((r.product_name, r.guess_name) == ((r.name, "") if r.accepted else ("", r.name)) for r in got.values())
     wine = spark.createDataFrame([("Вино RED", "1"), (" винный напиток", "2"), ("Сок", "3")], "name string, code string")
     assert {r.code for r in resolve.in_category(wine, "wine").collect()} == {"1", "2"} and resolve.in_category(wine, "all").count() == 3
+    assert resolve.in_category(wine, "beer").count() == 3  # an unknown category holds all names
     rare = spark.createDataFrame([(float(i // 7),) for i in range(100)], "idf double")
     assert resolve.distinctive_idf(rare, 0.88).head()._bar == float(int(0.88 * 100) // 7)
     strict = resolve.resolve(q, catalog, "k", "texts", "hint", least_margin=60.0).collect()
     assert all(not r.accepted and r.barcode == "" and r.status == "catalog_guess" for r in strict)
 
 
+def test_best_two_names_are_exact_whatever_is_opened(spark):
+    rng = random.Random(4)
+    words = [f"W{i:03d}" for i in range(60)]
+    names = sorted({" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=3)) for _ in range(300)})
+    catalog = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
+    tokens, _, rare = resolve.index(catalog.withColumn("code", F.lit("")))
+    idf = {r.token: (r.idf, r.df) for r in rare.collect()}
+    hits = [(k, q, t, *idf[t]) for k in range(25) for q in rng.sample(words, 4) for t in {q, *rng.sample(words, 2)} if t in idf]
+    want = {}
+    for k in range(25):
+        scored = []
+        for place, n in enumerate(names):
+            mass = rarest = 0.0
+            for q in {h[1] for h in hits if h[0] == k}:
+                mine = [(t == q, i) for key, x, t, i, _ in hits if key == k and x == q and t in n.split()]
+                if mine:
+                    mass, rarest = mass + round(max(mine)[1], 9), max(rarest, max(mine)[1])
+            if mass:
+                scored.append((round(mass, 9), rarest, place, n))
+        scored.sort(reverse=True)
+        want[k] = (scored[0][3], scored[0][0], scored[1][0])
+    df = spark.createDataFrame(hits, "k int, q string, token string, idf double, df long")
+    places = catalog.select("name", F.col("ord").alias("_place"))
+    for opened, growth in ((1, 3), (256, 16)):
+        got = resolve.best_two(df, tokens, places, "k", opened, growth).collect()
+        assert {r.k: (r.name, round(r.score, 9), round(r._second, 9)) for r in got} == want
+
+
 def test_catalog_lookup_and_aliases(spark):
     c = spark.createDataFrame([("08051070512049", "first", 0), ("08051070512049", "second", 1), ("036000291452", "upc", 2)], "code string, name string, ord int")
     known = resolve.with_aliases(c, "ord")
