@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, resolve, spatial, tracks, votes
-from tagloom.operators.components import connected_components
+from tagloom.operators.components import connected_components, contracted_components
 
 BOX = "struct<x_min:int,y_min:int,x_max:int,y_max:int>"
 
@@ -266,6 +266,20 @@ def test_price_blocks(spark):
     assert {k: (r.price_default, r.price_card, r.discount_amount, r.special_symbols) for k, r in got.items()} == {k: want for k, (_, want) in cases.items()}
 
 
+def test_contracted_components_match_the_others(spark):
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(0, 60)]
+    hub = [(500, 501 + i) for i in range(80)] + [(900, i) for i in range(700, 780)]
+    loose = [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(150)]
+    for edges in (chain + hub + loose + [(3, 3), (None, 4), (5, None)], [(2, 1)], []):
+        rng.shuffle(edges)
+        df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+        want = {tuple(r) for r in connected_components(df, "a", "b").collect()}
+        assert {tuple(r) for r in contracted_components(df, "a", "b").collect()} == want
+        text = df.select(F.lpad(F.col("a").cast("string"), 5, "0").alias("a"), F.lpad(F.col("b").cast("string"), 5, "0").alias("b"))
+        assert {(int(r.node), int(r.component)) for r in contracted_components(text, "a", "b").collect()} == want
+
+
 def test_components_and_sessions(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (4, 4)], "a int, b int")
     assert {(r.node, r.component) for r in connected_components(df, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (9, 8), (8, 8)}
