@@ -7,10 +7,16 @@
 3. A node's rows come sorted by label and are walked from the full depth up: first the runs that agree in all values are
    linked, then prefixes are shortened a value at a time. A node whose texts are joined already is not
    shortened; others end at `stop`. Rows are linked where their signatures agree; a leader links all
-   that agree with it at once, so no pairs of a group are listed. Nodes with very many members are dealt out in pairs of blocks.
-4. Connected components of these links are the candidate groups. Each text's shingles travel once
-   to its group, again in pairs of blocks where a group is large, and there every pair is compared
-   exactly by sparse products of shingle columns. Classes are the components of exact links.
+   that agree with it at once, so no pairs of a group are listed. The rows of a node with very many of them are first compared with a few
+   leaders; what all links so far have joined needs no further look, and only rows outside of a node's main group meet all others of
+   it, dealt out in blocks.
+4. Connected components of these links are the candidate groups, and every pair of one is compared exactly. Small groups are
+   compared at once, by sparse products of shingle columns. A larger one gets a pivot, the shingles that most of some of its texts hold,
+   and each text is written as its difference from it: what it lacks and what it adds. Texts whose difference is so small that any two
+   of them must be links are counted, not compared; for all other pairs the product goes over the differences alone, dealt out in pairs
+   of blocks. Classes are the components of exact links.
+
+So a class costs time in proportion to its texts as far as they lie close to their pivot, and a small share of comparing all pairs beyond.
 
 Defined cases: null texts and texts without words have no links and form their own class. Texts of
 fewer words than a shingle are one shingle. Repeated rows are repeated in the result. Empty
@@ -27,8 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators.components import connected_components
+from ..operators.components import contracted_components
 from ..storage import forget, stored
 from .frames import boxed, narrow, unboxed
 
@@ -38,13 +45,18 @@ class ForestRules:
     words: int = 5
     similarity: float = 0.8
     trees: int = 24
-    depth: int = 5
+    depth: int = 8
     target_recall: float = 0.99999
     seed: int = 17
     #: A candidate needs this share of equal signature values; chance keeps a true pair above it (see `_agree`).
     least_estimate: float = 0.55
+    #: Nodes and candidate groups with more rows than this are dealt out.
     block_rows: int = 768
     block_shingles: int = 1_000_000
+    leaders: int = 4
+    #: Candidate groups with more texts than this get a pivot, from so many of their texts.
+    pivot_rows: int = 128
+    pivot_sample: int = 65
 
     def recall(self, prefix: int) -> float:
         """The chance that a pair at the threshold shares a prefix of this length in some tree."""
@@ -70,7 +82,6 @@ def _every_deal(per_group: DataFrame) -> DataFrame:
     return per_group.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
 
 
-
 def unified(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
 
@@ -170,16 +181,34 @@ def _signed(rules: ForestRules):
     return run
 
 
-def _dealt(df: DataFrame, group: str, member: str, blocks: Column) -> DataFrame:
-    """Adds `unit` and `block`: a group of B blocks becomes units for each block and pair of blocks, of two blocks at most.
+def _first(n: Column) -> Column:
+    """0, 1, ... n - 1."""
+    return F.filter(F.sequence(F.lit(0).cast("long"), n.cast("long")), lambda i: i < n)
+
 
-    A row of block b goes to the units (b, j) of all j; pairs of one block count in its own unit.
+def _dealt(df: DataFrame, group: str, member: str, home: Column, home_blocks: Column, other_blocks: Column) -> DataFrame:
+    """Adds `unit`, `block` and `crossed`: units in which all pairs of a group meet once, but for those of two home members.
+
+    Others fall into blocks, and each block and pair of blocks is a unit; so is each pair of a block of others and one of home members.
+    In a crossed unit only rows of different blocks are pairs.
     """
-    df = df.withColumn("_B", blocks.cast("int"))
-    df = df.withColumn("block", F.pmod(F.xxhash64(member), "_B").cast("int"))
-    df = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_B") - 1)))
-    lo, hi = F.least("block", "_j"), F.greatest("block", "_j")
-    return df.withColumn("unit", F.xxhash64(group, lo, hi)).withColumn("crossed", lo != hi).drop("_B", "_j")
+    df = df.withColumns({"_home": home, "_hb": home_blocks.cast("long"), "_ob": other_blocks.cast("long")})
+    df = df.withColumn("_b", F.pmod(F.xxhash64(member), F.greatest(F.when(F.col("_home"), F.col("_hb")).otherwise(F.col("_ob")), F.lit(1))))
+    unit = lambda kind, a, b, block, crossed: F.struct(F.xxhash64(group, F.lit(kind), a, b).alias("unit"), block.cast("int").alias("block"), crossed.alias("crossed"))
+    mine, yes = F.col("_b"), F.lit(True)
+    among = F.transform(_first(F.col("_ob")), lambda j: unit("others", F.least(mine, j), F.greatest(mine, j), mine, mine != j))
+    to_home = F.transform(_first(F.col("_hb")), lambda j: unit("home", j, mine, F.lit(1), yes))
+    from_home = F.transform(_first(F.col("_ob")), lambda j: unit("home", mine, j, F.lit(0), yes))
+    places = F.when(F.col("_home"), from_home).otherwise(F.concat(among, to_home))
+    kept = [c for c in df.columns if c not in ("_home", "_hb", "_ob", "_b")]
+    return df.withColumn("_places", places).select(*kept, F.inline("_places"))
+
+
+def _blocks(rows: Column, volume: Column | None, rules: ForestRules) -> Column:
+    """How many blocks so many rows make: larger ones the more rows there are, up to `block_rows`."""
+    size = F.least(F.lit(float(rules.block_rows)), F.greatest(F.lit(min(144.0, rules.block_rows)), 6 * F.sqrt(rows)))
+    parts = F.ceil(rows / size)
+    return parts if volume is None else F.greatest(parts, F.ceil(volume / rules.block_shingles))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -216,6 +245,7 @@ def _forest_links(rules: ForestRules):
             keys = table.column("key").to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(unit), -1)
             block, crossed = table.column("block").to_numpy(), table.column("crossed").to_numpy(zero_copy_only=False)
+            joined = table.column("joined").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(unit)]]))
             # The values of a row's own label beyond the node's prefix.
@@ -223,10 +253,11 @@ def _forest_links(rules: ForestRules):
             rest = np.take_along_axis(sig, at, axis=1)
             left, right = [], []
             two = starts[sizes == 2]  # most nodes: one pair
-            two = two[_agree(sig[two], sig[two + 1], rules.least_estimate)]
+            two = two[(joined[two] != joined[two + 1]) & _agree(sig[two], sig[two + 1], rules.least_estimate)]
             left.append(two), right.append(two + 1)
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-                a, b = _walk(sig[s : s + n], rest[s : s + n], block[s : s + n] if crossed[s] else None, rules.least_estimate)
+                tree = np.unique(joined[s : s + n], return_inverse=True)[1]
+                a, b = _walk(sig[s : s + n], rest[s : s + n], block[s : s + n] if crossed[s] else None, rules.least_estimate, tree)
                 left.append(a + s), right.append(b + s)
             a, b = np.concatenate(left), np.concatenate(right)
             yield pa.RecordBatch.from_arrays([pa.array(keys[a], pa.string()), pa.array(keys[b], pa.string())], names=["src", "dst"])
@@ -234,12 +265,14 @@ def _forest_links(rules: ForestRules):
     return run
 
 
-def _walk(sig: np.ndarray, rest: np.ndarray, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _walk(sig: np.ndarray, rest: np.ndarray, block: np.ndarray | None, least: float, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of a trie node's rows, which come sorted by `rest`, the values beyond its prefix: the longest runs first.
 
-    At each length the runs of equal values are linked; a run that is one tree already is left as it is.
+    At each length the runs of equal values are linked; a run that is one tree already is left as it is. `tree` tells
+    what earlier links have joined.
     """
-    tree, links = np.arange(len(sig)), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    tree = np.arange(len(sig)) if tree is None else tree
+    links = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for length in range(rest.shape[1], -1, -1):
         differs = (rest[1:, :length] != rest[:-1, :length]).any(axis=1)
         cut = np.concatenate([[0], np.flatnonzero(differs) + 1, [len(sig)]])
@@ -278,21 +311,28 @@ def _shingled(rules: ForestRules):
                 hashes, bounds = shingle_hashes(part.column("norm"), rules.words)
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("component", "key", "blocks")), pa.array(sets, pa.large_binary()).cast(pa.binary())],
-                    names=["component", "key", "blocks", "shingles"],
+                    [*(part.column(c) for c in ("component", "key", "m", "v")), pa.array(sets, pa.large_binary()).cast(pa.binary())],
+                    names=["component", "key", "m", "v", "shingles"],
                 )
 
     return run
 
 
-def _exact_pairs(sets: list[np.ndarray], block: np.ndarray | None, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact links between the sets: each one's number of links, and a spanning forest of them."""
-    n, size = len(sets), np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), size)
+def _exact_pairs(
+    sets: list[np.ndarray], block: np.ndarray | None, t: float, size: np.ndarray | None = None, lost: np.ndarray | None = None, whole: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact links between the sets: each one's number of links, and a spanning forest of them.
+
+    With `size`, what is given are differences from a pivot of `whole` shingles, of which each set lacks `lost`: two sets share
+    the pivot without what either lacks, and what both of their differences hold, which is lacked by both or added by both.
+    """
+    n, given = len(sets), np.array([len(s) for s in sets])
+    size = given if size is None else size
+    owner = np.repeat(np.arange(n), given)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
     column = np.cumsum(new) - 1
     often = np.bincount(column)[column] > 1  # a shingle of one set meets nothing
     owner, column = owner[often], column[often]
@@ -304,6 +344,8 @@ def _exact_pairs(sets: list[np.ndarray], block: np.ndarray | None, t: float) ->
         x = np.zeros((n, min(wide, int(column[hi - 1]) - at + 1)), np.float32)
         x[owner[lo:hi], column[lo:hi] - at] = 1
         both += x @ x.T
+    if lost is not None:
+        both += whole - lost[:, None] - lost[None, :]
     linked = np.empty((n, n), bool)
     for i in range(n):  # whole numbers, which doubles hold exactly; row by row, so no more tables of this size are made
         linked[i] = both[i] / (size[i] + size - both[i]) >= t
@@ -332,11 +374,13 @@ def _verified(rules: ForestRules):
             keys = table.column("key").to_numpy(zero_copy_only=False)
             block, crossed = table.column("block").to_numpy(), table.column("crossed").to_numpy(zero_copy_only=False)
             cells = table.column("shingles")
+            size, lost, whole = (table.column(c).to_numpy() for c in ("size", "lost", "whole"))
             starts = np.concatenate([np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])), [len(unit)]])
             src, dst, links = [], [], []
             for s, e in zip(starts[:-1], starts[1:]):
                 sets = [np.frombuffer(cells[int(i)].as_py(), np.uint64) for i in range(s, e)]
-                degree, a, b = _exact_pairs(sets, block[s:e] if crossed[s] else None, rules.similarity)
+                about = () if whole[s] < 0 else (size[s:e], lost[s:e], int(whole[s]))
+                degree, a, b = _exact_pairs(sets, block[s:e] if crossed[s] else None, rules.similarity, *about)
                 some = np.flatnonzero(degree)
                 src += [keys[s + some], keys[s + a]]
                 dst += [np.full(len(some), None, object), keys[s + b]]
@@ -351,6 +395,132 @@ def _verified(rules: ForestRules):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        of = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("component").take(of), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["component", "shingle"])
+
+
+def _differences(rules: ForestRules):
+    """Each text's difference from the pivot of its group, which comes before it; `home` texts are so close to it that any two are links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, pivot, more = None, np.empty(0, np.uint64), 1 + rules.similarity
+        for batch in batches:
+            components, keys = batch.column("component").to_pylist(), batch.column("key").to_pylist()
+            kept, made = [], []
+            for i, (component, key) in enumerate(zip(components, keys)):
+                if component != of:
+                    of, pivot = component, np.empty(0, np.uint64)
+                if key is None:
+                    pivot = np.sort(batch.column("pivot")[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                    continue
+                s = np.frombuffer(batch.column("shingles")[i].as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(pivot, s), max(len(pivot) - 1, 0))
+                held = pivot[at] == s if len(pivot) else np.zeros(len(s), bool)
+                lacks = np.ones(len(pivot), bool)
+                lacks[at[held]] = False
+                lost = int(lacks.sum())
+                # Two texts share what the pivot has and neither lacks: with this, at least the similarity's share of their union.
+                home = 2 * (rules.similarity * len(s) + more * lost) <= more * len(pivot) * (1 - 1e-9)
+                kept.append(i)
+                made.append((len(s), lost, len(pivot), home, np.concatenate([pivot[lacks], s[~held]]).tobytes()))
+            size, lost, whole, home, cells = zip(*made) if made else ((),) * 5
+            at = pa.array(kept, pa.int64())
+            kinds = zip((size, lost, whole, home, cells), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("component").take(at), batch.column("key").take(at), *[pa.array(list(x), k) for x, k in kinds]],
+                names=["component", "key", "size", "lost", "whole", "home", "shingles"],
+            )
+
+    return run
+
+
+def _candidate_groups(one: DataFrame, rules: ForestRules) -> DataFrame:
+    """`node`, `component` of all texts that the forest links."""
+    paths = one.select("key", F.posexplode("buckets").alias("tree", "bucket"))
+    nodes = stored(paths.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    met = paths.join(nodes, "bucket").join(one.select("key", "sig"), "key")
+    met = met.withColumn("label", F.substring(F.col("sig"), (F.col("tree") * rules.depth + rules.stop + 1).cast("int"), F.lit(rules.depth - rules.stop)))
+    columns = ["unit", "block", "crossed", "tree", "key", "sig", "label", "joined"]
+
+    def linked(units: DataFrame) -> DataFrame:
+        return units.select(columns).repartition("unit").sortWithinPartitions("unit", "label", "sig", "key").drop("label").mapInArrow(_forest_links(rules), "src string, dst string")
+
+    no, yes, zero = F.lit(False), F.lit(True), F.lit(0)
+    units = met.where(F.col("n") <= rules.block_rows).withColumns({"unit": F.col("bucket"), "block": zero, "crossed": no, "joined": F.xxhash64("key")})
+    if nodes.where(F.col("n") > rules.block_rows).isEmpty():
+        groups = contracted_components(linked(units), "src", "dst")
+        forget(nodes)
+        return groups
+    hot = stored(met.where(F.col("n") > rules.block_rows).withColumn("parts", F.ceil(F.col("n") / rules.block_rows)), "hot-nodes")
+    ranked = hot.select("bucket", "key").withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("key"))).where(F.col("r") <= rules.leaders)
+    leaders = hot.join(ranked.drop("r"), ["bucket", "key"]).withColumn("part", F.explode(_first(F.col("parts"))))
+    members = hot.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    for rows, block in ((leaders, 0), (members, 1)):
+        rows = rows.withColumns({"unit": F.xxhash64("bucket", "part"), "block": F.lit(block), "crossed": yes, "joined": F.xxhash64("key")})
+        units = units.select(columns).unionByName(rows.select(columns))
+    groups = contracted_components(linked(units), "src", "dst")
+    forget(nodes)
+    # Of a hot node, only rows outside of its main component can tell anything new.
+    known = hot.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("joined", F.xxhash64(F.coalesce("component", "key"))).drop("component")
+    per = known.groupBy("bucket", "joined").agg(F.count("*").alias("k")).groupBy("bucket")
+    main = per.agg(F.max_by("joined", F.struct("k", "joined")).alias("main"), F.max("k").alias("n_home"), (F.sum("k") - F.max("k")).alias("n_other")).where("n_other > 0")
+    main = stored(main, "split-nodes")
+    if not main.isEmpty():
+        rest = known.withColumn("_deal", _deal("key")).join(_every_deal(main), ["bucket", "_deal"])
+        units = _dealt(rest, "bucket", "key", F.col("joined") == F.col("main"), _blocks(F.col("n_home"), None, rules), _blocks(F.col("n_other"), None, rules))
+        links = stored(linked(units), "links")
+        if not links.isEmpty():
+            edges = groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(links)
+            last, groups = groups, contracted_components(edges, "src", "dst")
+            forget(last)
+        forget(links)
+    forget(main)
+    forget(hot)
+    return groups
+
+
+def _exact_links(sets: DataFrame, rules: ForestRules) -> DataFrame:
+    """`src`, `dst`, `links`: numbers of links of a text (dst null), and edges that join the texts of a class; from candidate groups' `sets`."""
+    large = (F.col("m") > rules.pivot_rows) | (F.col("v") > rules.block_shingles)
+    whole = {"size": F.lit(0).cast("long"), "lost": F.lit(0).cast("long"), "whole": F.lit(-1).cast("long")}
+    columns = ["unit", "block", "crossed", "key", "shingles", "size", "lost", "whole"]
+    small = sets.where(~large).withColumns({"unit": F.xxhash64("component"), "block": F.lit(0), "crossed": F.lit(False), **whole})
+    compared = lambda units: units.select(columns).repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(_verified(rules), "src string, dst string, links long")
+    hot = sets.where(large).withColumn("parts", F.greatest(F.ceil(F.col("m") / 512), F.ceil(F.col("v") / rules.block_shingles)))
+    if hot.isEmpty():
+        return stored(compared(small), "links")
+    ranked = hot.select("component", "key").withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("key"), "key")))
+    sample = hot.join(ranked.where(F.col("r") <= rules.pivot_sample).drop("r"), ["component", "key"])
+    sizes = sample.groupBy("component").agg(F.count("*").alias("n"), F.first("parts").alias("parts"))
+    held = sample.mapInArrow(_spread, "component string, shingle long").groupBy("component", "shingle").agg(F.count("*").alias("c"))
+    pivots = held.join(sizes, "component").where("2 * c > n").groupBy("component").agg(F.collect_list("shingle").alias("pivot"), F.first("parts").alias("parts"))
+    pivots = pivots.select("component", F.explode(_first(F.col("parts"))).alias("part"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("binary").alias("shingles"), "pivot")
+    texts = hot.select("component", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "key", "shingles", F.lit(None).cast("array<long>").alias("pivot"))
+    both = texts.unionByName(pivots).repartition("component", "part").sortWithinPartitions("component", "part", F.asc_nulls_first("key"))
+    fields = "component string, key string, size long, lost long, whole long, home boolean, shingles binary"
+    differences = apart = stored(both.mapInArrow(_differences(rules), fields), "differences")
+    home, volume = F.col("home"), F.octet_length("shingles") / 8
+    about = apart.groupBy("component").agg(
+        F.count_if(home).alias("n_home"), F.count_if(~home).alias("n_other"), F.sum(F.when(home, volume).otherwise(0)).alias("v_home"),
+        F.sum(F.when(home, 0).otherwise(volume)).alias("v_other"), F.min(F.when(home, F.col("key"))).alias("head"),
+    )
+    apart = apart.withColumn("_deal", _deal("key")).join(_every_deal(about), ["component", "_deal"])
+    units = _dealt(apart, "component", "key", home, _blocks(F.col("n_home"), F.col("v_home"), rules), _blocks(F.col("n_other"), F.col("v_other"), rules))
+    sure = apart.where(home & (F.col("n_home") > 1)).select(
+        F.inline(F.array(
+            F.struct(F.col("key").alias("src"), F.lit(None).cast("string").alias("dst"), (F.col("n_home") - 1).alias("links")),
+            F.struct(F.col("key").alias("src"), F.col("head").alias("dst"), F.lit(0).cast("long").alias("links")),
+        ))
+    )
+    links = stored(compared(small.select(columns).unionByName(units.select(columns))).unionByName(sure), "links")
+    forget(differences)
+    return links
+
+
 def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> DataFrame:
     """One row per row of `docs`: doc_id, key, class_id, class_key, n_links, n_copies.
 
@@ -364,28 +534,21 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
     worded = signed.where("sig is not null")
     one = worded.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("row"), "raw")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     one = stored(one.select("key", "at.*", "n_shingles", "sig", "buckets"), "texts")
-    paths = one.select("key", F.posexplode("buckets").alias("tree", "bucket"))
-    shared = paths.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = paths.join(shared, "bucket").join(one.select("key", "sig"), "key")
-    label = F.substring(F.col("sig"), (F.col("tree") * rules.depth + rules.stop + 1).cast("int"), F.lit(rules.depth - rules.stop))
-    units = _dealt(met, "bucket", "key", F.ceil(F.col("n") / rules.block_rows)).select("unit", "block", "crossed", "tree", "key", "sig", label.alias("label"))
-    found = units.repartition("unit").sortWithinPartitions("unit", "label", "sig", "key").drop("label").mapInArrow(_forest_links(rules), "src string, dst string")
-    groups = connected_components(found, "src", "dst")
-    groups = groups.join(one.select(F.col("key").alias("node"), "n_shingles", "row", "raw"), "node")
+    candidates = _candidate_groups(one, rules)
+    groups = candidates.join(one.select(F.col("key").alias("node"), "n_shingles", "row", "raw"), "node")
     groups = groups.withColumn("_deal", _deal("node"))
     volume = _every_deal(groups.groupBy("component").agg(F.sum("n_shingles").alias("v"), F.count("*").alias("m")))
-    blocks = F.ceil(F.greatest(F.col("v") / rules.block_shingles, F.col("m") / rules.block_rows))
-    groups = groups.join(volume, ["component", "_deal"]).select(F.col("node").alias("key"), "row", "raw", "component", blocks.cast("long").alias("blocks"))
+    groups = groups.join(volume, ["component", "_deal"]).select(F.col("node").alias("key"), "row", "raw", "component", "m", "v")
     # One row of each text of a candidate group: its own words are unified again, not those of all texts. Copies of a text are
     # dealt out by their rows, and all but one of them stay behind.
-    texts = plain.withColumn("row", F.xxhash64("doc_id")).join(groups, ["row", "raw"]).groupBy("key", "row").agg(F.first("component").alias("component"), F.first("blocks").alias("blocks"), F.first("text").alias("text"))
-    texts = texts.select("key", "component", "blocks", unified(F.col("text")).alias("norm"))
-    sets = texts.mapInArrow(_shingled(rules), "component string, key string, blocks long, shingles binary")
-    units = _dealt(sets, "component", "key", F.col("blocks")).select("unit", "block", "crossed", "key", "shingles")
-    exact = units.repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(_verified(rules), "src string, dst string, links long")
-    exact = stored(exact, "links")
+    texts = plain.withColumn("row", F.xxhash64("doc_id")).join(groups, ["row", "raw"]).groupBy("key", "row").agg(*[F.first(c).alias(c) for c in ("component", "m", "v", "text")])
+    texts = texts.select("key", "component", "m", "v", unified(F.col("text")).alias("norm"))
+    sets = stored(texts.mapInArrow(_shingled(rules), "component string, key string, m long, v long, shingles binary"), "shingles")
+    forget(candidates)
     forget(one)
-    classes = connected_components(exact, "src", "dst")
+    exact = _exact_links(sets, rules)
+    forget(sets)
+    classes = contracted_components(exact, "src", "dst")
     degrees = exact.groupBy("src").agg(F.sum("links").alias("n_links")).where("n_links > 0")
     copies = worded.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     copies = copies.join(classes.withColumnRenamed("node", "key"), "key", "left").join(degrees.withColumnRenamed("src", "key"), "key", "left")
@@ -395,9 +558,11 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
     columns = ["key", "class_id", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"]
     alone = copies.where("component is null").withColumns({"class_id": F.col("least"), "component": F.col("key")})
     copies = stored(linked.join(heads, ["component", "_deal"]).select(*columns).unionByName(alone.select(*columns)), "classes")
+    forget(classes)
+    forget(exact)
     out = signed.select("doc_id", "key").join(copies, "key", "left")
     wordless = F.col("n_copies").isNull()
-    return out.select(
+    out = out.select(
         "doc_id",
         "key",
         F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -405,6 +570,10 @@ def near_duplicates(docs: DataFrame, rules: ForestRules = ForestRules()) -> Data
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
+    out = stored(out, "near-duplicates")
+    forget(signed)
+    forget(copies)
+    return out
 
 
 def _id_type(docs: DataFrame) -> str:

@@ -65,7 +65,7 @@ def corpus():
     return [(i, t, "en", "s") for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("rules", [N.ForestRules(), N.ForestRules(block_rows=5, block_shingles=2000)])
+@pytest.mark.parametrize("rules", [N.ForestRules(), N.ForestRules(block_rows=5, block_shingles=2000), N.ForestRules(block_rows=4, pivot_rows=3, pivot_sample=5, leaders=1)])
 def test_classes_and_links_match_brute_force(spark, rules):
     docs = corpus()
     df = spark.createDataFrame(docs, DOCS).withColumn("key", F.lit("own")).withColumn("class_id", F.lit(1))
@@ -92,7 +92,7 @@ def test_repeated_rows_nulls_and_empty(spark):
 
 
 def test_prefixes_are_shortened_until_the_target_recall():
-    assert N.ForestRules(target_recall=0.5).stop == 5
+    assert N.ForestRules(depth=5, target_recall=0.5).stop == 5 and N.ForestRules(target_recall=0.5).stop == 8
     r = N.ForestRules()
     assert r.stop == 4 and r.recall(r.stop) >= r.target_recall > r.recall(r.stop + 1)
 
@@ -162,3 +162,35 @@ def test_small_tables_and_short_texts_before_very_long_ones(spark):
         docs = [(i, t, "en", "s") for i, t in enumerate(texts)]
         got = N.near_duplicates(spark.createDataFrame(docs, DOCS).coalesce(1)).collect()
         assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got), key=str) == brute(docs)
+
+
+def test_a_class_of_near_copies_of_all_distances(spark):
+    """Texts close to the pivot, whose links are counted, and farther ones, which are compared by their differences."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    docs = []
+    for i in range(240):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 5, 9])):
+            w[rng.randrange(len(w))] = rng.choice(["alpha", "beta", f"v{rng.randrange(10**6)}"])
+        docs.append((i, " ".join(w), "en", "s"))
+    for rules in (N.ForestRules(), N.ForestRules(block_rows=40, pivot_rows=30, pivot_sample=21, leaders=2)):
+        got = N.near_duplicates(spark.createDataFrame(docs, DOCS), rules).collect()
+        assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got), key=str) == brute(docs)
+
+
+def test_texts_too_close_to_the_pivot_to_be_compared():
+    rules = N.ForestRules()
+    pivot = np.arange(100, dtype=np.uint64)
+    sets = [pivot, pivot[:95], np.concatenate([pivot[5:], np.arange(500, 504, dtype=np.uint64)]), pivot[:60]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["c"] * 5), pa.array([None, "a", "b", "c", "d"]), pa.array([None, *[x.tobytes() for x in sets]], pa.binary()), pa.array([pivot.view(np.int64).tolist(), None, None, None, None], pa.list_(pa.int64()))],
+        names=["component", "key", "shingles", "pivot"],
+    )
+    got = next(N._differences(rules)([batch])).to_pylist()
+    assert [(x["size"], x["lost"], x["whole"], x["home"], len(x["shingles"]) // 8) for x in got] == [(100, 0, 100, True, 0), (95, 5, 100, True, 5), (99, 5, 100, True, 9), (60, 40, 100, False, 40)]
+    differences = [np.frombuffer(x["shingles"], np.uint64) for x in got]
+    size, lost = (np.array([x[k] for x in got]) for k in ("size", "lost"))
+    whole = N._exact_pairs(sets, None, 0.8)
+    apart = N._exact_pairs(differences, None, 0.8, size, lost, 100)
+    assert whole[0].tolist() == apart[0].tolist() == [2, 2, 2, 0]
