@@ -1,18 +1,22 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each document's histogram of character classes and its histogram of common words are compared with the references of
-its language by the Jensen-Shannon distance (base 2, 0 to 1). References are fixed: the shares of character
-classes in running text, and for the common words, listed by rank, a share that falls with the rank (Zipf's law). So a
-verdict depends on the document alone, and nothing is shuffled. The measures are written to the shared folder once, so that no
-later filter on a verdict makes them again.
+its language by the Jensen-Shannon distance (base 2, 0 to 1). References are fixed, one of each kind for every language: rounded shares of
+character classes, as large general corpora of the language have them (German writes nouns with capitals and has long words, French
+has many apostrophes), and for the common words, listed by rank, a share that falls with the rank (Zipf's law) from that of
+the language's commonest word. Thresholds follow the language, too: they are shares of how far a text of small letters and spaces alone, and one
+without any common word, is from its language's references (German has more capitals to miss). So a verdict depends on the document alone, and nothing is
+shuffled. The measures are written to the shared folder once, so that no later filter on a verdict makes them again.
 
 Defined cases: a null or empty text has no words and fails the base rules. A document of a null or unlisted language and
 one shorter than a guard is not judged by the distances. Rows with equal texts and languages get equal
-verdicts, repeated rows stay repeated. Extra columns of any name pass through.
+verdicts, repeated rows stay repeated. A very long text is measured whole, in one task, whose memory holds its words and their windows'
+hashes a few times over. Empty tables give no rows. Extra columns of any name pass through.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,31 +52,57 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
         "desde", "todo", "nos", "durante", "uno", "ni", "contra", "ese",
     ),
 }
-#: The word of rank r has the share TOP_SHARE / r of running text; the rest is other words.
-TOP_SHARE = 0.06
-# The classes of characters, each taken from what the earlier ones left, and their shares of running text.
-CHAR_CLASSES: tuple[tuple[str, str, float], ...] = (
-    ("lower", r"\p{Ll}+", 0.785),
-    ("space", r"[\x20\x09-\x0D]+", 0.165),
-    ("upper", r"\p{Lu}+", 0.02),
-    ("digit", r"\p{N}+", 0.002),
-    ("point", r"[.,;:!?'\"()\-]+", 0.02),
-    ("symbol", r"[#*$%&|<>]+", 0.0),
+# The share of each language's commonest word in running text; the word of rank r has the r-th part of it.
+TOP_SHARES = {"en": 0.06, "fr": 0.055, "de": 0.05, "es": 0.06}
+# The classes of characters, each taken from what the earlier ones left.
+CHAR_CLASSES: tuple[tuple[str, str], ...] = (
+    ("lower", r"\p{Ll}+"),
+    ("space", r"[\x20\x09-\x0D]+"),
+    ("upper", r"\p{Lu}+"),
+    ("digit", r"\p{N}+"),
+    ("point", r"[.,;:!?'\"()\-]+"),
+    ("symbol", r"[#*$%&|<>]+"),
 )
-REST_SHARE = 0.008
+# The shares of these classes in running text; what is left are other characters.
+CHAR_SHARES = {
+    "en": (0.780, 0.170, 0.022, 0.003, 0.022, 0.0),
+    "fr": (0.775, 0.160, 0.020, 0.003, 0.034, 0.0),
+    "de": (0.770, 0.143, 0.055, 0.003, 0.024, 0.0),
+    "es": (0.785, 0.165, 0.020, 0.003, 0.022, 0.0),
+}
 SPACE = r"[\x20\x09-\x0D]+"
-#: Cut off words before they are looked up.
-POINTS = ".,;:!?\"'()"
+#: What stands between words that are looked up: white space and points.
+BETWEEN = r"[\x20\x09-\x0D.,;:!?\"'()]+"
 
 
 def word_reference(lang: str) -> list[float]:
     """The shares of a language's listed words, and of all others."""
-    shares = [TOP_SHARE / (r + 1) for r in range(len(COMMON_WORDS[lang]))]
+    shares = [TOP_SHARES[lang] / (r + 1) for r in range(len(COMMON_WORDS[lang]))]
     return [*shares, 1.0 - sum(shares)]
 
 
-def char_reference() -> list[float]:
-    return [*(share for _, _, share in CHAR_CLASSES), REST_SHARE]
+def char_reference(lang: str) -> list[float]:
+    """The shares of a language's classes of characters, and of all others."""
+    return [*CHAR_SHARES[lang], round(1.0 - sum(CHAR_SHARES[lang]), 6)]
+
+
+def _apart(p: list[float], q: list[float]) -> float:
+    """The Jensen-Shannon distance of two references."""
+    part = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
+    return math.sqrt(sum(part(a, b) + part(b, a) for a, b in zip(p, q)) / 2)
+
+
+def without_common_words(lang: str) -> float:
+    """How far a text that holds none of the listed words is from its language's reference."""
+    words = word_reference(lang)
+    return _apart([*[0.0] * (len(words) - 1), 1.0], words)
+
+
+def small_letters_alone(lang: str) -> float:
+    """How far a text of small letters and spaces, in the language's proportion, is from its reference."""
+    chars = char_reference(lang)
+    both = chars[0] + chars[1]
+    return _apart([chars[0] / both, chars[1] / both, *[0.0] * (len(chars) - 2)], chars)
 
 
 @dataclass(frozen=True)
@@ -82,9 +112,10 @@ class QualityRules:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    max_char_distance: float = 0.18
-    #: A text without any listed word is 0.39 away from its reference.
-    max_word_distance: float = 0.35
+    #: A share of the distance of a text of small letters and spaces alone: missing capitals and points don't reject.
+    max_char_share: float = 1.15
+    #: A share of the distance of a text without any listed word.
+    max_word_share: float = 0.9
     guard_chars: int = 400
     guard_words: int = 60
 
@@ -102,7 +133,7 @@ def _measured(df: DataFrame, window: int) -> DataFrame:
     kept = df.columns
     df = df.withColumn("_t", F.coalesce("k_text", F.lit("")))
     rest, sizes = F.col("_t"), []
-    for name, pattern, _ in CHAR_CLASSES:
+    for name, pattern in CHAR_CLASSES:
         df = df.withColumn(f"_t_{name}", F.regexp_replace(rest, pattern, ""))
         sizes.append((F.length(rest) - F.length(f"_t_{name}")).alias(f"_n_{name}"))
         rest = F.col(f"_t_{name}")
@@ -111,19 +142,23 @@ def _measured(df: DataFrame, window: int) -> DataFrame:
     for lang, words in COMMON_WORDS.items():
         listed = F.when(F.col("k_lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    cut = F.array_remove(F.split(F.translate(F.lower("_t"), POINTS, " " * len(POINTS)), SPACE), "")
+    cut = F.array_remove(F.split(F.lower("_t"), BETWEEN), "")
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(*kept, F.length("_t").alias("n_chars"), *sizes, listed.alias("_list"), lines.alias("_lines"), F.array_remove(F.split("_t", SPACE), "").alias("_words"), F.when(listed.isNotNull(), cut).alias("_cut"))
     # From here on windows are compared by 64-bit hashes, within one document only.
     df = df.withColumns({"_hits": F.filter("_cut", lambda w: w.isin(every)), "_w1": F.transform("_words", lambda w: F.xxhash64(w))})
     by = 1
     while by < window:
-        df = df.withColumn(f"_w{2 * by}", _hashed_pairs(F.col(f"_w{by}"), by))
+        # No window is found twice where all of its length's half are different.
+        longer = _hashed_pairs(F.col(f"_w{by}"), by)
+        if 1 < by == window // 2:
+            longer = F.when(F.size(F.array_distinct(f"_w{by}")) < F.size(f"_w{by}"), longer)
+        df = df.withColumn(f"_w{2 * by}", longer)
         by *= 2
     df = df.select(
         *kept,
         "n_chars",
-        *[f"_n_{c}" for c, _, _ in CHAR_CLASSES],
+        *[f"_n_{c}" for c, _ in CHAR_CLASSES],
         "_n_rest",
         F.size("_words").alias("n_words"),
         F.size("_cut").alias("_n_cut"),
@@ -146,7 +181,7 @@ def _measured(df: DataFrame, window: int) -> DataFrame:
         F.col("_n_symbol").alias("n_symbols"),
         "n_dup_lines",
         F.coalesce(F.aggregate(reach, F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_repeat_words"),
-        F.array(*[f"_n_{c}" for c, _, _ in CHAR_CLASSES], "_n_rest").alias("chars"),
+        F.array(*[f"_n_{c}" for c, _ in CHAR_CLASSES], "_n_rest").alias("chars"),
         F.concat("_counts", F.array(F.col("_n_cut") - listed_words)).alias("common"),
     )
 
@@ -171,20 +206,25 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), carry: list[str
         boxes = only_boxed(boxes, places)
     d = stored(_measured(boxes, rules.window).drop("k_text"), "quality")
     d = d.withColumns({"_c": _shares("chars"), "_w": _shares("common")})
-    words = F.lit(None).cast("array<double>")
+    words, chars = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
+    far, odd = F.lit(None).cast("double"), F.lit(None).cast("double")
     for lang in COMMON_WORDS:
-        words = F.when(F.col("k_lang") == lang, F.array(*map(F.lit, word_reference(lang)))).otherwise(words)
+        mine = F.col("k_lang") == lang
+        words = F.when(mine, F.array(*map(F.lit, word_reference(lang)))).otherwise(words)
+        chars = F.when(mine, F.array(*map(F.lit, char_reference(lang)))).otherwise(chars)
+        far = F.when(mine, F.lit(rules.max_word_share * without_common_words(lang))).otherwise(far)
+        odd = F.when(mine, F.lit(rules.max_char_share * small_letters_alone(lang))).otherwise(odd)
     judged = (F.col("n_chars") >= rules.guard_chars) & (F.col("n_words") >= rules.guard_words) & F.col("k_lang").isin(list(COMMON_WORDS))
     d = d.withColumns(
         {
-            "_cd": F.when(judged, js_distance(F.col("_c"), F.array(*map(F.lit, char_reference())))),
+            "_cd": F.when(judged, js_distance(F.col("_c"), chars)),
             # A text of points alone has no words to compare.
             "_wd": F.when(judged & F.col("_w").isNotNull(), js_distance(F.col("_w"), words)),
             "_failed": (F.col("n_words") < rules.min_words)
             | (100 * F.col("n_repeat_words").cast("long") > rules.max_repeat_percent * F.col("n_words").cast("long")),
         }
     )
-    fits = (F.coalesce("_cd", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("_wd", F.lit(0.0)) <= rules.max_word_distance)
+    fits = F.coalesce(F.col("_cd") <= odd, F.lit(True)) & F.coalesce(F.col("_wd") <= far, F.lit(True))
     return unboxed(
         d,
         docs,

@@ -60,7 +60,7 @@ def test_distances_match_brute_force(spark):
 
     for i, t in enumerate(texts):
         found = Counter(next(k for k, f in enumerate(classes) if f(c)) for c in t)
-        assert abs(got[i]["char_distance"] - distance([found[k] / len(t) for k in range(7)], Q.char_reference())) < 1e-9
+        assert abs(got[i]["char_distance"] - distance([found[k] / len(t) for k in range(7)], Q.char_reference("en"))) < 1e-9
         w = [x for x in re.split(r"[\s.,;:!?\"'()]+", t.lower()) if x]
         listed = [w.count(x) / len(w) if w else 0 for x in Q.COMMON_WORDS["en"]]
         if w:
@@ -106,3 +106,15 @@ def test_the_pipeline_drops_lists_without_common_words(spark):
     df = spark.createDataFrame(docs + lists + few + junk, DOCS)
     kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
     assert kept == {d[0] for d in docs + few}
+
+
+def test_each_language_has_its_references():
+    for lang in Q.COMMON_WORDS:
+        words, chars = Q.word_reference(lang), Q.char_reference(lang)
+        assert len(words) == 51 and len(chars) == 7 and abs(sum(words) - 1) < 1e-9 and abs(sum(chars) - 1) < 1e-9 and min(chars) >= 0
+        none = [0.0] * 50 + [1.0]
+        m = [(a + b) / 2 for a, b in zip(none, words)]
+        kl = lambda a, m=m: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+        assert abs(Q.without_common_words(lang) - math.sqrt((kl(none) + kl(words)) / 2)) < 1e-12
+    assert len({tuple(Q.char_reference(lang)) for lang in Q.COMMON_WORDS}) == 4
+    assert Q.without_common_words("de") < Q.without_common_words("en")
