@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_value, output_value, text_of
+from ..storage import stored
 
 # Kinds of symbols, and decoders of a zone.
 SYMBOL_TYPES = ("qr", "barcode", "unknown")
@@ -77,14 +78,17 @@ def unknown_names(names: DataFrame, known: DataFrame, column: str) -> DataFrame:
 
 
 def fallback(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
-    """All rows of the first, and rows of the second for groups of which the first has none."""
+    """All rows of the first, and rows of the second for groups of which the first has none; without `on`, only if the first is empty."""
+    if not on:
+        some = first.select(F.lit(True).alias("_some")).limit(1)
+        return first.unionByName(second.join(F.broadcast(some), F.col("_some"), "left_anti"))  # one row at most
     return first.unionByName(second.join(first.select(*on).distinct(), on, "left_anti"))
 
 
 def sharing_keys(rows: DataFrame, keys: str, wanted: DataFrame, wanted_keys: str) -> DataFrame:
     """Rows of which any key (array) is among the wanted ones."""
     flat = wanted.select(F.explode(wanted_keys).alias("_k")).distinct()
-    hit = rows.withColumn("_i", F.monotonically_increasing_id())
+    hit = stored(rows.withColumn("_i", F.monotonically_increasing_id()), "numbered")  # numbers that stay, for both sides of the join
     found = hit.select("_i", F.explode(keys).alias("_k")).join(flat, "_k", "left_semi").select("_i").distinct()
     return hit.join(found, "_i", "left_semi").drop("_i")
 

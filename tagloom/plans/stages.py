@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions import reading as R
 from ..functions.text import has_value
 from ..operators import crops as K
-from ..operators import gate, grouping, price_blocks, reports, score, spatial, tracks
+from ..operators import gate, grouping, price_blocks, reports, score, spatial, symbols, tracks
 from ..sources.tables import CODES_SQL, DETECTIONS_SQL, codes, detections, ean_ok_sql, load
 from ..storage import stored
 from .observations import GAP, HOUR, IOU, TRACKS_SQL, track_table
@@ -92,17 +92,17 @@ def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Detections, crops of every second one, and symbols of every fifth, some of which name no detection."""
+    """Detections, and a crop and a symbol of each; some symbols name no detection."""
     d = detections(spark, sf_dir)
     i, t = F.col("detection_id"), F.col("track_id")
     key = F.concat(F.lit("27"), F.lpad((F.expr("track_id div 200") % 1000).cast("string"), 11, "0"))
-    crop = d.where(i % 2 == 0).select(
+    crop = d.select(
         i.alias("crop_id"), "detection_id", t.cast("string").alias("track_key"), "quality",
         F.map_filter(F.create_map(
             F.lit("barcode"), F.when(i % 6 == 0, key).otherwise(F.lit("")), F.lit("id_sku"), F.concat(F.lit("27"), F.lpad((t % 7 + i % 3).cast("string"), 10, "0")),
             F.lit("price_card"), F.when(i % 4 == 0, F.lit("99,50")).otherwise(F.concat((t % 50).cast("string"), F.lit(" р"))), F.lit("print_datetime"), F.when(i % 8 == 0, F.lit("на 17.02.2026 1:14")).otherwise(F.lit("нет"))), lambda k, v: v != "").alias("fields"),
     )
-    symbol = d.where(i % 5 == 0).select(
+    symbol = d.select(
         i.alias("symbol_id"), F.when(i % 35 == 0, i + 10_000_000).otherwise(i).alias("detection_id"), t.cast("string").alias("track_key"), F.when(i % 2 == 0, F.lit("barcode")).otherwise(F.lit("qr")).alias("symbol_type"),
         F.when(i % 15 == 0, F.concat(F.lit("barcode="), key, F.lit(";p1=5"))).when(i % 2 == 0, key).otherwise(F.lit("p1=7")).alias("payload"), "confidence",
     )
@@ -111,9 +111,9 @@ def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 OBSERVED_SQL = f"""{DETECTIONS_SQL}, keyed AS (SELECT *, '27' || lpad(((track_id // 200) % 1000)::VARCHAR, 11, '0') AS k FROM detections),
 crops AS (SELECT detection_id AS crop_id, *, CASE WHEN detection_id % 6 = 0 THEN k ELSE '' END AS barcode, '27' || lpad((track_id % 7 + detection_id % 3)::VARCHAR, 10, '0') AS id_sku,
-  CASE WHEN detection_id % 4 = 0 THEN '99,50' ELSE (track_id % 50) || ' р' END AS price_card, CASE WHEN detection_id % 8 = 0 THEN 'на 17.02.2026 1:14' ELSE 'нет' END AS print_datetime FROM keyed WHERE detection_id % 2 = 0),
+  CASE WHEN detection_id % 4 = 0 THEN '99,50' ELSE (track_id % 50) || ' р' END AS price_card, CASE WHEN detection_id % 8 = 0 THEN 'на 17.02.2026 1:14' ELSE 'нет' END AS print_datetime FROM keyed),
 symbols AS (SELECT detection_id AS symbol_id, CASE WHEN detection_id % 35 = 0 THEN detection_id + 10000000 ELSE detection_id END AS detection_id, track_id, confidence, k,
-  CASE WHEN detection_id % 2 = 0 THEN 'barcode' ELSE 'qr' END AS symbol_type, detection_id % 15 = 0 AS coded, detection_id % 15 = 0 OR detection_id % 2 = 0 AS keyed FROM keyed WHERE detection_id % 5 = 0)"""
+  CASE WHEN detection_id % 2 = 0 THEN 'barcode' ELSE 'qr' END AS symbol_type, detection_id % 15 = 0 AS coded, detection_id % 15 = 0 OR detection_id % 2 = 0 AS keyed FROM keyed)"""
 GROUPS_SQL = f"""{OBSERVED_SQL}, members AS (
   SELECT 'detection' AS kind, detection_id::VARCHAR AS id, track_id::VARCHAR AS t, NULL AS key, 2 AS turn, 0.0 AS rank FROM detections
   UNION ALL SELECT 'crop', crop_id::VARCHAR, track_id::VARCHAR, CASE WHEN barcode <> '' THEN 'barcode:' || barcode ELSE 'id_sku:' || id_sku END, 1, -quality FROM crops
@@ -192,32 +192,46 @@ def codes_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {CODES_SQL}, named AS (SELECT true_code, min(p_name) AS name FROM codes GROUP BY true_code),
-found AS (SELECT p_brand, {P} AS o, code, 0.96 AS c FROM codes WHERE code = true_code UNION ALL SELECT p_brand, {P}, true_code, 0.99 FROM codes WHERE {P} % 40 = 0)
+found AS (SELECT p_brand, {P} AS o, code, 0.96 AS c FROM codes WHERE code = true_code UNION ALL SELECT p_brand, {P}, true_code, 0.90 + ({P} % 10) / 100.0 FROM codes)
 SELECT p_brand, arg_max(true_code, (c, -o)) AS barcode, arg_max(name, (c, -o)) AS product_name, max(c)::DOUBLE AS confidence FROM found JOIN named ON code = true_code GROUP BY p_brand"""
 )
 def products_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surest code of each brand's texts and symbols, with its catalog name."""
     c = codes(spark, sf_dir)
     names = c.groupBy(F.col("true_code").alias("code")).agg(F.min("p_name").alias("name"))
-    item = lambda d, code, conf, source: d.select("p_brand", F.col(code).alias("code"), F.lit(conf).alias("confidence"), F.lit(source).alias("source"), F.col(P).alias("ord"))
-    found = item(c.where("code = true_code"), "code", 0.96, "ocr_exact_ean13").unionByName(item(c.where(f"{P} % 40 = 0"), "true_code", 0.99, "symbol:zxing"))
+    item = lambda d, code, conf, source: d.select("p_brand", F.col(code).alias("code"), conf.alias("confidence"), F.lit(source).alias("source"), F.col(P).alias("ord"))
+    found = item(c.where("code = true_code"), "code", F.lit(0.96), "ocr_exact_ean13").unionByName(item(c, "true_code", F.round(0.90 + (F.col(P) % 10) / 100.0, 2), "symbol:zxing"))
     return grouping.resolve_products(found, names, "p_brand").drop("source")
 
 
+#: Payloads in all their forms through the gate: each third form of list holds a code alone, and codes of even parts are known.
+GATED_SQL = f"""{PAYLOADS_SQL}, known AS (SELECT DISTINCT true_code FROM whole WHERE p_partkey % 2 = 0),
+seen AS (SELECT p_partkey AS symbol_id, p_partkey % 4 AS m, code, CASE WHEN p_partkey % 12 = 4 THEN 'barcode:' || code ELSE payload END AS payload, {ean_ok_sql('code')} AS ok, code IN (SELECT true_code FROM known) AS listed, p_retailprice AS p, p_partkey % 12 = 4 AS lone FROM payloads),
+gated AS (SELECT *, CASE WHEN ok AND listed THEN code ELSE '' END AS trusted, CASE WHEN m = 3 THEN CASE WHEN NOT ok THEN 'bad_ean13_checksum' WHEN NOT listed THEN 'barcode_not_in_catalog' ELSE '' END WHEN lone AND NOT (ok AND listed) THEN 'qr_payload_no_safe_fields' ELSE '' END AS reason FROM seen)"""
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col(P)
+    p = payloads(spark, sf_dir).withColumn("payload", F.when(k % 12 == 4, F.concat(F.lit("barcode:"), "code")).otherwise(F.col("payload")))
+    known = codes(spark, sf_dir).where(f"{P} % 2 = 0").select(F.col("true_code").alias("code"))
+    symbols_of = p.select(k.alias("symbol_id"), k.alias("crop_id"), k.alias("detection_id"), F.when(k % 4 == 3, "barcode").otherwise("qr").alias("symbol_type"), F.lit("zxing").alias("decoder"), F.lit("original").alias("variant"), "payload", F.lit(0.9).alias("confidence"))
+    return symbols.gated(symbols_of, known)
+
+
+@query(f"WITH {GATED_SQL} SELECT symbol_id, payload, reason FROM gated WHERE reason <> ''")
+def rejected_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of symbols that the gate rejects."""
+    return reports.rejected(_gated(spark, sf_dir), "reason").select("symbol_id", "payload", "reason")
+
+
 @query(
-    f"""WITH {PAYLOADS_SQL}, known AS (SELECT DISTINCT true_code FROM whole WHERE p_partkey % 2 = 0)
-SELECT p_partkey AS symbol_id, code AS payload, CASE WHEN NOT {ean_ok_sql('code')} THEN 'bad_ean13_checksum' ELSE 'barcode_not_in_catalog' END AS reason
-FROM payloads LEFT JOIN known ON code = true_code WHERE p_partkey % 4 = 3 AND NOT ({ean_ok_sql('code')} AND true_code IS NOT NULL)"""
+    f"""WITH {GATED_SQL} SELECT symbol_id, trusted AS code, CASE WHEN trusted = '' THEN '' WHEN m = 3 THEN 'barcode' ELSE 'qr_code_barcode' END AS code_field, CASE WHEN m = 3 THEN trusted ELSE concat_ws(';',
+  CASE m WHEN 0 THEN CASE WHEN NOT lone THEN 'p1=' || printf('%.2f', p) || ';p4=' || printf('%.2f', p * 0.8) END WHEN 1 THEN 'ap=1.5;p1=' || printf('%.2f', p) ELSE 'ac=None;p1=' || p::VARCHAR END, CASE WHEN trusted <> '' THEN 'barcode=' || trusted END) END AS clean
+FROM gated WHERE reason = ''"""
 )
-def rejected_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit rows of bare codes that are invalid or unknown."""
-    p = payloads(spark, sf_dir).where(f"{P} % 4 = 3")
-    known = codes(spark, sf_dir).where(f"{P} % 2 = 0").select(F.col("true_code").alias("known")).distinct()
-    code = C.to_ean13(F.col("payload"))
-    d = p.select(F.col(P).alias("symbol_id"), F.col(P).alias("crop_id"), F.col(P).alias("detection_id"), F.lit("barcode").alias("symbol_type"), F.lit("zxing").alias("decoder"), F.lit("original").alias("variant"), "payload", F.lit(0.9).alias("confidence"), code.alias("code"))
-    d = d.join(known, F.col("code") == F.col("known"), "left")
-    reason = F.when(F.col("code") == "", F.lit("no_usable_barcode_digits")).when(~C.ean13_ok(F.col("code")), F.lit("bad_ean13_checksum")).when(F.col("known").isNull(), F.lit("barcode_not_in_catalog")).otherwise(F.lit(""))
-    return reports.rejected(d.withColumn("why", reason), "why").select("symbol_id", "payload", "reason")
+def gated_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that pass the gate, with their trusted code and their payload without an untrusted one."""
+    return _gated(spark, sf_dir).where("reason = ''").select("symbol_id", "code", "code_field", "clean")
 
 
 @query(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, resolve, spatial, tracks, votes
+from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, reports, resolve, spatial, symbols, tracks, votes
 from tagloom.operators.components import connected_components, contracted_components
 
 BOX = "struct<x_min:int,y_min:int,x_max:int,y_max:int>"
@@ -340,3 +340,28 @@ def test_token_sort_ratio(spark):
     assert [round(r.r, 4) for r in df.select(evaluate.token_sort_ratio("a", "b").alias("r")).collect()] == [1.0, 0.6667, 1.0, 0.0]
     p = spark.createDataFrame([(1, "Вино сухое POGGIO", "POGGIO Вино сухое")], "k int, p_product_name string, t_product_name string")
     assert evaluate.field_scores(p, ["k"], ["product_name"]).head().n_matches == 1
+
+
+def test_symbol_gate(spark):
+    good, unknown, bad = "8051070512049", "4690491122587", "8051070512040"
+    rows = [
+        (1, "qr", f"barcode={bad};p1=1299.99;p4=999,50"), (2, "qr", f"barcode={good};p1=5"), (3, "barcode", good), (4, "barcode", bad), (5, "barcode", unknown), (6, "barcode", "12ab"),
+        (7, "qr", f"barcode={unknown}"), (8, "qr", good), (9, "unknown", "0" + good), (10, "qr", None), (11, "qr", ""),
+    ]
+    df = spark.createDataFrame(rows, "symbol_id int, symbol_type string, payload string")
+    known = spark.createDataFrame([(good,), (good,), (bad,)], "code string")
+    got = {r.symbol_id: (r.code, r.code_field, r.clean, r.reason) for r in symbols.gated(df, known).collect()}
+    assert got == {
+        1: ("", "", "p1=1299.99;p4=999.50", ""), 2: (good, "qr_code_barcode", f"p1=5;barcode={good}", ""), 3: (good, "barcode", good, ""), 4: ("", "", "", "bad_ean13_checksum"),
+        5: ("", "", "", "barcode_not_in_catalog"), 6: ("", "", "", "no_usable_barcode_digits"), 7: ("", "", "", "qr_payload_no_safe_fields"), 8: (good, "qr_code_barcode", good, ""),
+        9: (good, "qr_code_barcode", good, ""), 10: ("", "", "", "no_usable_barcode_digits"), 11: ("", "", "", "no_usable_barcode_digits"),
+    }
+
+
+def test_sharing_keys_and_fallback_of_all(spark):
+    rows = spark.createDataFrame([(i % 7, [f"k{i % 5}", f"x{i}"]) for i in range(60)], "n int, ks array<string>").repartition(5, "n")
+    wanted = spark.createDataFrame([(["k1", "x7"],), (["x8"],)], "w array<string>")
+    assert reports.sharing_keys(rows, "ks", wanted, "w").count() == sum(i % 5 == 1 or i in (7, 8) for i in range(60))
+    a, b = spark.createDataFrame([(1,)], "i int"), spark.createDataFrame([(2,), (3,)], "i int")
+    assert [r.i for r in reports.fallback(a, b, []).collect()] == [1]
+    assert sorted(r.i for r in reports.fallback(a.limit(0), b, []).collect()) == [2, 3]
