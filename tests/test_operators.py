@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, reports, resolve, spatial, symbols, tracks, votes
+from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, reports, resolve, spatial, symbols, tracks, vectors, votes
 from tagloom.operators.components import connected_components, contracted_components
 
 BOX = "struct<x_min:int,y_min:int,x_max:int,y_max:int>"
@@ -365,3 +365,35 @@ def test_sharing_keys_and_fallback_of_all(spark):
     a, b = spark.createDataFrame([(1,)], "i int"), spark.createDataFrame([(2,), (3,)], "i int")
     assert [r.i for r in reports.fallback(a, b, []).collect()] == [1]
     assert sorted(r.i for r in reports.fallback(a.limit(0), b, []).collect()) == [2, 3]
+
+
+def test_fused_vectors_match_numpy(spark):
+    rng = np.random.default_rng(2)
+    groups = {"hot": rng.normal(0, 5, (301, 4)), "even": rng.integers(0, 3, (20, 4)).astype(float), "one": np.array([[1.5, -2, 0, 7]]), None: np.array([[1.0, 1, 1, 1], [2, 1, 1, 9]])}
+    rows = [(g, [float(x) for x in v]) for g, m in groups.items() for v in m]
+    df = spark.createDataFrame(rows + [("hot", None), ("gaps", [None, float("nan"), 3.0, None])], "g string, v array<double>")
+    for bins in (3, 1024):
+        got = {(r.g, r.at): (r.median, r.mean, r.fused) for r in vectors.fused(df.repartition(5), "g", "v", bins).collect()}
+        assert len(got) == 17 and got["gaps", 2] == (3.0, 3.0, 3.0)
+        for g, m in groups.items():
+            for at in range(4):
+                mid, mean = np.median(m[:, at]), m[:, at].mean()
+                assert got[g, at] == pytest.approx((mid, mean, 0.65 * mid + 0.35 * mean), abs=1e-9)
+
+
+def test_labels_carried_by_correlation(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 1, 16)
+    frames = [("v", i, [float(x) for x in (base if i % 3 else -base) + rng.normal(0, 0.3, 16)]) for i in range(40)] + [("v", 40, [1.0] * 16), ("v", 41, [1.0, 2.0]), ("w", 3, [2.0] * 16)]
+    df = spark.createDataFrame(frames, "video string, i long, e array<double>")
+    got = {(r.video, r.reference, r.target): r.correlation for r in vectors.propagated(df.where("i in (4, 20, 38, 40)"), df, "video", "i", "e", 6, 0.5, 2, df.where("i = 16"), 1).collect()}
+    by = {(v, i): np.array(e) for v, i, e in frames}
+    want = {}
+    for ref in (4, 20, 38):
+        for o in (-6, -4, -2, 2, 4, 6):
+            t = ref + o
+            if ("v", t) in by and len(by["v", t]) == 16 and abs(t - 16) > 1 and by["v", t].std() > 0:
+                r = np.corrcoef(by["v", ref], by["v", t])[0, 1]
+                if r >= 0.5:
+                    want["v", ref, t] = pytest.approx(r, abs=1e-9)
+    assert got == want and len(want) > 5
