@@ -59,7 +59,11 @@ def systematic(frames: DataFrame, index: str, source_fps: float, sample_fps: flo
     return kept if most is None else kept.orderBy(index).limit(most)
 
 
-def motion_aware(frames: DataFrame, index: str, motion: str, sparse: int, dense: int, low: float, high: float) -> DataFrame:
-    """Every `sparse`-th frame, and every `dense`-th one whose motion is within either bound."""
-    calm = (F.col(motion) <= low) | (F.col(motion) <= high)
-    return frames.where((F.col(index) % sparse == 0) | ((F.col(index) % dense == 0) & calm))
+def surest_order(confidence: str, ord: str) -> list[Column]:
+    """The final order of rows: by falling confidence (none comes last), equals as they came."""
+    return [F.desc_nulls_last(confidence), F.col(ord)]
+
+
+def surest_first(rows: DataFrame, confidence: str, ord: str) -> DataFrame:
+    """All rows in their final order, by a sort over ranges, so no task holds them all."""
+    return rows.orderBy(*surest_order(confidence, ord))

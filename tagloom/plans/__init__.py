@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import builtins, fusion, observations, readings, stages, vectors
+from . import builtins, fusion, observations, readings, stages, values, vectors
 from .registry import QUERIES, SQL
 
-__all__ = ["builtins", "fusion", "observations", "readings", "stages", "vectors", "oracle_sql", "queries"]
+__all__ = ["builtins", "fusion", "observations", "readings", "stages", "values", "vectors", "oracle_sql", "queries"]
 
 
 def queries():
