@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, payload, prices
 from ..functions.text import ABSENT, digits, has_value, output_value, text_of
 from . import votes
+from .steps import computed
 
 # Columns that read "absent" when nothing fills them, and columns that mirror a code's field.
 ABSENT_FIELDS = (
@@ -66,10 +67,12 @@ def fused(all_votes: DataFrame, group: str, columns: list[str]) -> DataFrame:
         if qr in columns and visible in columns:
             q, v = F.col(qr), F.col(visible)
             takes = (has_value(q) & ~has_value(v)) | (has_value(q) & has_value(v) & prices.qr_overrides(F.lit(qr), q, v))
-            rows = rows.withColumns({visible: F.when(takes, q).otherwise(v), qr: F.when(has_value(v) & ~has_value(q), v).otherwise(q)})
+            rows = computed(rows, **{visible: F.when(takes, q).otherwise(v), qr: F.when(has_value(v) & ~has_value(q), v).otherwise(q)})
     needed = ("price_default", "price1_qr", "price_card", "price4_qr", "product_name", "discount_amount", "price2_qr", "additional_info")
     got = prices.derived_fields({c: F.col(c) if c in columns else F.lit("") for c in needed})
-    rows = rows.withColumns({c: got[c] for c in ("discount_amount", "price2_qr", "additional_info") if c in columns})
+    for c in ("discount_amount", "price2_qr", "additional_info"):
+        if c in columns:
+            rows = computed(rows, **{c: got[c]})
     rows = rows.withColumns({c: F.when(has_value(F.col(c)), F.col(c)).otherwise(F.lit(ABSENT)) for c in ABSENT_FIELDS if c in columns})
     return rows.select(group, *[output_value(F.col(c)).alias(c) for c in columns])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, payload
 from ..functions.text import digits
+from .steps import computed
 
 CODE_FIELDS = ("barcode", "qr_code_barcode")
 # The keys under which cleaned payloads hold their fields.
@@ -37,22 +38,20 @@ def gated(symbols: DataFrame, known: DataFrame, require_checksum: bool = True) -
     `known` has one column `code`. A payload with fields loses an untrusted code and is rejected if nothing else is left; a bare one is rejected
     with its code. Symbols without a usable code aren't looked up.
     """
-    # Each step comes out of a generator, so that later filters don't repeat its expressions.
-    step = lambda d, **new: d.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
-    s = step(symbols, _f=payload.parse(F.col("payload")))
+    s = computed(symbols, _f=payload.parse(F.col("payload")))
     bare = F.size("_f") == 0
     given = F.when(bare, F.col("payload")).otherwise(F.coalesce(*[F.col("_f")[f] for f in CODE_FIELDS]))
-    s = step(s, _bare=bare, _made=codes.to_ean13(digits(F.coalesce(given, F.lit("")))))
-    s = step(s, _ok=codes.ean13_ok(F.col("_made")) if require_checksum else F.col("_made") != "")
+    s = computed(s, _bare=bare, _made=codes.to_ean13(digits(F.coalesce(given, F.lit("")))))
+    s = computed(s, _ok=codes.ean13_ok(F.col("_made")) if require_checksum else F.col("_made") != "")
     looked = s.where("_ok").join(known.select(F.col("code").alias("_made")).distinct().withColumn("_known", F.lit(True)), "_made", "left")
     s = looked.unionByName(s.where("not _ok").withColumn("_known", F.lit(None).cast("boolean")))
-    s = step(s, code=F.when(F.coalesce("_known", F.lit(False)), F.col("_made")).otherwise(F.lit("")))
+    s = computed(s, code=F.when(F.coalesce("_known", F.lit(False)), F.col("_made")).otherwise(F.lit("")))
     code = F.col("code")
     others = F.map_filter("_f", lambda k, v: ~k.isin(*CODE_FIELDS))
     trusted = F.map_filter("_f", lambda k, v: k.isin(*CODE_FIELDS) & (code != ""))
-    s = step(s, _kept=F.map_concat(others, F.transform_values(trusted, lambda k, v: code)))
+    s = computed(s, _kept=F.map_concat(others, F.transform_values(trusted, lambda k, v: code)))
     why = F.when(F.col("_made") == "", "no_usable_barcode_digits").when(~F.col("_ok"), "bad_ean13_checksum").when(code == "", "barcode_not_in_catalog").otherwise("")
-    s = step(s, reason=F.when(F.col("_bare"), why).when(F.size("_kept") == 0, "qr_payload_no_safe_fields").otherwise(""))
+    s = computed(s, reason=F.when(F.col("_bare"), why).when(F.size("_kept") == 0, "qr_payload_no_safe_fields").otherwise(""))
     field = F.when(code == "", "").when(F.col("_bare") & (F.col("symbol_type") == "barcode"), "barcode").otherwise("qr_code_barcode")
     clean = F.when(F.col("_bare"), code).otherwise(cleaned_payload(F.col("_kept")))
     return s.select(*symbols.columns, "code", field.alias("code_field"), F.when(F.col("reason") == "", clean).otherwise("").alias("clean"), "reason")

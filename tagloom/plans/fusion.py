@@ -14,7 +14,24 @@ from .registry import query
 COLUMNS = ["barcode", "qr_code_barcode", "price_default", "price_card", "price1_qr", "price2_qr", "price4_qr", "product_name", "discount_amount", "additional_info", "color"]
 
 
-@query()
+FUSED_SQL = f"""WITH {PAYLOADS_SQL}, named AS (SELECT payloads.*, p_partkey AS k, p_brand, p_name FROM payloads JOIN (SELECT p_partkey, p_brand, p_name FROM part) USING (p_partkey)),
+read AS (SELECT p_brand AS g, 'qr_code_barcode' AS f, code AS v, 3.0::DOUBLE + (k % 90) / 100.0::DOUBLE AS w, (1::BIGINT << 52) + k AS o FROM named
+  UNION ALL SELECT p_brand, 'price1_qr', CASE WHEN k % 4 = 2 THEN p_retailprice::VARCHAR ELSE printf('%.2f', p_retailprice) END, 3.0::DOUBLE + (k % 90) / 100.0::DOUBLE, (1::BIGINT << 52) + k FROM named WHERE k % 4 < 3
+  UNION ALL SELECT p_brand, 'price4_qr', printf('%.2f', p_retailprice * 0.8), 3.0::DOUBLE + (k % 90) / 100.0::DOUBLE, (1::BIGINT << 52) + k FROM named WHERE k % 4 = 0
+  UNION ALL SELECT p_brand, 'product_name', p_name, 1.0::DOUBLE + (k % 7) / 10.0::DOUBLE + (k % 11) / 11.0::DOUBLE, (2::BIGINT << 52) + k FROM named
+  UNION ALL SELECT p_brand, 'price_card', '99,50', 1.0::DOUBLE + 0.5::DOUBLE + (k % 11) / 11.0::DOUBLE, (2::BIGINT << 52) + k FROM named WHERE k % 2 = 0
+  UNION ALL SELECT p_brand, 'color', 'red', 0.7::DOUBLE, (3::BIGINT << 52) + k FROM named WHERE k % 3 = 0),
+sums AS (SELECT g, f, lower(v) AS n, sum(w::DECIMAL(24,6)) AS w, min(o) AS o, arg_min(v, o) AS v FROM read GROUP BY g, f, lower(v)),
+won AS (SELECT g, f, arg_max(v, (w, -o)) AS v FROM sums GROUP BY g, f),
+wide AS (SELECT g, max(v) FILTER (WHERE f = 'qr_code_barcode') AS code, max(v) FILTER (WHERE f = 'price1_qr') AS p1, max(v) FILTER (WHERE f = 'price4_qr') AS p4, max(v) FILTER (WHERE f = 'product_name') AS name,
+  max(v) FILTER (WHERE f = 'price_card') AS card, max(v) FILTER (WHERE f = 'color') AS color FROM won GROUP BY g),
+both_ways AS (SELECT *, coalesce(card, p4, '') AS price_card, coalesce(p4, card, '') AS price4_qr FROM wide),
+amounts AS (SELECT *, p1::DECIMAL(18,4) AS d, nullif(replace(price_card, ',', '.'), '')::DECIMAL(18,4) AS c FROM both_ways)
+SELECT g AS p_brand, code AS barcode, code AS qr_code_barcode, p1 AS price_default, price_card, p1 AS price1_qr, printf('%.2f', round_even(d::DOUBLE * 0.95, 0) - 0.01) AS price2_qr, price4_qr, name AS product_name,
+  CASE WHEN d > c AND trunc((d - c)::DOUBLE / d::DOUBLE * 100.0) BETWEEN 1 AND 99 THEN '-' || trunc((d - c)::DOUBLE / d::DOUBLE * 100.0)::INT || '%' ELSE '' END AS discount_amount, 'нет' AS additional_info, coalesce(color, 'нет') AS color FROM amounts"""
+
+
+@query(FUSED_SQL)
 def fused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads, text readings and colors of a brand's parts voted into one row."""
     p = payloads(spark, sf_dir)
