@@ -149,6 +149,15 @@ def manifest(sampled: DataFrame, group: str, index: str, time: str) -> DataFrame
     )
 
 
+def listed(sampled: DataFrame, group: str, index: str, block: int = 100_000) -> DataFrame:
+    """The sampled frames with their `place` (from 1) in their group: counted by blocks of numbers first, so that no task orders a whole video."""
+    d = sampled.withColumn("_block", F.floor(F.col(index) / block))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(group, "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    d = d.join(per, [group, "_block"]).withColumn("_in", F.row_number().over(Window.partitionBy(group, "_block").orderBy(index)))
+    return d.withColumn("place", (F.col("_before") + F.col("_in")).cast("int")).drop("_block", "_n", "_before", "_in")
+
+
 def frames_at(targets: DataFrame, frames: DataFrame, on: str, index: str) -> DataFrame:
     """Targets with their frame, by number; those outside their video's frames have status `out_of_range`, missing ones `missing`."""
     bounds = frames.groupBy(on).agg(F.max(index).alias("_most"))

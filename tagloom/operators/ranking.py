@@ -31,6 +31,11 @@ def capped(df: DataFrame, group: list[str], order: list[Column], per_group: int,
     return top_k(df, group, order, per_group).drop("rank").orderBy(*order).limit(total)
 
 
+def selected(df: DataFrame, group: list[str], order: list[Column], per_group: int, total: int, then: list[Column]) -> DataFrame:
+    """The rows of `capped` with their `place` in a last order, that of frames; as many rows as `total` at most are put in it."""
+    return capped(df, group, order, per_group, total).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*then)))
+
+
 def runner_up(df: DataFrame, group: list[str], score: str, key: str) -> DataFrame:
     """`group`, best key, best score, margin to the second (null if alone)."""
     w = Window.partitionBy(*group).orderBy(F.desc(score), F.col(key))

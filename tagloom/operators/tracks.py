@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..storage import stored
 from .components import connected_components
 
 
@@ -68,10 +69,29 @@ def renamed(rows: DataFrame, slots: DataFrame, track: str) -> DataFrame:
     return j.withColumns({"source_track_id": F.col(track), track: F.coalesce("slot", F.col(track).cast("string"))}).drop("_old", "slot")
 
 
-def associate(detections: DataFrame, group: str, schema: str, max_gap_ms: int = 2500, least_score: float = 0.18) -> DataFrame:
+def segments(detections: DataFrame, group: str, max_gap_ms: int, rows: int = 50_000) -> DataFrame:
+    """Adds `_segment`, rising with time in each group: parts of about so many rows, between which no track lives on, as more than the gap lies there.
+
+    Times are gathered in buckets as wide as the gap, within which nothing is cut; only buckets are put in order. A group with a detection
+    without a time stays whole, since such tracks never end.
+    """
+    time = F.coalesce(F.col("timestamp_ms"), F.col("frame_index")).cast("long")
+    d = detections.withColumn("_bucket", F.floor(time / max(max_gap_ms, 1)))
+    per = d.groupBy(group, "_bucket").agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"), F.max(F.col("timestamp_ms").isNull()).alias("_timeless"), F.count("*").alias("_n"))
+    w = Window.partitionBy(group).orderBy("_bucket")
+    cut = (F.col("_lo") - F.lag("_hi").over(w) > max_gap_ms) & ~F.max("_timeless").over(Window.partitionBy(group))
+    # A cut begins a new part if the rows before it have filled the last one.
+    per = per.withColumns({"_cut": F.coalesce(cut, F.lit(False)), "_before": F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    filled = F.max(F.when(F.col("_cut"), F.floor(F.col("_before") / rows)).otherwise(F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    per = per.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), filled.alias("_segment"))
+    return d.join(per, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b"))).drop("_g", "_b", "_bucket")
+
+
+def associate(detections: DataFrame, group: str, schema: str, max_gap_ms: int = 2500, least_score: float = 0.18, rows: int = 50_000) -> DataFrame:
     """detection_id and track of each detection, in order of time, frame and falling confidence: the best open track of its group, or a new one.
 
-    The rule depends on order, so one task runs a whole group (a video). Columns: detection_id, timestamp_ms, frame_index, confidence, x_min, y_min, x_max, y_max.
+    The rule depends on order, but nothing outlives a gap: a group (a video) is cut there and its segments run in tasks of their own. Tracks are
+    numbered in each segment and moved on by the number of tracks before it. Columns: detection_id, timestamp_ms, frame_index, confidence, x_min, y_min, x_max, y_max.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -79,9 +99,15 @@ def associate(detections: DataFrame, group: str, schema: str, max_gap_ms: int =
         part = in_time_order(part)
         for d in part.itertuples():
             out.append(open_tracks.take(d))
-        return pd.DataFrame({group: [key[0]] * len(part), "detection_id": part["detection_id"].to_numpy(), "track": out})
-
-    return detections.groupBy(group).applyInPandas(run, schema)
+        return pd.DataFrame({group: [key[0]] * len(part), "detection_id": part["detection_id"].to_numpy(), "track": out, "_segment": [key[1]] * len(part)})
+
+    cut = segments(detections, group, max_gap_ms, rows)
+    found = stored(cut.groupBy(group, "_segment").applyInPandas(run, f"{schema}, _segment long"), "segments")
+    per = found.groupBy(group, "_segment").agg((F.max("track") + 1).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col(group).alias("_g"), F.col("_segment").alias("_s"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    j = found.join(per, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_segment") == F.col("_s")))
+    return j.select(group, "detection_id", (F.col("track") + F.col("_before")).alias("track"))
 
 
 def in_time_order(part: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions import reading as R
 from ..functions.text import has_value
 from ..operators import crops as K
-from ..operators import gate, grouping, price_blocks, reports, score, spatial, symbols, tracks
+from ..operators import gate, grouping, price_blocks, ranking, reports, score, spatial, symbols, tracks
 from ..sources.tables import CODES_SQL, DETECTIONS_SQL, codes, detections, ean_ok_sql, load
 from ..storage import stored
 from .observations import GAP, HOUR, IOU, TRACKS_SQL, track_table
@@ -647,3 +647,25 @@ def default_kopecks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("detection_id")
     b = detections(spark, sf_dir).select("track_id", i.alias("ord"), F.col("quality").alias("rel_y"), F.when(i % 3 == 0, F.concat(F.lit("ц "), (i % 90 + 10).cast("string"))).otherwise(F.lit("1234 %")).alias("text"))
     return price_blocks.default_kopecks(b, "track_id", 0.3, "99")
+
+
+@query(
+    f"""{WITH}, best AS (SELECT * FROM detections WHERE quality >= 0.3 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY quality DESC, confidence DESC, detection_id) <= 3),
+chosen AS (SELECT * FROM best ORDER BY quality DESC, confidence DESC, detection_id LIMIT 400) SELECT track_id, detection_id, row_number() OVER (ORDER BY timestamp_ms, detection_id)::INT AS place FROM chosen"""
+)
+def selected_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best crops of each track, four hundred in all, in the order of frames (the caps are the operator)."""
+    order = [F.desc("quality"), F.desc("confidence"), F.col("detection_id")]
+    d = detections(spark, sf_dir).where("quality >= 0.3")
+    return ranking.selected(d, ["track_id"], order, 3, 400, [F.col("timestamp_ms"), F.col("detection_id")]).select("track_id", "detection_id", "place")
+
+
+@query(
+    f"""{WITH}, f AS (SELECT video, detection_id AS i, timestamp_ms, CASE WHEN detection_id % 10 = 0 THEN NULL ELSE quality * 60 END AS motion FROM detections)
+SELECT video, row_number() OVER (PARTITION BY video ORDER BY i)::INT AS place, i AS frame_index, timestamp_ms, CASE WHEN i % 30 = 0 THEN 'sparse' ELSE 'dense' END AS tick FROM f WHERE i % 30 = 0 OR (i % 6 = 0 AND (motion IS NULL OR motion <= 24.0))"""
+)
+def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's list: each frame that motion sampling takes, with its number, time and rhythm."""
+    i = F.col("detection_id")
+    f = detections(spark, sf_dir).select("video", i.alias("frame_index"), "timestamp_ms", F.when(i % 10 == 0, F.lit(None).cast("double")).otherwise(F.col("quality") * 60).alias("motion"))
+    return K.listed(K.motion_sampled(f, "frame_index", "motion", 30.0, 5.0, 1.0), "video", "frame_index").select("video", "place", "frame_index", "timestamp_ms", "tick")

@@ -69,8 +69,9 @@ def test_queue_runs_each_job_once(spark, tmp_path):
         q = jobs.run_queue(spark, str(inbox), str(out), str(tmp_path / "ck"), lambda df: df.withColumn("message", F.col("payload")))
         assert jobs.poll(q, 0.2, 60) == "done"
     assert sorted(tuple(r) for r in spark.read.json(str(out)).select("job_id", "status", "message").collect()) == [("a", "done", "1"), ("b", "done", "2")]
-    bad = jobs.run_queue(spark, str(inbox), str(tmp_path / "out2"), str(tmp_path / "ck2"), lambda df: df.select("none"))
+    bad = jobs.run_queue(spark, str(inbox), str(tmp_path / "out2"), str(tmp_path / "ck2"), lambda df: df.select("none"), str(tmp_path / "log"))
     assert jobs.poll(bad, 0.2, 60) == "done" and {r.status for r in spark.read.json(str(tmp_path / "out2")).collect()} == {"failed"}
+    assert {(r.job_id, r.status, tuple(r.steps)) for r in jobs.states(spark, str(tmp_path / "log")).collect()} == {(j, "failed", ("queued", "processing", "failed")) for j in "ab"}
 
 
 def test_points_numbers_checks_and_lines(spark):

@@ -397,3 +397,27 @@ def test_labels_carried_by_correlation(spark):
                 if r >= 0.5:
                     want["v", ref, t] = pytest.approx(r, abs=1e-9)
     assert got == want and len(want) > 5
+
+
+def test_tracker_on_cut_streams_equals_one_run(spark):
+    import pandas as pd
+
+    rng = random.Random(6)
+    rows, t = [], 0
+    for i in range(300):
+        t += rng.choice([0, 100, 400, 2499, 2500, 2501, 6000]) if i else 0
+        x, y = rng.randrange(3) * 60, rng.randrange(2) * 50
+        rows.append(("v" if i % 3 else "w", i, t, i, rng.random(), x, y, x + 100, y + 80))
+    rows += [("n", 1000 + i, None if i == 4 else i * 4000, i, 0.5, 0, 0, 100, 80) for i in range(8)] + [(None, 2000, 5, 1, 0.5, 0, 0, 9, 9)]
+    columns = "video string, detection_id long, timestamp_ms long, frame_index long, confidence double, x_min int, y_min int, x_max int, y_max int"
+    df = spark.createDataFrame(rows, columns)
+    want = {}
+    for video in ("v", "w", "n", None):
+        one = tracks.OpenTracks(2500, 0.18)
+        part = pd.DataFrame([r for r in rows if r[0] == video], columns=[c.split()[0] for c in columns.split(", ")])
+        want |= {d.detection_id: one.take(d) for d in tracks.in_time_order(part).itertuples()}
+    for most in (1, 30, 50_000):
+        got = {r.detection_id: r.track for r in tracks.associate(df, "video", "video string, detection_id long, track long", rows=most).collect()}
+        assert got == want
+        cuts = {r.video: r.n for r in tracks.segments(df, "video", 2500, most).groupBy("video").agg(F.countDistinct("_segment").alias("n")).collect()}
+        assert cuts["n"] == 1 and (cuts["v"] > 20 if most == 1 else 2 <= cuts["v"] < 20 if most == 30 else cuts["v"] == 1)
