@@ -312,12 +312,10 @@ def associate_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def assign_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimal assignment of probe tracks to gallery tracks of the same video and day by overlap."""
-    a, b = _boxes(spark, sf_dir, 0, "probe"), _boxes(spark, sf_dir, 1, "found")
-    group = lambda df: df.withColumn("cell", F.concat_ws(":", "video", F.expr("day div 4")))
-    p = spatial.iou_pairs(group(a), group(b), "cell", "probe", "found", "bbox", CELL, 0.18)
-    p = p.withColumn("score", 240 + 220 * F.col("iou"))
-    return assign.optimal(p, "cell", "probe", "found", "score", 70.0, 2.0).select("cell", "probe", "found")
+    """Optimal assignment of all probe tracks to the gallery tracks of their video by overlap, with what tracks cover besides."""
+    p = spatial.iou_pairs(_boxes(spark, sf_dir, 0, "probe"), _boxes(spark, sf_dir, 1, "found"), "video", "probe", "found", "bbox", CELL, 0.18)
+    p = p.withColumn("score", F.when(F.col("iou") >= 0.5, 240 + 220 * F.col("iou")).otherwise(70 + 150 * F.col("iou")))
+    return assign.assigned(p, "video", "probe", "found", "score", "iou").select("video", "probe", "found", "split")
 
 
 @query(f"{WITH}, per AS (SELECT (track_id // 100) % 10 AS shelf, detection_id FROM detections) SELECT shelf, count(*) AS n, min(detection_id) AS first FROM per GROUP BY shelf")

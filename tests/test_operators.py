@@ -72,11 +72,39 @@ def test_optimal_assignment_matches_brute_force():
     assert assign.hungarian(np.zeros((0, 3))) == []
 
 
+def test_sparse_matching_matches_brute_force():
+    rng = random.Random(12)
+    for n, m, share in [(1, 1, 1.0), (3, 5, 0.6), (5, 3, 0.6), (5, 5, 1.0), (6, 6, 0.4), (4, 2, 0.9)]:
+        for _ in range(25):
+            rows = [[(c, rng.choice([-4.0, 1.0, 2.5, 7.0, rng.uniform(0, 9)])) for c in range(m) if rng.random() < share] for _ in range(n)]
+            taken = assign.sparse_matching(rows, m)
+            used = [c for c in taken if c >= 0]
+            assert len(used) == len(set(used))
+            got = sum(dict(rows[r])[c] for r, c in enumerate(taken) if c >= 0)
+            weight = [dict(row) for row in rows]
+            best = max(sum(max(0.0, weight[r].get(c, 0.0)) if c < m else 0.0 for r, c in enumerate(p)) for p in itertools.permutations(range(m + n), n))
+            assert got == pytest.approx(best)
+
+
 def test_assignment_is_one_to_one(spark):
-    pairs = [("v", "t1", "e1", 300.0), ("v", "t1", "e2", 100.0), ("v", "t2", "e1", 290.0), ("v", "t2", "e2", 280.0), ("v", "t3", "e1", 20.0)]
+    pairs = [("v", "t1", "e1", 300.0), ("v", "t1", "e2", 100.0), ("v", "t2", "e1", 290.0), ("v", "t2", "e2", 280.0), ("v", "t3", "e1", 20.0), ("w", "t1", "e1", 5.0), ("w", "t9", "e8", -3.0)]
     df = spark.createDataFrame(pairs, "video string, t string, e string, score double")
-    got = {(r.t, r.e) for r in assign.optimal(df, "video", "t", "e", "score", 70.0, -1e9).collect()}
-    assert got == {("t1", "e1"), ("t2", "e2")}
+    got = {(r.video, r.t, r.e) for r in assign.optimal(df, "video", "t", "e", "score").collect()}
+    assert got == {("v", "t1", "e1"), ("v", "t2", "e2"), ("w", "t1", "e1")}
+
+
+def test_assignments_are_accepted_by_overlap_or_lead_and_split(spark):
+    pairs = [
+        ("v", 1, 1, 400.0, 0.7), ("v", 1, 2, 390.0, 0.65),  # the same track covers two entries
+        ("v", 2, 3, 100.0, 0.3), ("v", 2, 4, 99.0, 0.2),  # leads by one only
+        ("v", 3, 5, 100.0, 0.3), ("v", 3, 6, 97.0, 0.2),  # by three: enough where boxes meet
+        ("v", 4, 7, 100.0, 0.1), ("v", 4, 8, 95.0, 0.1),  # by five: not enough where they don't
+        ("v", 5, 9, 60.0, 0.2), ("u", 1, 1, 71.0, 0.0),
+    ]
+    df = spark.createDataFrame(pairs, "video string, t long, e long, score double, iou double")
+    got = {(r.video, r.t, r.e, r.split) for r in assign.assigned(df, "video", "t", "e", "score", "iou").collect()}
+    assert got == {("v", 1, 1, False), ("v", 1, 2, True), ("v", 3, 5, False), ("u", 1, 1, False)}
+    assert {r.e for r in assign.assigned(df, "video", "t", "e", "score", "iou", split=False).collect()} == {1, 5}
 
 
 def one_by_one(edges):

@@ -68,17 +68,19 @@ def test_evaluation_takes_every_order(spark):
 
     want = set()
     for video, left in p.groupby("video"):
-        right, edges = t[t.video == video], []
-        for a in left.itertuples():
-            for b in right.itertuples():
-                if a.code and a.code == b.code:
-                    edges.append((True, 1.0, a.pred_id, b.truth_id))
-                if (x := iou(a.bbox, b.bbox)) >= 0.5:
-                    edges.append((False, x, a.pred_id, b.truth_id))
-        seen_a, seen_b = set(), set()
-        for _, _, a, b in sorted(edges, key=lambda e: (-e[0], -e[1], e[2], e[3])):
-            if a not in seen_a and b not in seen_b:
-                seen_a.add(a), seen_b.add(b), want.add((video, a, b))
+        right, taken = t[t.video == video].sort_values("truth_id"), set()
+        first = {}
+        for b in right.itertuples():
+            first.setdefault(b.code, b.truth_id)
+        for a in left.sort_values("pred_id").itertuples():  # one after the other
+            if a.code and first.get(a.code, -1) not in (-1, *taken):
+                found = first[a.code]
+            else:
+                near = [(-x, b.truth_id) for b in right.itertuples() if b.truth_id not in taken and (x := iou(a.bbox, b.bbox)) >= 0.5]
+                found = min(near)[1] if near else None
+            if found is not None:
+                taken.add(found)
+                want.add((video, a.pred_id, found))
     got = plans.queries()["evaluate_greedy_match"](spark, SF).collect()
     assert {(r.video, r.pred_id, r.truth_id) for r in got} == want
 
