@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the
 shared folder and read again as the next stage's docs.
+
+Defined cases, for all stages: columns of other names pass through all but the last, also names that an operator uses. An
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,22 +16,22 @@ from tagloom.storage import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; null, empty and very short texts among them. A null language isn't judged by distances. Repeated rows share their fate."""
     return quality.keep_good(docs, quality.PRODUCTION)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the least doc_id; a null doc_id comes after all others. Texts without words all stay."""
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat as often as their source's target weight asks."""
+    """Documents repeat as often as their source's target weight asks; null sources and others that aren't listed are mixed as one. Equal doc_ids draw alike."""
     return mixing.mixed(docs, mixing.PRODUCTION)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place in a training sequence."""
+    """Every document's place in a training sequence; a very long one is cut over several, a null or empty text has its end token alone."""
     return packing.pack(docs)
 
 
