@@ -64,3 +64,16 @@ def test_stages_take_and_return_documents(spark, table):
         assert stage(spark, docs.limit(0), folder).columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "mixing sources", "best-fit packing"]
     assert ngram_join.ForestRules().words == 5 and ngram_join.ForestRules().similarity == 0.8
+
+
+def test_an_empty_table_and_clashing_names_go_through(spark, table, tmp_path):
+    folder, docs = table
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    odd = df.where("doc_id in (3, 303, 500, 501)").selectExpr("*", "1 as kept", "'k' as key", "2 as copy", "cast(null as string) as rate", "3 as class_id", "4 as sequence")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns, name
+        assert all((r.kept, r.key, r.copy, r.rate, r.class_id, r.sequence) == (1, "k", 2, None, 3, 4) for r in out.collect()), name
+    assert corpus_pipeline.pack_sequences(spark, odd, folder).count() == 4

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_queries_match_their_sql(spark, name):
     got = Q.queries()[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(Q.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
