@@ -12,7 +12,7 @@ from tagloom import plans
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 
 def as_rows(df):
