@@ -25,10 +25,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tagloom/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: its lineage ends here."""
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """The frame written as Parquet to the shared folder and read again: its lineage ends here. `compression`: zstd halves long texts, at more work."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
