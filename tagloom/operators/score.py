@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prices import prices_equal
 from ..functions.text import STRICT_EMPTY_WORDS, digits, first_digits, has_value, output_value
+from . import assign
 from .evaluate import token_sort_ratio
 
 # Weights of agreeing fields.
@@ -93,3 +94,11 @@ def best_entries(scored: DataFrame, row: str, entry: str) -> DataFrame:
     j = g.join(second, row, "left")
     ok = row_accepted(F.col("_b.score"), F.col("_second"), F.col("_b.same_file"), F.col("_b.iou"))
     return j.select(row, (-F.col("_b.e")).alias(entry), F.col("_b.score").alias("score"), ok.alias("accepted"))
+
+
+def resolved(scored: DataFrame, row: str, entry: str, least: float = 45.0, least_iou: float = 0.18) -> DataFrame:
+    """row, entry, score, iou, margin: rows in their order and the entries that they take, each used once. `scored`: row, entry, score, same_file, iou."""
+    strong = F.col("same_file") & (F.col("iou") >= least_iou)
+    accepts = row_accepted(F.col("score"), F.col("_second"), F.col("same_file"), F.col("iou"), least, least_iou=least_iou)
+    out = assign.used_up(scored.select(row, entry, "score", "same_file", "iou"), row, entry, "score", strong | (F.col("score") >= least), accepts)
+    return out.select(row, entry, "score", "iou", (F.col("score") - F.col("_second")).alias("margin"))

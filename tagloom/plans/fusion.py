@@ -170,3 +170,32 @@ def recognised_best_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir)
     s = fuse.recognition_score(F.col("label") == "purchase", F.col("label") == "view", F.col("label") == "click", F.col("label"), F.col("detection_id") % 3, F.col("quality"), F.lit(9600))
     return d.withColumn("s", s).groupBy("track_id").agg(F.max_by("detection_id", F.struct("s", "quality", -F.col("detection_id"))).alias("detection_id"), F.round(F.max("s"), 4).alias("score"))
+
+
+@query(
+    """WITH RECURSIVE made AS (SELECT p_partkey AS k, p_partkey // 20 AS f, repeat(chr(65 + (p_partkey % 8)::INT), 6 + (p_partkey % 5)::INT) AS name, CASE WHEN p_partkey % 3 = 0 THEN ((p_partkey // 20) * 1000 + 100 + (p_partkey * 3) % 7)::VARCHAR ELSE '' END AS code,
+  CASE WHEN p_partkey % 2 = 0 THEN ((p_partkey // 20) * 1000 + 100 + p_partkey % 7)::VARCHAR ELSE '' END AS known, 10 + p_partkey % 7 AS price, 10 + p_partkey % 9 AS listed, (p_partkey * 13) % 900 AS x, (p_partkey * 29) % 900 AS ex FROM part),
+met AS (SELECT a.k AS t, b.k AS e, a.f, greatest(0, 120 - abs(a.x - b.ex)) / (240 - greatest(0, 120 - abs(a.x - b.ex)))::DOUBLE AS iou, CASE WHEN left(a.name, 1) = left(b.name, 1) THEN 2 * least(length(a.name), length(b.name)) / (length(a.name) + length(b.name))::DOUBLE ELSE 0 END AS r,
+  a.code <> '' AND a.code = b.known AS coded, a.price = b.listed AS priced FROM made a JOIN made b USING (f)),
+scored AS (SELECT t, e, f, iou, 8 + CASE WHEN iou >= 0.18 THEN 35 + 80 * iou ELSE 0 END + CASE WHEN coded THEN 110 ELSE 0 END + CASE WHEN priced THEN 36 ELSE 0 END + CASE WHEN r >= 0.55 THEN 35 * r ELSE 0 END AS s FROM met),
+turns AS (SELECT f, t, row_number() OVER (PARTITION BY f ORDER BY t) AS turn, wishes FROM (SELECT f, t, list({'e': e, 's': s, 'iou': iou} ORDER BY s DESC, e) AS wishes FROM scored GROUP BY f, t)),
+walk AS (SELECT f, 0::BIGINT AS turn, []::BIGINT[] AS used, NULL::BIGINT AS t, NULL::BIGINT AS e, NULL::DOUBLE AS s, NULL::DOUBLE AS iou, NULL::DOUBLE AS margin FROM (SELECT DISTINCT f FROM turns)
+  UNION ALL SELECT f, turn, CASE WHEN ok THEN list_append(used, b.e) ELSE used END, t, CASE WHEN ok THEN b.e END, b.s, b.iou, b.s - second FROM (
+    SELECT *, CASE WHEN b IS NULL THEN FALSE WHEN b.iou >= 0.18 THEN b.iou >= 0.5 OR b.s - second >= 2 ELSE b.s >= 45 AND b.s - second >= 8 END AS ok FROM (
+      SELECT f, turn, used, t, free[1] AS b, coalesce(free[2].s, 0) AS second FROM (SELECT turns.f, turns.turn, w.used, turns.t, list_filter(wishes, lambda x: NOT list_contains(w.used, x.e)) AS free FROM walk w JOIN turns ON turns.f = w.f AND turns.turn = w.turn + 1))))
+SELECT t, e, round(s, 4)::DOUBLE AS score, round(margin, 4)::DOUBLE AS margin FROM walk WHERE e IS NOT NULL"""
+)
+def resolved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that take entries of their file, one after the other, each entry once, if their score or overlap leads enough."""
+    k = F.col("p_partkey")
+    file = F.expr("p_partkey div 20")
+    code = lambda when, n: F.when(when, (file * 1000 + 100 + n).cast("string")).otherwise(F.lit(""))
+    name = F.repeat(F.char(65 + k % 8), (6 + k % 5).cast("int"))
+    p = load(spark, sf_dir, "part")
+    left = p.select(file.alias("f"), k.alias("t"), name.alias("t_product_name"), code(k % 3 == 0, k * 3 % 7).alias("t_barcode"), (10 + k % 7).cast("string").alias("t_price_card"), (k * 13 % 900).alias("x"))
+    right = p.select(file.alias("f"), k.alias("e"), name.alias("e_product_name"), code(k % 2 == 0, k % 7).alias("e_barcode"), (10 + k % 9).cast("string").alias("e_price_card"), (k * 29 % 900).alias("ex"))
+    shared = F.greatest(F.lit(0), 120 - F.abs(F.col("x") - F.col("ex")))
+    blank = ("qr_code_barcode", "id_sku", "price_default", "price1_qr", "price2_qr", "price4_qr", "discount_amount", "color", "special_symbols")
+    j = left.join(right, "f").withColumns({**{f"{s}_{f}": F.lit("") for s in "te" for f in blank}, "iou": shared / (240 - shared), "same_file": F.lit(True)})
+    scored = j.select("t", "e", "same_file", "iou", F.inline(F.array(score.row_score(F.col("same_file"), F.col("iou"))))).drop("reasons")
+    return score.resolved(scored, "t", "e").select("t", "e", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, reports, resolve, spatial, symbols, tracks, vectors, votes
+from tagloom.operators import assign, evaluate, gate, nms, price_blocks, ranking, reports, resolve, score, spatial, symbols, tracks, vectors, votes
 from tagloom.operators.components import connected_components, contracted_components
 
 BOX = "struct<x_min:int,y_min:int,x_max:int,y_max:int>"
@@ -449,3 +449,23 @@ def test_tracker_on_cut_streams_equals_one_run(spark):
         assert got == want
         cuts = {r.video: r.n for r in tracks.segments(df, "video", 2500, most).groupBy("video").agg(F.countDistinct("_segment").alias("n")).collect()}
         assert cuts["n"] == 1 and (cuts["v"] > 20 if most == 1 else 2 <= cuts["v"] < 20 if most == 30 else cuts["v"] == 1)
+
+
+def test_entries_are_used_up_in_the_order_of_rows(spark):
+    rng = random.Random(10)
+    rows = [(r, e, float(rng.choice([3, 8, 44, 46, 60, 61, 70, 90]) + rng.randrange(3)), rng.random() < 0.9, rng.choice([0.0, 0.1, 0.2, 0.3, 0.6])) for r in range(60) for e in rng.sample(range(45), 6)]
+    rows += [(100 + i, 100 + j, 50.0 + j, True, 0.0) for i in range(6) for j in (i, i + 1)]  # each decision moves the next
+    df = spark.createDataFrame(rows, "r int, e int, score double, same_file boolean, iou double")
+    used, want = set(), set()
+    for r in sorted({x[0] for x in rows}):
+        free = sorted([(-s, e, same, o) for a, e, s, same, o in rows if a == r and e not in used])
+        if not free:
+            continue
+        s, (_, e, same, o), second = -free[0][0], free[0], -free[1][0] if len(free) > 1 else 0.0
+        ok = (o >= 0.5 or s - second >= 2) if same and o >= 0.18 else s >= 45 and s - second >= 8
+        if ok:
+            used.add(e)
+            want.add((r, e, s, s - second))
+    got = {(x.r, x.e, x.score, x.margin) for x in score.resolved(df, "r", "e").collect()}
+    assert got == want and len(want) > 15
+    assert score.resolved(df.limit(0), "r", "e").collect() == []
