@@ -204,7 +204,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), carry: list[str
     if carry is not None:
         places = [column_index(docs, c) for c in carry]
         boxes = only_boxed(boxes, places)
-    d = stored(_measured(boxes, rules.window).drop("k_text"), "quality")
+    d = stored(_measured(boxes, rules.window).drop("k_text"), "quality", "zstd")
     d = d.withColumns({"_c": _shares("chars"), "_w": _shares("common")})
     words, chars = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
     far, odd = F.lit(None).cast("double"), F.lit(None).cast("double")
