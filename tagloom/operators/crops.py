@@ -134,6 +134,28 @@ def candidate_score(f: dict[str, Column], aspect: tuple[float, float] = (1.5, 9.
     return F.greatest(F.lit(0.0), F.least(total, F.lit(1.0)))
 
 
+def rejection_reason(f: dict[str, Column], area: tuple[float, float] = (0.00008, 0.12), aspect: tuple[float, float] = (1.5, 9.5), least_rectangularity: float = 0.32) -> Column:
+    """Why a region can't be a tag, the first reason that holds; empty if it may be one. Bounds themselves pass."""
+    return (
+        F.when(f["area_ratio"] < area[0], "area_too_small")
+        .when(f["area_ratio"] > area[1], "area_too_large")
+        .when(f["aspect_ratio"] < aspect[0], "aspect_ratio_too_small")
+        .when(f["aspect_ratio"] > aspect[1], "aspect_ratio_too_large")
+        .when(f["rectangularity"] < least_rectangularity, "low_rectangularity")
+        .otherwise("")
+    )
+
+
+def orientation(mode: Column) -> Column:
+    """struct(mode, warning): none given turns by 90 degrees counterclockwise, an unknown one doesn't turn and is warned of."""
+    given = F.trim(F.coalesce(mode, F.lit("")))
+    known = given.isin("none", "rotate_90_cw", "rotate_90_ccw", "rotate_180")
+    missing = F.coalesce(mode, F.lit("")) == ""
+    chosen = F.when(known, given).when(missing, "rotate_90_ccw").otherwise("none")
+    warning = F.when(known | missing, "").otherwise(F.concat(F.lit("Unknown orientation_mode '"), mode, F.lit("'. Falling back to 'none'.")))
+    return F.struct(chosen.alias("mode"), warning.alias("warning"))
+
+
 def motion_sampled(frames: DataFrame, index: str, motion: str, fps: float, dense_fps: float, sparse_fps: float, low: float = 7.5, high: float = 24.0) -> DataFrame:
     """Frames of the sparse rhythm, and those of the dense one that move little (no motion known counts as little), with `tick`."""
     step = lambda rate: max(int(round(fps / rate)), 1)

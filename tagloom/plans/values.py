@@ -156,3 +156,16 @@ def layout_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     e = labels.layout_entries(rows)
     return e.select("k", F.col("filename_keys")[0].alias("path"), F.element_at("filename_keys", 4).alias("near"), F.coalesce("bbox.x_min", F.lit(-1.0)).alias("x_min"), F.coalesce("shelf_band", F.lit(-1)).alias("shelf_band"), F.col("timestamp_ms").alias("at_ms"))
+
+
+@query(
+    f"""WITH {DETECTIONS_SQL}, f AS (SELECT detection_id AS i, (x_max - x_min) * (y_max - y_min) / 2073600::DOUBLE * (1 + detection_id % 40) AS area, (x_max - x_min) * (1 + detection_id % 7) / (2.0 * (y_max - y_min))::DOUBLE AS aspect, quality AS q FROM detections)
+SELECT i AS detection_id, CASE WHEN area < 0.006 THEN 'area_too_small' WHEN area > 0.2 THEN 'area_too_large' WHEN aspect < 1.5 THEN 'aspect_ratio_too_small' WHEN aspect > 4.5 THEN 'aspect_ratio_too_large' WHEN q < 0.32 THEN 'low_rectangularity' ELSE '' END AS reason,
+  CASE i % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'rotate_90_ccw' WHEN 2 THEN 'rotate_180' WHEN 3 THEN 'none' ELSE 'rotate_90_cw' END AS mode, CASE i % 5 WHEN 3 THEN 'Unknown orientation_mode ''upside''. Falling back to ''none''.' ELSE '' END AS warning FROM f"""
+)
+def rejected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why regions of pictures can't be tags, and how their pictures are turned."""
+    i, b = F.col("detection_id"), F.col("bbox")
+    f = {"area_ratio": G.area(b) / 2_073_600.0 * (1 + i % 40), "aspect_ratio": G.width(b) * (1 + i % 7) / (2.0 * G.height(b)), "rectangularity": F.col("quality")}
+    mode = F.when(i % 5 == 0, "none").when(i % 5 == 2, " rotate_180").when(i % 5 == 3, "upside").when(i % 5 == 4, "rotate_90_cw").when(i % 10 == 1, "")
+    return detections(spark, sf_dir).select(i, K.rejection_reason(f, (0.006, 0.2), (1.5, 4.5)).alias("reason"), F.inline(F.array(K.orientation(mode))))
