@@ -6,7 +6,8 @@ keeps the least and greatest doc_id per stripe and row group, and a Bloom filter
 readers take stripes in parallel and skip those that cannot hold a document.
 
 A tokenizer whose definition shows that it never joins across white space (see `splits_at_space`) encodes each
-different word of a worker once, and the ids of a text are those of its words in order. Every task first
+different word of a worker once, and the ids of a text are those of its words in order. Words of small Latin letters, which its
+normalizer and cuts leave as they are, go to its model without them. Every worker first
 compares both ways on texts made for it. Any other tokenizer encodes whole texts.
 
 Defined cases: null and empty texts have the end id alone. Null doc_ids come first. Rows that repeat
@@ -21,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import new_path
+from ..storage import new_path, stored
 from .frames import narrow
 from .ngram_join import text_slices
 
@@ -62,7 +64,13 @@ PROBES = (
     "a\u00a0b\u2003c \u0301d e\u0301 \u00c4\u0130\u1e9e \u03a3\u0391\u03a3. \U0001f388\u200d x\x1cy",
     "<|startoftext|> A<|endoftext|>b, <|ENDOFTEXT|>. <|x|>",
     "I'LL we've '' ''s. -- (a.b), A.B., 1., ..",
+    "\u00e9t\u00e9 \u00c9T\u00c9, stra\u00dfe \u00f8y\u00ff na\u00efve\u00d7 \u00f7a aa$$$ aa.*** \u00e9!? x') 7% x\u0301, don't'' \u0130. \u017b\u00d3\u0141. \u042f!",
 )
+#: Letters that normalizing and lower case leave as they are, one by one and side by side: `a` to `z`, and the small ones of Latin-1.
+PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+#: ASCII signs at the end of a word, not those of special tokens, behind a digit or a Latin or Russian letter. Others may end in a mark once
+#: they are normalized and in lower case, as U+0130 does, and the tokenizer cuts no sign from a mark.
+CLOSING = "([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u0410-\u044f])([!-/:;=?@\\[-`{}~]+)$"
 
 
 def splits_at_space(tokenizer) -> bool:
@@ -87,8 +95,17 @@ def whole_ids(texts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for x in each for i in x), np.int32, int(size.sum())), size
 
 
+def _of_plain_words(tokenizer):
+    """The tokenizer's model behind cuts at blanks alone, which give words of `PLAIN` letters the same ids."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return plain
+
+
 class WordIds:
-    """The ids of words met so far, in one pool of numbers; it starts anew when it holds too many words."""
+    """The ids of words met so far, in one pool of numbers; when it holds too many words, it keeps those that are met again just then."""
 
     def __init__(self, tokenizer, most: int):
         self.tokenizer, self.most = tokenizer, most
@@ -97,17 +114,15 @@ class WordIds:
         #: Whether an id ends a word, in vocabularies that mark it.
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
+        self.plain = _of_plain_words(tokenizer) if self.by_words and self.closes.any() else None
         self.place: dict[str, int] = {}
         self.ends = np.zeros(1, np.int64)
         self.pool = np.empty(0, np.int32)
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
-        if words and self.closes.any() and all(map(str.isalpha, words)):
-            (together,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        if plain:
+            (together,) = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)
             ids = np.array(together.ids, np.int32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             # Every word ends at least once, so equal numbers mean once each.
@@ -115,23 +130,33 @@ class WordIds:
                 return ids, np.diff(np.concatenate([[0], ends]))
         return whole_ids(words, self.tokenizer)
 
-    def places(self, words: list[str]) -> np.ndarray:
-        fresh = [w for w in words if w not in self.place]
-        if len(self.place) + len(fresh) > self.most:
-            self.clear()
-            fresh = words
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of these words, all different and without white space, lie in the pool."""
+        if not len(words):
+            return np.empty(0, np.int64)
+        each = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().split("\n")
+        at = np.fromiter(map(self.place.get, each, repeat(-1)), np.int64, len(each))
+        new = at < 0
+        if len(self.place) + int(new.sum()) > self.most:
+            met = np.flatnonzero(~new)
+            self.pool, self.ends = _gathered(self.pool, self.ends, at[met])
+            at[met] = np.arange(len(met))
+            self.place = {each[i]: k for k, i in enumerate(met.tolist())}
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) & (self.plain is not None)
         pools, sizes = [self.pool], []
-        letters = [w for w in fresh if w.isalpha()]
-        for some in (letters, [w for w in fresh if not w.isalpha()]):
-            for at in range(0, len(some), 2000):
-                ids, size = self._encoded(part := some[at : at + 2000])
-                self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+        for quick in (True, False):
+            which = np.flatnonzero(new & (plain == quick))
+            for i in range(0, len(which), 2000):
+                some = which[i : i + 2000]
+                ids, size = self._encoded(part := [each[j] for j in some.tolist()], quick)
+                at[some] = fresh = np.arange(len(self.place), len(self.place) + len(part))
+                self.place.update(zip(part, fresh.tolist()))
                 pools.append(ids)
                 sizes.append(size)
         if sizes:
             self.pool = np.concatenate(pools)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return at
 
 
 def _gathered(pool: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +169,8 @@ def _gathered(pool: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.nd
 def token_lists(texts: pa.Array, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after the other, and the number of each text's.
 
-    The different words of the texts are cut once more: full stops and commas behind a letter or digit are words of their
-    own to the tokenizer. ASCII letters are put in lower case, as it would, except in words that may hold a special token, which
+    The different words of the texts are cut once more: signs that end a word behind most letters and digits (see `CLOSING`)
+    are words of their own to the tokenizer. ASCII letters are put in lower case, as it would, except in words that may hold a special token, which
     it looks for in the raw text.
     """
     if not known.by_words:
@@ -154,9 +179,9 @@ def token_lists(texts: pa.Array, known: WordIds) -> tuple[np.ndarray, np.ndarray
     coded = words.flatten().dictionary_encode()
     raw = coded.dictionary
     lowered = pc.if_else(pc.match_substring(raw, "<|"), raw, pc.ascii_lower(raw))
-    cut = pc.split_pattern(pc.replace_substring_regex(lowered, r"([\pL\pN])([.,]+)$", r"\1 \2"), " ")
+    cut = pc.split_pattern(pc.replace_substring_regex(lowered, CLOSING, r"\1 \2"), " ")
     parts = cut.flatten().dictionary_encode()
-    at = known.places(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+    at = known.places(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)]
     pool, ends = _gathered(known.pool, known.ends, at)
     ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype(np.int64)]
     ids, total = _gathered(pool, ends, coded.indices.to_numpy(zero_copy_only=False))
@@ -233,10 +258,10 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def positions(spark: SparkSession, path: str, id_type: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files.
 
-    Files are summed up first; then only rows of one file are numbered together.
+    The files are read once, and what was measured is stored. Files are summed up first; then only rows of one file are numbered together.
     """
     df = read_ids(spark, path, id_type).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place"))
-    m = df.mapInArrow(_measured, f"doc_id {id_type}, file string, place struct<at:long,row:long>, n_tokens long, ids_crc32 long")
+    m = stored(df.mapInArrow(_measured, f"doc_id {id_type}, file string, place struct<at:long,row:long>, n_tokens long, ids_crc32 long"), "id-sums")
     files = m.groupBy("file").agg(F.sum("n_tokens").alias("t"))
     # One row a file. Files go by number: names of more than five digits don't sort as text.
     number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")

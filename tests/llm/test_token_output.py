@@ -86,3 +86,48 @@ def test_files_are_numbered_not_sorted_as_text(spark, tmp_path):
         part.rename(tmp_path / "all" / f"{name}.orc")
     got = sorted((r["doc_id"], r["start"]) for r in rows(T.positions(spark, str(tmp_path / "all"), "long")))
     assert got == [(1, 0), (2, 2), (3, 3)]
+
+
+def same_as_whole(texts, most=100_000):
+    import pyarrow as pa
+
+    known = T.WordIds(tokenizers.Tokenizer.from_file(PATH), most)
+    ids, counts = T.token_lists(pa.array(texts), known)
+    at = [0, *counts.cumsum()]
+    return [t for t, a, b, w in zip(texts, at, at[1:], whole(texts)) if [*ids[a:b].tolist(), 1] != w]
+
+
+def test_signs_behind_letters_that_become_marks():
+    """U+0130 in lower case and U+0958 normalized end in marks, which the tokenizer doesn't cut from the signs behind them."""
+    assert same_as_whole(["İ.", "ab İ, x", "क़,", "é.", "é.", "x$$$", "x,***", "x'!", "Ž;", "Я?", "a<|endoftext|>.", "a|>", "<|a.b|>,"]) == []
+
+
+def test_words_of_all_characters_are_encoded_as_in_whole_texts():
+    letters = [chr(c) for c in range(1, 0x3100)]
+    assert same_as_whole([f.format(c) for c in letters for f in ("{}", "a{}b", "é{}$,")]) == []
+    rng = random.Random(5)
+    signs = [*"abzABZ019éßÿ×÷'.,;!#$%&*<|>{}~ \n", "'s", "'re", "<|endoftext|>", "́", "İ", "ᄀ", "ᅡ", "\x1c", "\x85"]
+    for most in (20, 100_000):
+        assert same_as_whole(["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(3000)], most) == []
+
+
+def test_words_met_again_stay_and_signs_are_words_of_their_own(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    encoded = T.WordIds._encoded
+    monkeypatch.setattr(T.WordIds, "_encoded", lambda self, words, *more: (asked.extend(words), encoded(self, words, *more))[1])
+    known = T.WordIds(tokenizers.Tokenizer.from_file(PATH), 12)
+    for i in range(20):
+        T.token_lists(pa.array([f"often seen$$$ seen, {'x' * i}once twice{'y' * i}&&& {'z' * i}thrice"]), known)
+        assert len(known.place) <= 12
+    assert [asked.count(w) for w in ("often", "seen", "$$$", ",", "&&&")] == [1] * 5
+    assert "seen$$$" not in asked and "twice&&&" not in asked
+
+
+def test_files_are_measured_once(spark):
+    df = spark.createDataFrame([(2, "a b", "", ""), (1, "c", "", "")], DOCS)
+    _, got = T.tokenize_to_orc(df, T.OutputRules(PATH))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "orc" not in plan.lower()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in rows(got)) == [(1, 0, 2), (2, 2, 3)]
