@@ -43,12 +43,17 @@ def violations(kind: str) -> dict[str, Column]:
 
 
 def checked(df: DataFrame, kind: str, strict: bool = False) -> DataFrame:
-    """Adds `violations`, the names of the rules that a row breaks; strict: such a row fails the query."""
+    """Adds `violations`, the names of the rules that a row breaks; strict: such a row fails the query.
+
+    Strict reads the rows twice, since the error gives the first row that breaks a rule, whichever task finds one sooner.
+    """
     found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in violations(kind).items()]))
     out = df.withColumn("violations", found)
     if strict:
-        said = F.when(F.size("violations") > 0, F.raise_error(F.concat(F.lit(f"{kind}: "), F.array_join("violations", "; "))))
-        out = out.withColumn("violations", F.coalesce(said.cast("array<string>"), "violations"))
+        broken = out.select("violations", F.monotonically_increasing_id().alias("at")).where(F.size("violations") > 0)
+        first = broken.agg(F.min_by("violations", "at").alias("_first"))  # one row
+        said = F.when(first["_first"].isNotNull(), F.raise_error(F.concat(F.lit(f"{kind}: "), F.array_join(first["_first"], "; "))))
+        out = out.crossJoin(F.broadcast(first)).withColumn("violations", F.coalesce(said.cast("array<string>"), "violations")).drop(first["_first"])
     return out
 
 

@@ -94,6 +94,18 @@ def test_points_numbers_checks_and_lines(spark):
     assert {r.f: r.boxes for r in reports.box_lines(lines, "f", "l").collect()} == {"f": 1, "g": 0}
 
 
+def test_strict_checks_name_the_first_row_that_breaks_a_rule(spark):
+    n = 400_000
+    late = F.when(F.col("id") == n // 2 - 1, F.lit("")).otherwise(F.lit("d"))  # the last row of the first part
+    early = F.when(F.col("id") == n // 2, F.lit(-1)).otherwise(F.lit(1))  # the first row of the second part
+    a = spark.range(0, n, 1, 2).select(F.col("id").cast("string").alias("attempt_id"), F.lit("c").alias("crop_id"), late.alias("decoder"), F.lit("v").alias("variant"), early.alias("duration_ms"))
+    for _ in range(3):
+        with pytest.raises(Exception, match="attempt: decoder must not be empty"):
+            reports.checked(a, "attempt", strict=True).select(F.sum(F.size("violations"))).collect()
+    good = reports.checked(a.where("decoder = 'd' and duration_ms = 1"), "attempt", strict=True)
+    assert good.columns == [*a.columns, "violations"] and good.select(F.count("*"), F.sum(F.size("violations"))).first() == (n - 2, 0)
+
+
 def test_camera_there_and_back(spark):
     cam = crops.Camera.of_lens(3840, 2160, 2.8, 16.0 / 2.8, (-0.02, 0.003, 0.0004, -0.0006, -0.0001))
     rng = np.random.default_rng(2)
