@@ -11,7 +11,7 @@ from ..functions import reading as R
 from ..functions.text import has_value
 from ..operators import crops as K
 from ..operators import gate, grouping, price_blocks, ranking, reports, score, spatial, symbols, tracks
-from ..sources.tables import CODES_SQL, DETECTIONS_SQL, codes, detections, ean_ok_sql, load
+from ..sources.tables import CODES_SQL, DETECTIONS_SQL, codes, detections, ean_ok_sql, load, spread
 from ..storage import stored
 from .observations import GAP, HOUR, IOU, TRACKS_SQL, track_table
 from .readings import PAYLOADS_SQL, ROWS_SQL, SCORED_SQL, output_rows, payloads
@@ -185,7 +185,7 @@ def codes_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col(P)
     text = F.when(k % 4 == 0, F.col("body")).when(k % 4 == 2, F.col("code")).when(k % 4 == 1, F.concat(F.lit("EAN "), "true_code", F.lit(" шт"))).otherwise(F.concat(F.lit("0"), "true_code"))
     known = c.select(F.col("true_code").alias("code")).distinct()
-    found = grouping.read_codes(c.select(P, text.alias("text")), known, P, "text")
+    found = grouping.read_codes(spread(c.select(P, text.alias("text")), P), known, P, "text")
     best = found.groupBy(P).agg(F.max_by(F.struct("code", "confidence", "source"), F.struct("confidence", "code")).alias("b"))
     return best.select(P, "b.*")
 

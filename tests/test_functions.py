@@ -100,3 +100,26 @@ def test_sentinels(spark):
     for word, has in (("нет", False), ("РЅРµС‚", False), (" N/A ", False), ("-", False), ("x", True), (" ", False)):
         assert value(spark, text.has_value(F.col("w")), w=word) is has
     assert value(spark, text.has_value(F.lit("нет"), text.STRICT_EMPTY_WORDS)) is True
+
+
+def test_one_digit_repairs_against_every_digit(spark):
+    import random
+
+    rng = random.Random(3)
+    seen = ["".join(rng.choice("0123456789") for _ in range(13)) for _ in range(200)] + ["0000000000000", "0000000000001", "9999999999999", "4006381333931", "400638133393", "", "40063-81333 930"]
+    total = lambda c: sum((3 if i % 2 else 1) * int(x) for i, x in enumerate(c))
+    got = spark.createDataFrame([(c,) for c in seen], "c string").select("c", codes.one_digit_repairs(F.col("c")).alias("x"), codes.ean13_ok(F.col("c")).alias("ok")).collect()
+    for r in got:
+        c = "".join(x for x in r.c if x.isdigit())
+        made = [c[:i] + d + c[i + 1 :] for i in range(13) for d in "0123456789"] if len(c) == 13 else []
+        assert r.x == [x for x in made if x != c and total(x) % 10 == 0]
+        assert r.ok == (len(r.c) == 13 and r.c.isdigit() and total(r.c) % 10 == 0)
+
+
+@pytest.mark.parametrize(("name", "most"), [("codes_in_texts", 150_000)])
+def test_plans_of_codes_stay_small(spark, name, most):
+    # A code's own expression stood in its plan for each digit and place, which took the driver's memory and the workers' time.
+    from tagloom import plans
+
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert len(plan.toString()) < most
