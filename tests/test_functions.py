@@ -116,10 +116,42 @@ def test_one_digit_repairs_against_every_digit(spark):
         assert r.ok == (len(r.c) == 13 and r.c.isdigit() and total(r.c) % 10 == 0)
 
 
-@pytest.mark.parametrize(("name", "most"), [("ean13_repair", 150_000), ("codes_in_texts", 150_000)])
+@pytest.mark.parametrize(("name", "most"), [("ean13_repair", 150_000), ("codes_in_texts", 150_000), ("ean13_modules", 150_000)])
 def test_plans_of_codes_stay_small(spark, name, most):
     # A code's own expression stood in its plan for each digit and place, which took the driver's memory and the workers' time.
     from tagloom import plans
 
     plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert len(plan.toString()) < most
+
+
+def test_modules_are_decoded_as_by_comparing(spark):
+    import random
+
+    rng, patterns = random.Random(5), codes.module_patterns()
+    of = {(s, d): p for s, d, p in patterns}
+
+    def bars(c):
+        sets = codes.PARITIES[int(c[0])] + "RRRRRR"
+        digits = [of[s, int(x)] for s, x in zip(sets, c[1:])]
+        return "101" + "".join(digits[:6]) + "01010" + "".join(digits[6:]) + "101"
+
+    def nearest(seen, sets):
+        return min((sum(a != b for a, b in zip(seen, p)), k) for k, (s, _, p) in enumerate(patterns) if s in sets)
+
+    rows = []
+    for n in range(150):
+        c = "".join(rng.choice("0123456789") for _ in range(12))
+        c += str(-sum((3 if i % 2 else 1) * int(x) for i, x in enumerate(c)) % 10)
+        b = list(bars(c))
+        for _ in range(rng.randrange(6)):
+            b[rng.randrange(95)] = rng.choice("01x") if n % 3 == 0 else rng.choice("01")
+        rows.append("".join(b))
+    for r in spark.createDataFrame([(b,) for b in rows], "b string").select("b", codes.decode_modules(F.col("b")).alias("x")).collect():
+        at = [(r.b[3 + 7 * i : 10 + 7 * i], "LG") for i in range(6)] + [(r.b[50 + 7 * i : 57 + 7 * i], "R") for i in range(6)]
+        best = [nearest(*x) for x in at]
+        parity = "".join(patterns[k][0] for _, k in best[:6])
+        code = (str(codes.PARITIES.index(parity)) if parity in codes.PARITIES else "") + "".join(str(patterns[k][1]) for _, k in best)
+        errors = sum(e for e, _ in best)
+        ok = len(code) == 13 and sum((3 if i % 2 else 1) * int(x) for i, x in enumerate(code)) % 10 == 0 and errors <= 8
+        assert (r.x.code, r.x.errors) == (code if ok else "", errors)
