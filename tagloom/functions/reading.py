@@ -37,6 +37,11 @@ def _first(a: Column) -> Column:
     return F.coalesce(F.get(a, F.lit(0)), F.lit(""))
 
 
+def _bound(value: Column, f) -> Column:
+    """`f` of a value that is made once: a lambda binds it, however often `f` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _holds_any(c: Column, words) -> Column:
     found = F.lit(False)
     for w in words:
@@ -72,9 +77,14 @@ def best_price(text: Column) -> Column:
     tokens = F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1))
 
     def of_tokens(tokens: Column) -> Column:
-        ints = F.filter(tokens, lambda x: F.length(x).between(2, 6))
+        return _bound(F.filter(tokens, lambda x: F.length(x).between(2, 6)), lambda ints: of_ints(tokens, ints))
+
+    def of_ints(tokens: Column, ints: Column) -> Column:
         big = F.array_max(F.transform(F.filter(ints, lambda x: F.length(x) >= 3), lambda x: F.struct(F.length(x).alias("n"), x.cast("long").alias("v"), x.alias("x"))))["x"]
         two = F.filter(ints, lambda x: F.length(x) == 2)
+        return _bound(F.struct(big.alias("big"), two.alias("two")), lambda r: of_big(tokens, ints, r["big"], r["two"]))
+
+    def of_big(tokens: Column, ints: Column, big: Column, two: Column) -> Column:
         at = F.array_position(tokens, big).cast("int")
         beside = F.filter(F.array(F.get(tokens, at), F.get(tokens, at - 2)), lambda x: F.coalesce(F.length(x) == 2, F.lit(False)))
         usual = F.filter(F.array(*map(F.lit, KOPECKS)), lambda k: F.array_contains(two, k))
@@ -82,8 +92,8 @@ def best_price(text: Column) -> Column:
         small = F.concat(F.array_max(F.transform(ints, lambda x: x.cast("long"))).cast("string"), F.lit(".00"))
         return F.coalesce(F.when(big.isNotNull(), F.concat(big.cast("long").cast("string"), F.lit("."), kopecks)), small, F.lit(""))
 
-    # One lambda binds the tokens, so that they are cut once.
-    return F.coalesce(_greatest_price(prices_in(t)), F.get(F.transform(F.array(tokens), of_tokens), F.lit(0)))
+    # Lambdas bind the tokens and what is chosen from them, so that each is made once.
+    return F.coalesce(_greatest_price(prices_in(t)), _bound(tokens, of_tokens))
 
 
 def best_discount(text: Column) -> Column:
@@ -106,7 +116,7 @@ def sku12(text: Column, exclude: Column) -> Column:
 def product_name(text: Column) -> Column:
     """Up to three lines that may name a product: four signs at least, few digits, no word of a tag's other parts."""
     fits = lambda x: (
-        ~_holds_any(F.lower(x), NAME_STOP_WORDS) & (F.length(F.regexp_replace(x, r"(?U)\D+", "")) <= F.greatest(F.floor(F.length(x) / 3), F.lit(2))) & (F.length(x) >= 4)
+        ~F.exists(F.array(F.lower(x)), lambda low: _holds_any(low, NAME_STOP_WORDS)) & (F.length(F.regexp_replace(x, r"(?U)\D+", "")) <= F.greatest(F.floor(F.length(x) / 3), F.lit(2))) & (F.length(x) >= 4)
     )
     return F.trim(F.array_join(F.slice(F.filter(clean_lines(text), fits), 1, 3), " "))
 
@@ -156,26 +166,37 @@ def parse_zones(zones: Column) -> Column:
     """
     z = lambda name: F.coalesce(zones[name], F.lit(""))
     likely = lambda p: F.when(p.try_cast("decimal(18,2)").between(10, 100000), p).otherwise(F.lit(""))
-    default, card = likely(best_price(z("price_default"))), likely(best_price(z("price_card")))
-    discount = best_discount(F.concat(z("discount"), F.lit(" "), z("price_card")))
-    joined = F.concat(digits(default), digits(card), digits(discount))
-    from_prices = lambda s: (joined != "") & (F.contains(joined, s) | joined.startswith(F.left(s, F.lit(6))))
-    ean = codes.first_valid_ean13(F.concat(z("barcode"), F.lit(" "), z("sku_date")))
-    ean = F.when((ean != "") & ~from_prices(ean), ean).otherwise(F.lit(""))
-    sku = sku12(z("sku_date"), ean)
-    return _filled(
-        {
-            "product_name": product_name(z("product_name")),
-            "price_card": card,
-            "price_default": F.when(default != card, default).otherwise(F.lit("")),
-            "discount_amount": discount,
-            "barcode": ean,
-            "id_sku": F.when((sku != "") & ~from_prices(sku), sku).otherwise(F.lit("")),
-            "print_datetime": F.regexp_extract(z("sku_date"), DATE, 0),
-            "special_symbols": special_symbol(z("special")),
-            "additional_info": additional_info(F.concat(z("additional_info"), F.lit("\n"), z("product_name"))),
-        }
-    )
+    kept = lambda s, joined: F.when((s != "") & ~((joined != "") & (F.contains(joined, s) | joined.startswith(F.left(s, F.lit(6))))), s).otherwise(F.lit(""))
+    plain = {
+        "product_name": product_name(z("product_name")),
+        "discount_amount": best_discount(F.concat(z("discount"), F.lit(" "), z("price_card"))),
+        "print_datetime": F.regexp_extract(z("sku_date"), DATE, 0),
+        "special_symbols": special_symbol(z("special")),
+        "additional_info": additional_info(F.concat(z("additional_info"), F.lit("\n"), z("product_name"))),
+    }
+    read = plain | {"default": best_price(z("price_default")), "card": best_price(z("price_card")), "ean": codes.first_valid_ean13(F.concat(z("barcode"), F.lit(" "), z("sku_date"))), "sku": z("sku_date")}
+
+    def step(made: dict[str, Column], f) -> Column:
+        """The next step from a struct of what was made, in a lambda: later steps name these several times over."""
+        return _bound(F.struct(*[v.alias(k) for k, v in made.items()]), lambda r: f({k: r[k] for k in made}))
+
+    def prices_kept(m: dict[str, Column]) -> Column:
+        return step(m | {"default": likely(m["default"]), "card": likely(m["card"])}, digits_joined)
+
+    def digits_joined(m: dict[str, Column]) -> Column:
+        return step(m | {"joined": F.concat(digits(m["default"]), digits(m["card"]), digits(m["discount_amount"]))}, code_kept)
+
+    def code_kept(m: dict[str, Column]) -> Column:
+        return step(m | {"ean": kept(m["ean"], m["joined"])}, number_found)
+
+    def number_found(m: dict[str, Column]) -> Column:
+        return step(m | {"sku": sku12(m["sku"], m["ean"])}, filled)
+
+    def filled(m: dict[str, Column]) -> Column:
+        default = F.when(m["default"] != m["card"], m["default"]).otherwise(F.lit(""))
+        return _filled({k: m[k] for k in plain} | {"price_card": m["card"], "price_default": default, "barcode": m["ean"], "id_sku": kept(m["sku"], m["joined"])})
+
+    return step(read, prices_kept)
 
 
 def text_score(text: Column, confidence: Column) -> Column:

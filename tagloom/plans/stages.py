@@ -69,7 +69,7 @@ def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def zone_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the texts of a tag's zones."""
-    f = _texts(spark, sf_dir).select(P, R.parse_zones(F.col("zones")).alias("f"))
+    f = spread(_texts(spark, sf_dir).select(P, "zones"), P).select(P, R.parse_zones(F.col("zones")).alias("f"))
     return f.select(P, *[F.col("f")[n].alias(n) for n in ("product_name", "price_default", "price_card", "discount_amount", "barcode", "id_sku", "print_datetime", "special_symbols")])
 
 

@@ -116,7 +116,7 @@ def test_one_digit_repairs_against_every_digit(spark):
         assert r.ok == (len(r.c) == 13 and r.c.isdigit() and total(r.c) % 10 == 0)
 
 
-@pytest.mark.parametrize(("name", "most"), [("ean13_repair", 150_000), ("codes_in_texts", 150_000), ("ean13_modules", 150_000)])
+@pytest.mark.parametrize(("name", "most"), [("ean13_repair", 150_000), ("codes_in_texts", 150_000), ("ean13_modules", 150_000), ("zone_fields", 150_000)])
 def test_plans_of_codes_stay_small(spark, name, most):
     # A code's own expression stood in its plan for each digit and place, which took the driver's memory and the workers' time.
     from tagloom import plans
