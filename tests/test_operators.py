@@ -469,3 +469,37 @@ def test_entries_are_used_up_in_the_order_of_rows(spark):
     got = {(x.r, x.e, x.score, x.margin) for x in score.resolved(df, "r", "e").collect()}
     assert got == want and len(want) > 15
     assert score.resolved(df.limit(0), "r", "e").collect() == []
+
+
+def test_best_partners_coverage_and_reach_against_all_pairs(spark):
+    # Crowded boxes, many of them equal, some empty, on halves of pixels; ties of the best overlap and boxes beside each other's corner cells.
+    rng = random.Random(11)
+
+    def some(n, first):
+        out = []
+        for i in range(n):
+            x, y = rng.randrange(0, 60) / 2, rng.randrange(0, 40) / 2
+            far = 300 if rng.random() < 0.2 else 0
+            w, h = rng.choice([(20, 10), (21, 10), (20.5, 12), (40, 30), (0, 5)])
+            out.append((i % 2, first + i, (x + far, y, x + far + w, y + h), i % 70 if i % 9 else None))
+        return out
+
+    left, right = some(120, 0), some(260, 1000)
+    schema = "video int, k long, bbox struct<x_min:double,y_min:double,x_max:double,y_max:double>, track int"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    best, cover, met = {}, {}, set()
+    for v, k, x, _ in left:
+        near = [(iou(x, y), f, t) for w, f, y, t in right if v == w]
+        top = max(s for s, _, _ in near)
+        if top >= 0.18:
+            best[k] = (min(f for s, f, _ in near if round(s, 9) == round(top, 9)), round(top, 9))
+        cover[k] = (round(top, 9), len({t for s, _, t in near if s >= 0.5 and t is not None}), top >= 0.5)
+        met |= {k} if top >= 0.5 else set()
+    assert {0 < s < 0.9 for _, s in best.values()} == {True, False} and 0 < len(met) < len(left)
+    got = spatial.best_iou(a, b.withColumnRenamed("k", "f"), "video", "k", "f", "bbox", 64, 0.18, digits=9).collect()
+    assert {r.k: (r.f, round(r.iou, 9)) for r in got} == best and len(got) == len(best)
+    got = spatial.coverage(a, b.withColumnRenamed("k", "f"), "video", "k", "f", "track", "bbox", 64, 0.5).collect()
+    assert {r.k: (round(r.best_iou, 9), r.n_tracks, r.covered) for r in got} == cover and len(got) == len(cover)
+    got = spatial.reached(a, b, "video", "k", "bbox", 64, 0.5).collect()
+    assert {r.k for r in got} == met and len(got) == len(met)
+
