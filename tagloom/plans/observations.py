@@ -147,9 +147,8 @@ def iou_pairs_within_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BOXED} SELECT video, probe, arg_max(found, (round(iou, 9), -found)) AS found, round(max(iou), 6) AS iou FROM pairs WHERE iou >= 0.18 GROUP BY video, probe")
 def best_iou_per_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = spatial.iou_pairs(_boxes(spark, sf_dir, 0, "probe"), _boxes(spark, sf_dir, 1, "found"), "video", "probe", "found", "bbox", CELL, 0.18)
-    best = F.max_by("found", F.struct(F.round("iou", 9).alias("i"), -F.col("found")))
-    return j.groupBy("video", "probe").agg(best.alias("found"), F.round(F.max("iou"), 6).alias("iou"))
+    j = spatial.best_iou(_boxes(spark, sf_dir, 0, "probe"), _boxes(spark, sf_dir, 1, "found"), "video", "probe", "found", "bbox", CELL, 0.18, digits=9)
+    return j.withColumn("iou", F.round("iou", 6))
 
 
 @query(
