@@ -166,7 +166,7 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reachable_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semi-join: truth boxes with any prediction at IoU 0.5."""
     a, b = _boxes(spark, sf_dir, 0, "probe"), _boxes(spark, sf_dir, 1, "found")
-    return spatial.iou_pairs(a, b, "video", "probe", "found", "bbox", CELL, 0.5).select("video", "probe").distinct()
+    return spatial.reached(a, b, "video", "probe", "bbox", CELL, 0.5)
 
 
 @query(
