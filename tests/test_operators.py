@@ -503,3 +503,43 @@ def test_best_partners_coverage_and_reach_against_all_pairs(spark):
     got = spatial.reached(a, b, "video", "k", "bbox", 64, 0.5).collect()
     assert {r.k for r in got} == met and len(got) == len(met)
 
+
+def _joined_rows(df):
+    """The most rows that any join of the query gave, from the metrics of its run."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if "AdaptiveSparkPlan" in name:
+            todo.append(p.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(p.plan())
+        m = p.metrics().get("numOutputRows")
+        if "Join" in name and m.isDefined():
+            found.append(m.get().value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return max(found)
+
+
+def test_pairs_of_equal_boxes_are_compared_once(spark):
+    box = F.struct(*[F.lit(v).alias(c) for c, v in (("x_min", 0), ("y_min", 0), ("x_max", 20), ("y_max", 10))])
+    a = spark.range(300).select(F.lit(1).alias("video"), F.col("id").alias("l"), box.alias("bbox"))
+    pairs = spatial.iou_pairs(a, a.withColumnRenamed("l", "r"), "video", "l", "r", "bbox", 64, 0.3)
+    assert pairs.count() == 300 * 300 and _joined_rows(pairs) == 1
+
+
+def test_seek_back_takes_each_frame_and_target_once(spark):
+    # Before, each target met all frames of its bucket: here 400 x 400 pairs.
+    f = spark.range(400).select(F.lit("v").alias("video"), (F.col("id") * 10 % 1000).alias("ts"), F.col("id").alias("frame"))
+    t = spark.range(400).select(F.lit("v").alias("video"), (F.col("id") * 7 % 2100 - 50).alias("at_ms"), F.col("id").alias("k"))
+    got = spatial.seek_back(t, f, "video", "at_ms", "ts", 1000)
+    frames, want = [(i * 10 % 1000, i) for i in range(400)], set()
+    for k in range(400):
+        at = k * 7 % 2100 - 50
+        near = [x for x in frames if x[0] <= at and at - x[0] <= 1000]
+        if near:
+            want.add((k, *max(near)))
+    assert {(r.k, r.ts, r.frame) for r in got.collect()} == want and _joined_rows(got) <= 400
